@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import mixing, sharding
+from pressfold.llm import ftrl, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
+    "op6_toxicity": ftrl.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
+    "op9_quality": ftrl.op9_quality,
 }
 
 ORACLES: dict[str, str] = {
