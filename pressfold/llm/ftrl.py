@@ -2,7 +2,7 @@
 
 Quality (:data:`QUALITY`) uses word n-grams and n-grams of word shapes, counted and
 divided by the text's number of tokens. Toxicity (:data:`TOXIC`) uses word n-grams,
-skip-grams and stems (the first bytes of longer words), by the logarithm of their counts, so that a few words count in a long text as in a short one.
+skip-grams and stems (the first bytes of longer words), once or repeated, so that a few words count in a long text as in a short one.
 
 Training reads a bounded sample, ``FIT_ROWS`` labelled documents of the training folds
 with the smallest seeded hashes, whole texts, in one task and in hash order. FTRL keeps a learning
@@ -49,7 +49,7 @@ class Task:
     words: tuple[int, ...]  # distances between the two words of a pair; 0: single words
     stems: tuple[int, ...]  # bytes of a longer word's beginning, its inflections' common part
     shapes: tuple[int, ...]  # lengths of shape n-grams
-    damped: bool  # 1 + log of the counts, whatever the text's length; else counts by tokens
+    damped: bool  # 1, or 1.5 if repeated, whatever the text's length; else counts by tokens
     weight: float  # of label 1
     alpha: float
     beta: float = 1.0
@@ -58,7 +58,7 @@ class Task:
 
 
 QUALITY = Task("quality", 4, 2, words=(0, 1), stems=(), shapes=(1, 2, 3), damped=False, weight=1.0, alpha=0.5, l1=0.02, l2=0.0)
-TOXIC = Task("toxic", 3, 1, words=(0, 1, 2, 3), stems=(4, 5, 6), shapes=(), damped=True, weight=2.0, alpha=2.0, l1=3.0, l2=0.0)
+TOXIC = Task("toxic", 3, 1, words=(0, 1, 2, 3), stems=(4, 5, 6), shapes=(), damped=True, weight=1.5, alpha=1.0, l1=4.0, l2=0.0)
 
 #: Mean counts are small; this factor brings the gradients of frequent features near 1.
 SCALE = 8.0
@@ -119,7 +119,7 @@ def _examples(batches: Iterator[pa.RecordBatch], task: Task) -> Iterator[tuple[n
             for i in range(b - a):
                 idx = (keys[cut[i] : cut[i + 1]] & int(MASK)).astype(np.int32)
                 c = counts[cut[i] : cut[i + 1]]
-                value = (1 + np.log(c) if task.damped else c * (SCALE / tokens[i])).astype(np.float32)
+                value = (1.0 + (c > 1) / 2 if task.damped else c * (SCALE / tokens[i])).astype(np.float32)
                 yield idx, value, labels[a + i]
 
 
@@ -185,7 +185,7 @@ def score_batch(col: pa.Array, task: Task, model: tuple[np.ndarray, np.ndarray,
             value = w[at].astype(np.float64)
             if task.damped and len(d):
                 keys, counts = np.unique(d * len(idx) + at, return_counts=True)
-                d, value = keys // len(idx), w[keys % len(idx)] * (1 + np.log(counts))
+                d, value = keys // len(idx), w[keys % len(idx)] * (1.0 + (counts > 1) / 2)
             total += np.bincount(d, weights=value, minlength=e - a)
         out[a:e] += total if task.damped else total * (SCALE / np.maximum(tokens, 1))
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import ftrl, mixing, sharding
+from pressfold.llm import ftrl, language, mixing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
     "op6_toxicity": ftrl.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
+    "op8_topk": topk.op8_topk,
     "op9_quality": ftrl.op9_quality,
+    "op10_language": language.op10_language,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op8_topk": topk.ORACLE_SQL,
 }
