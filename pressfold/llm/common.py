@@ -81,3 +81,14 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
         total += n
     offsets = spark.createDataFrame(starts, "_part int, _start long")  # one row for each partition
     return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_seq")).drop("_part", "_seq", "_start")
+
+
+def keyed(docs: DataFrame, name: str = "key") -> DataFrame:
+    """``docs`` with a long column ``name`` that is unique and ascends with doc_id: doc_id itself where it is unique and never null.
+
+    Otherwise rows are numbered by doc_id (null last) and text, and written once.
+    """
+    seen = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    if not seen.filter(F.col("_id").isNull() | (F.col("_n") > 1)).take(1):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return numbered(docs.withColumn("_last", F.col("doc_id").isNull()), ["_last", "doc_id", "text"], name).drop("_last")

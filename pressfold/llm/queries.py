@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import ftrl, language, mixing, sharding, topk
+from pressfold.llm import ftrl, language, mixing, neardup, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": neardup.op1_neardup,
     "op3_mixing": mixing.op3_mixing,
     "op6_toxicity": ftrl.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
