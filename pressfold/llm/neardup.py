@@ -9,8 +9,10 @@
    similarity 0.75 shares none with probability 5e-6.
 4. Buckets never expand into all pairs. Each has a seeded hub (another one in each band), and its members
    are held against the hub, those with most shared bands first. Members in one component
-   need no further link; pairs of a bucket whose components still differ are then all
-   held against each other, so no candidate is lost.
+   need no further link. While many pairs of one bucket are in different components, further hubs
+   follow, by turns the member with the largest buckets and a random one. At last an exact prefix
+   filter (see :func:`prefix_pairs`) finds, among all documents of buckets that still hold several
+   components, every pair that can be similar enough, so no candidate is lost.
 5. Every link is confirmed on the full sets.
 
 Edge cases: a text that is null or without words has the empty set, is linked with nothing and kept;
@@ -42,6 +44,18 @@ PERCENT = 75
 #: Links of a document with the hubs of its buckets that are confirmed first.
 FIRST_LINKS = 2
 
+#: More rounds of hubs follow while the buckets hold more pairs across components than so many a row ...
+LEFT_PAIRS = 2
+
+#: ... and the last round confirmed more than one of so many pairs.
+FEW_LINKS = 50
+
+#: Keys (8 bytes each) that may be broadcast to select rows.
+BROADCAST_KEYS = 1 << 20
+
+#: Counters that order shingles by rarity.
+SLOTS = 1 << 18
+
 U64 = np.uint64
 FULL = U64(2**64 - 1)
 BIN_BITS = BINS.bit_length() - 1
@@ -111,15 +125,69 @@ def _size_fits(x: Column, y: Column) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets are similar enough. ``docs``: key, text."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(ends, "key", "left_semi").mapInArrow(_sets, "key long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+def restricted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``; keys are broadcast up to BROADCAST_KEYS, else both sides are shuffled."""
+    keys = keys.distinct()
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets are similar enough. ``sets``: key, shingles."""
+    own = restricted(sets, pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
+    both = pairs.join(own.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
     return materialize(both.filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * PERCENT).select("a", "b"), "confirmed")
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        h = batch.column("shingles").flatten().to_numpy().view(np.uint64)
+        total += np.bincount((h % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "c"])
+
+
+def prefix_pairs(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``open_keys`` (key, n, comp) in different components that can be similar enough.
+
+    With the shingles of every set in one order, rare ones first, two similar sets share
+    one in their prefixes, and behind it enough shingles remain in both. Rarity comes from SLOTS
+    counters (any order is right; a good one leaves few pairs): edits that no other text
+    has come first, so that members of a large family that differ too much never meet.
+    """
+    spark = sets.sparkSession
+    rows = restricted(sets, open_keys.select("key"))
+    counts = np.zeros(SLOTS, np.int64)
+    for r in rows.mapInArrow(_slot_counts, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toLocalIterator():
+        counts[r["slot"]] = r["c"]
+    shared = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            col = batch.column("shingles")
+            h, first = col.flatten().to_numpy().view(np.uint64), col.offsets.to_numpy().astype(np.int64) - col.offsets[0].as_py()
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, counts[(h % U64(SLOTS)).astype(np.int64)], doc))
+            keep = n - (n * PERCENT + 99) // 100 + 1
+            at = np.arange(len(h)) - first[:-1][doc] < keep[doc]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), tv.list_column(h[order][at].view(np.int64), np.concatenate([[0], np.cumsum(keep)]), pa.int64())], ["key", "prefix"])
+
+    e = rows.mapInArrow(prefixes, "key long, prefix array<long>").join(open_keys, "key").select("key", "n", "comp", F.posexplode("prefix").alias("pos", "shingle"))
+    crossing = e.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
+    e = materialize(e.join(crossing, "shingle"), "prefixes")
+    side = lambda s: e.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pos")])
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    near = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+    return side("a").join(side("b"), "shingle").filter(near & _size_fits(F.col("n_a"), F.col("n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` is (key, text). Returns the signature rows and (key of a class representative, comp)."""
     bounded_batches(docs.sparkSession)
@@ -130,28 +198,53 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     mask = F.xxhash64("band")
     hubs = buckets.groupBy("band").agg(F.min(F.col("key").bitwiseXOR(mask)).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hubs = hubs.select("band", F.col("m").bitwiseXOR(mask).alias("hub"))
+    hubs = hubs.select("band", "c", F.col("m").bitwiseXOR(mask).alias("hub"))
     shared = materialize(buckets.join(hubs, "band"), "buckets")  # buckets of at least two sets only
+    sets = materialize(restricted(docs, shared.select("key")).mapInArrow(_sets, "key long, shingles array<long>"), "sets")
     sizes = members.filter("key = rep").select(F.col("key").alias("hub"), F.col("n_shingles").alias("n_hub"))
     star = shared.filter("key <> hub").groupBy("key", "n", "hub").agg(F.count(F.lit(1)).alias("c")).join(sizes, "hub").filter(_size_fits(F.col("n"), F.col("n_hub")))
     order = Window.partitionBy("key").orderBy(F.desc("c"), "hub")
     star = materialize(star.select(F.col("key").alias("a"), F.col("hub").alias("b"), F.row_number().over(order).alias("nth")), "star")
 
     first = star.filter(F.col("nth") <= FIRST_LINKS).select("a", "b")
-    comps = components(confirmed(first, docs))
+    comps = components(confirmed(first, sets))
     label = lambda side: comps.select(F.col("key").alias(side), F.col("comp").alias(f"comp_{side}"))
     rest = star.filter(F.col("nth") > FIRST_LINKS).join(label("a"), "a", "left").join(label("b"), "b", "left")
     rest = materialize(rest.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "star-rest")
-    comps = components(confirmed(rest, docs), comps)
-
-    tried = first.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now = shared.join(comps, "key", "left").select("band", "key", "n", F.coalesce("comp", "key").alias("comp"))
-    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    now = materialize(now.join(mixed, "band"), "mixed-buckets")
-    x, y = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "comp")]), now.select("band", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "comp")])
-    pairs = x.join(y, "band").filter((F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _size_fits(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    comps = components(confirmed(materialize(pairs, "pairs"), docs), comps)
+    comps = components(confirmed(rest, sets), comps)
+
+    tried = _ordered(first.union(rest))
+    used = hubs.select("band", F.col("hub").alias("key"))
+    most = shared.count() * LEFT_PAIRS
+    central = shared.groupBy("key").agg(F.sum("c").alias("score"))
+    few, turn = False, 0
+    while True:
+        now = shared.join(comps, "key", "left").select("band", "key", "n", F.coalesce("comp", "key").alias("comp"))
+        parts = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
+        mixed = parts.filter("k > 1").select("band", ((F.col("s") * F.col("s") - F.col("ss")) / 2).alias("pairs"))
+        now = materialize(now.join(mixed, "band"), "mixed-buckets")
+        left = now.groupBy("band").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if left <= most or few:
+            break
+        open_keys = now.join(used, ["band", "key"], "left_anti")
+        if turn % 2:
+            mask = F.xxhash64("band", F.lit(turn))
+            next_hub = open_keys.groupBy("band").agg(F.min(F.col("key").bitwiseXOR(mask)).alias("m")).select("band", F.col("m").bitwiseXOR(mask).alias("key"))
+        else:
+            next_hub = open_keys.join(central, "key").groupBy("band").agg(F.max(F.struct("score", "key")).alias("m")).select("band", "m.key")
+        next_hub = materialize(next_hub, "hubs")
+        used = used.union(next_hub)
+        at_hub = now.join(next_hub, ["band", "key"]).select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        pairs = now.join(at_hub, "band").filter((F.col("comp") != F.col("comp_b")) & _size_fits(F.col("n"), F.col("n_b")))
+        pairs = materialize(_ordered(pairs.select(F.col("key").alias("a"), "b")).distinct().join(tried, ["a", "b"], "left_anti"), "star-pairs")
+        links = confirmed(pairs, sets)
+        tried = tried.union(pairs)
+        few = links.count() * FEW_LINKS < pairs.count()
+        comps = components(links, comps)
+        turn += 1
+
+    pairs = prefix_pairs(now.select("key", "n", "comp").distinct(), sets).join(tried, ["a", "b"], "left_anti")
+    comps = components(confirmed(materialize(pairs, "pairs"), sets), comps)
     return sig.select("key", "n_shingles").join(members.select("key", "rep"), "key", "left"), comps
 
 
