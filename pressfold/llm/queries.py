@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import decontaminate, ftrl, html, language, mixing, neardup, sharding, topk
+from pressfold.llm import decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": neardup.op1_neardup,
     "op2_html": html.op2_html,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_exactdup": exactdup.op5_exactdup,
     "op6_toxicity": ftrl.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op8_topk": topk.op8_topk,
