@@ -65,8 +65,9 @@ def collection_bwt(data: np.ndarray, first: np.ndarray, cap: int) -> tuple[np.nd
             p = row[active]
             n = len(bwt)
             by_symbol = np.argsort(bwt, kind="stable")  # pending rows hold 0 and sort in front
-            end = np.cumsum(np.bincount(bwt, minlength=257))
-            begin = end - np.bincount(bwt, minlength=257)
+            counts = np.bincount(bwt, minlength=257)
+            end = np.cumsum(counts)
+            begin = end - counts
             at = np.empty(len(active), np.int64)
             cut = np.searchsorted(symbol, np.arange(258))
             for c in np.flatnonzero(np.diff(cut)):
@@ -88,7 +89,6 @@ def collection_bwt(data: np.ndarray, first: np.ndarray, cap: int) -> tuple[np.nd
             fix = np.flatnonzero((after >= 0) & last)
             lcp_next = np.minimum(_least(lcp, p[fix] + 1, after[fix] + 1).astype(np.int64) + 1, cap)
             bwt[p] = symbol
-            lcp = lcp.copy()
             lcp[base[symbol[fix]] + rank[fix]] = lcp_next
             inserted = np.sort(place)
             files.write(_merged(bwt, place, np.zeros(len(active), np.uint8)), _merged(lcp, place, value))

@@ -10,8 +10,9 @@ or earlier in the document). Strings never cross documents; all are judged on th
 2. Only blocks of repeated anchors go on. Equal blocks collapse to the first in the task: windows of the others
    repeat it. Blocks of anchors with more than ``HOT_SHARE`` of the blocks are cut into single windows, which are
    dealt by their own content, so that a frequent passage with many different neighbours is spread.
-3. For each bucket the Burrows-Wheeler transform and the common prefixes of its blocks are built column by
-   column (:mod:`pressfold.llm.bwt`). Rows with a common prefix of LENGTH bytes are the
+3. In each bucket equal blocks collapse once more; an anchor that is left with one block is settled, and
+   windows whose hash no other window of the bucket has are cut off. Of all other blocks
+   the Burrows-Wheeler transform and the common prefixes are built column by column (:mod:`pressfold.llm.bwt`). Rows with a common prefix of LENGTH bytes are the
    occurrences of one string; all but the first occurrence are removed.
 4. The removed windows of each document are united.
 
@@ -50,7 +51,7 @@ SEGMENT = 1 << 21
 FLUSH = 1 << 20
 
 #: Bytes of blocks that one collection holds at most (a bucket with more is worked off in the order of anchors).
-COLLECTION = 4 << 20
+COLLECTION = 1 << 19
 
 U64 = np.uint64
 BLOB = "bucket int, n int, blob binary"
@@ -246,6 +247,31 @@ def later_windows(r: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key[cut], at[cut], at[last] - at[cut] + 1
 
 
+def _trimmed(r: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks cut down to the windows whose hash another window has; a window that is alone repeats nothing."""
+    n = r["n"].astype(np.int64)
+    first = np.cumsum(n) - n
+    block = np.repeat(np.arange(len(r)), n)
+    step = np.arange(len(block)) - first[block]
+    start = at[block] + step
+    h = tv.span_hash(tv.prefix_hash(data), start, start + LENGTH)
+    order = np.argsort(h)
+    s = h[order]
+    same = s[1:] == s[:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:]] = same
+    twice[order[:-1]] |= same
+    block, step = block[twice], step[twice]
+    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
+    low, high = step[cut], step[np.append(cut[1:], len(block)) - 1] if len(block) else cut
+    own = block[cut]
+    out, at = r[own].copy(), at[own] + low
+    out["a"] += low.astype(np.int32)
+    out["n"] = high - low + 1
+    out["size"] = high - low + LENGTH
+    return out, at
+
+
 def _removals(group: pa.Table) -> pa.Table:
     """The runs of repeated windows of one bucket."""
     records, pieces, keys, starts, counts = [], [], [], [], []
@@ -273,6 +299,9 @@ def _removals(group: pa.Table) -> pa.Table:
         starts.append(r["a"][~new])
         counts.append(r["n"][~new].astype(np.int32))
         r, at = r[new], at[new]
+        several = np.append(r["h"][1:] == r["h"][:-1], False)  # anchors with one block only: its copies are settled
+        several[1:] |= r["h"][1:] == r["h"][:-1]
+        r, at = _trimmed(r[several], at[several], data)
         a, sizes = 0, np.cumsum(r["size"], dtype=np.int64)
         while a < len(r):
             b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + COLLECTION, "right"))
