@@ -1,10 +1,258 @@
-"""Queries over the test tables, one for each operator or plan, with their SQL."""
+"""Queries over the test tables, one for each operator or plan, with their SQL.
+
+Stand-ins: orders are stories and lineitem rows their articles (l_suppkey the outlet, l_shipdate the date,
+l_partkey the title), s_suppkey % 6 a supplier's bias (0: unrated), o_orderpriority a story's topic, documents articles with
+text (source the outlet, the first line the title), conversations model responses, events fetched payloads.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressfold.functions import text as tx
+from pressfold.operators import quality, stories
+from pressfold.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _stories(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), F.col("o_orderpriority").alias("topic"))
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with an id that orders them: the natural key of lineitem is not unique."""
+    l = _t(spark, d, "lineitem")
+    key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.date_format("l_shipdate", "yyyyMMdd"), F.round(F.col("l_extendedprice") * 100).cast("long"))
+    return l.select(F.col("l_orderkey").alias("story_id"), key.alias("id"), F.col("l_partkey").alias("title"), F.col("l_suppkey").alias("outlet_id"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("quantity"))
+
+
+ARTICLES_SQL = """SELECT l_orderkey AS story_id, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, strftime(l_shipdate, '%Y%m%d'), round(l_extendedprice * 100)::BIGINT) AS id,
+ l_partkey AS title, l_suppkey AS outlet_id, l_shipdate AS date, l_quantity AS quantity FROM lineitem"""
+
+
+@query("SELECT o_orderkey AS story_id, count(*) AS articles, max(l_shipdate) AS latest FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) > 1 ORDER BY latest DESC NULLS FIRST, story_id LIMIT 25 OFFSET 25")
+def feed_page(spark: SparkSession, d: str) -> DataFrame:
+    """Second page of stories with several articles."""
+    return stories.page(stories.feed(_stories(spark, d), _articles(spark, d), least=2), number=2)
+
+
+@query("SELECT o_orderkey AS story_id, count(*) AS articles, max(l_shipdate) AS latest FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
+def feed_topic(spark: SparkSession, d: str) -> DataFrame:
+    """All stories of a topic."""
+    s = _stories(spark, d)
+    return stories.feed(s, _articles(spark, d), topics=s, topic="1-URGENT")
+
+
+@query("SELECT o_orderkey AS story_id, count(*) AS articles, max(l_shipdate) AS latest FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE false GROUP BY 1")
+def feed_unknown_topic(spark: SparkSession, d: str) -> DataFrame:
+    s = _stories(spark, d)
+    return stories.feed(s, _articles(spark, d), topics=s, topic="no such topic")
+
+
+@query("SELECT count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS pages FROM (SELECT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) > 1)")
+def feed_total(spark: SparkSession, d: str) -> DataFrame:
+    return stories.feed(_stories(spark, d), _articles(spark, d), least=2).agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / 25.0).alias("pages"))
+
+
+@query("SELECT o_orderkey AS story_id, count(l_orderkey) AS articles, count(DISTINCT s_name) AS outlets, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS names FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def story_outlets(spark: SparkSession, d: str) -> DataFrame:
+    """Every story with its articles' outlets (outer joins)."""
+    a, s = _articles(spark, d), _t(spark, d, "supplier")
+    rows = _stories(spark, d).join(a, "story_id", "left").join(s, F.col("outlet_id") == F.col("s_suppkey"), "left")
+    return rows.groupBy("story_id").agg(F.count("id").alias("articles"), F.count_distinct("s_name").alias("outlets"), F.nullif(F.array_join(F.sort_array(F.collect_set("s_name")), ","), F.lit("")).alias("names"))
+
+
+@query(rf"""WITH a AS ({ARTICLES_SQL}),
+o AS (SELECT *, CASE WHEN outlet_id % 7 = 0 THEN 'MSN' ELSE 'Outlet ' || outlet_id END AS outlet FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY story_id, title, outlet_id ORDER BY date DESC NULLS LAST, id) AS n FROM o),
+g AS (SELECT *, contains(outlet, 'MSN') AS agg FROM f WHERE n = 1),
+h AS (SELECT *, max((NOT agg AND quantity * 20 > 500)::INT) OVER (PARTITION BY story_id) AS good FROM g)
+SELECT story_id, id, outlet, row_number() OVER (PARTITION BY story_id ORDER BY date DESC NULLS LAST, agg, id)::INT AS position FROM h WHERE good = 0 OR NOT agg""")
+def shown_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Deduplicated articles of each story without aggregators where an original is good."""
+    a = _articles(spark, d).withColumn("outlet", F.when(F.col("outlet_id") % 7 == 0, "MSN").otherwise(F.concat(F.lit("Outlet "), F.col("outlet_id"))))
+    return stories.shown_articles(a.withColumn("content_length", F.col("quantity") * 20)).select("story_id", "id", "outlet", "position")
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), ';[^/]*$', '') AS normalized,
+regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS domain FROM pages""")
+def page_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", tx.normalize_url(F.col("url")).alias("normalized"), tx.domain(F.col("url")).alias("domain"))
+
+
+CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '\s+', ' ', 'g'))".replace('\\"', '"')
+TAGLESS = r"trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, md5({CLEAN.format('html')}) AS stripped, left({TAGLESS.format('html')}, 300) AS snippet FROM pages")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.md5(tx.strip_html(F.col("html")).cast("binary")).alias("stripped"), tx.snippet(F.col("html")).alias("snippet"))
+
+
+_STRONG = " ".join(f"WHEN contains(t, '{s.replace(chr(39), chr(39) * 2)}') THEN 'strong: {s.replace(chr(39), chr(39) * 2)}'" for s in quality.STRONG_SIGNS)
+_WEAK = " ".join(f"WHEN length(t) < 300 AND contains(t, '{s}') THEN 'weak: {s} in ' || length(t)" for s in quality.WEAK_SIGNS)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN text = '' THEN NULL {_STRONG} {_WEAK} END AS reason FROM (SELECT *, lower({TAGLESS.format('text')}) AS t FROM conversations)")
+def bad_scrapes(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").select("conv_id", "turn", quality.bad_scrape(F.col("text")).alias("reason"))
+
+
+@query(r"""WITH p AS (SELECT page_id, length(html) < 1500 AS bad, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS domain FROM pages)
+SELECT page_id, domain, bad OR (coalesce(max(bad::INT) OVER (PARTITION BY domain ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AND domain <> '') AS cleared FROM p""")
+def domain_suppression(spark: SparkSession, d: str) -> DataFrame:
+    """A flagged page clears the later pages of its domain."""
+    p = _t(spark, d, "pages").select("page_id", (F.length("html") < 1500).alias("bad"), tx.domain(F.col("url")).alias("domain"))
+    return quality.suppress_domains(p, F.col("bad"), [F.col("page_id")]).select("page_id", "domain", "cleared")
+
+
+@query(r"""WITH p AS (SELECT page_id, length(html) < 1000 AS bad, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS domain FROM pages),
+b AS (SELECT domain FROM p WHERE bad AND domain <> '' GROUP BY domain)
+SELECT page_id, domain FROM p WHERE domain NOT IN (SELECT domain FROM b)""")
+def unblocked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of domains that are not blocked; domains of very short pages were added to the permanent entries."""
+    p = _t(spark, d, "pages").select("page_id", "html", tx.domain(F.col("url")).alias("domain"))
+    found = p.filter(F.length("html") < 1000).select("domain", F.lit("short").alias("reason"), F.col("page_id").alias("ord"))
+    return p.join(quality.add_blocked(quality.blocklist(spark), found), "domain", "left_anti").select("page_id", "domain")
+
+
+def _any(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)
+SELECT page_id, CASE WHEN {_any('url', quality.SKIPPED)} THEN 'skip' WHEN {_any('url', quality.BROWSER)} THEN 'browser' WHEN {_any('url', quality.CRAWLER)} THEN 'crawler' ELSE 'default' END AS route
+FROM p WHERE coalesce(title, '') <> '' AND coalesce(url, '') <> '' AND NOT {_any('url', quality.BLOCKED_SOURCES)} AND NOT {_any('title', quality.BLOCKED_TITLES)}""")
+def accepted_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return p.filter(quality.accepted(F.col("title"), F.col("url"), tx.normalize_url(F.col("url")))).select("page_id", quality.route(F.col("url")).alias("route"))
+
+
+_AS_OF = "TIMESTAMP '2024-01-25 00:00:00'"
+
+
+@query("SELECT event_id, ts, (props->>'$.k')::INT AS k FROM events WHERE ts >= TIMESTAMP '2024-01-18 00:00:00'")
+def recent_payloads(spark: SparkSession, d: str) -> DataFrame:
+    e = payloads.recent(_t(spark, d, "events"), "ts", F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00")), 7)
+    return e.select("event_id", "ts", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-15 00:00:00'")
+def retained_payloads(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").withColumn("fetched_at", F.col("ts"))
+    return payloads.retained(e, F.to_timestamp_ntz(F.lit("2024-02-14 00:00:00"))).select("event_id", "ts")
+
+
+@query("""SELECT event_id AS id, 0 AS pos, event_type AS title, user_id::VARCHAR AS content, 'http://x.org/' || user_id AS url, 'Unknown' AS source_name, ts AS published_at, props AS image_url FROM events""")
+def payload_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles out of JSON payloads that are made of events."""
+    e = _t(spark, d, "events")
+    art = F.struct(F.col("event_type").alias("title"), F.col("user_id").cast("string").alias("content"), F.concat(F.lit("http://x.org/"), F.col("user_id")).alias("url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("publishedAt"), F.col("props").alias("urlToImage"))
+    p = e.select(F.col("event_id").alias("id"), F.lit("newsapi").alias("source"), F.to_json(F.struct(F.array(art).alias("articles"))).alias("payload"))
+    return payloads.articles(p, F.lit(None).cast("timestamp_ntz"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, 'http://x.org/' || o_custkey AS url FROM orders),
+f AS (SELECT 'http://x.org/' || user_id AS url, arg_min(props, event_id) AS image FROM events GROUP BY 1)
+SELECT s.id, s.url, f.image AS image_url FROM s LEFT JOIN f USING (url)""")
+def image_backfill(spark: SparkSession, d: str) -> DataFrame:
+    stored = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("http://x.org/"), F.col("o_custkey")).alias("url"), F.lit(None).cast("string").alias("image_url"))
+    found = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.lit(0).alias("pos"), F.concat(F.lit("http://x.org/"), F.col("user_id"), F.lit("?q")).alias("url"), F.col("props").alias("image_url"))
+    return payloads.backfill_images(stored, found)
+
+
+@query(f"""WITH a AS ({ARTICLES_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY id) AS n, nullif(outlet_id % 6, 0) AS bias FROM a)
+SELECT story_id, count(*) FILTER (bias <= 2) AS n_left, count(*) FILTER (bias = 3) AS n_center, count(*) FILTER (bias > 3) AS n_right, count(*) FILTER (bias IS NULL) AS n_unrated FROM f WHERE n <= 15 GROUP BY 1""")
+def bias_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return stories.bias_counts(_articles(spark, d), tx.bias_bucket(F.nullif(F.col("outlet_id") % 6, F.lit(0))))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 1 THEN 'Left' WHEN 2 THEN 'Lean Left' WHEN 3 THEN 'Center' WHEN 4 THEN 'Lean Right' WHEN 5 THEN 'Right' ELSE 'Unrated' END AS label FROM supplier")
+def bias_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_suppkey", tx.bias_label(F.nullif(F.col("s_suppkey") % 6, F.lit(0))).alias("label"))
+
+
+@query(f"""WITH a AS ({ARTICLES_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY id) AS n FROM a)
+SELECT story_id, string_agg('- ' || title, chr(10) ORDER BY id, title) AS context FROM f WHERE n <= 10 GROUP BY 1""")
+def title_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return stories.title_context(_articles(spark, d).withColumn("title", F.col("title").cast("string")))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '...' ELSE trim(t) END AS title FROM
+(SELECT doc_id, t, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS w FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)) WHERE NOT regexp_matches(t, ' [-|—] ')""")
+def clean_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t"))
+    return t.filter(~F.col("t").rlike(" [-|—] ")).select("doc_id", tx.clean_title(F.col("t")).alias("title"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '^[1-5]$') THEN trim(text)::INT END AS bias, ['Other'] AS topics FROM conversations WHERE NOT regexp_matches(lower(text), 'us politics|science/technology|gaming|sports|business/finance')")
+def model_responses(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").filter(~F.lower("text").rlike("us politics|science/technology|gaming|sports|business/finance"))
+    return c.select("conv_id", "turn", tx.bias_score(F.col("text")).alias("bias"), tx.topic_labels(F.col("text")).alias("topics"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN h <> '' AND len(string_split(trim(regexp_replace(h, '\s+', ' ', 'g')), ' ')) <= 20 THEN h END AS headline FROM (SELECT conv_id, turn, trim(regexp_replace(trim(text), '^["'']+|["'']+$', '', 'g')) AS h FROM conversations)""")
+def headlines(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").select("conv_id", "turn", tx.headline(F.col("text")).alias("headline"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS c FROM e a JOIN e b ON b.vec_id < a.vec_id),
+n AS (SELECT id, arg_max(other, c) AS other FROM p WHERE c >= 0.35 GROUP BY id),
+r AS (SELECT vec_id AS id, vec_id AS story FROM e WHERE vec_id NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, r.story FROM n JOIN r ON n.other = r.id)
+SELECT id, story FROM r""")
+def story_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Online assignment to stories; the threshold is low because the test vectors are far apart."""
+    return stories.assign_stories(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35)
+
+
+@query("""WITH a AS (SELECT l_orderkey AS story_id, count(DISTINCT l_suppkey) AS outlets, count(*) AS articles, max(l_shipdate) AS latest FROM lineitem GROUP BY 1),
+s AS (SELECT *, (outlets * 0.67 + articles * (1 - 0.67)) * pow(0.5, (epoch(TIMESTAMP '1999-01-01 00:00:00') - epoch(latest)) / 3600.0 / 24.0) AS score FROM a)
+SELECT story_id, outlets, articles, latest, round(score, 9) AS score FROM s ORDER BY s.score DESC, story_id LIMIT 20""")
+def front_page(spark: SparkSession, d: str) -> DataFrame:
+    return stories.rank_stories(_articles(spark, d), F.to_timestamp_ntz(F.lit("1999-01-01 00:00:00"))).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT doc_id, source FROM documents WHERE text IS NULL OR text = '' OR length(text) < 500")
+def missing_text(spark: SparkSession, d: str) -> DataFrame:
+    """Work queue: articles without a full text."""
+    return _t(spark, d, "documents").filter((F.coalesce("text", F.lit("")) == "") | (F.length("text") < 500)).select("doc_id", "source")
+
+
+@query("SELECT DISTINCT l_orderkey AS story_id, l_linenumber AS id, o_orderpriority AS topic FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def article_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Articles inherit their story's topics."""
+    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("story_id"), F.struct(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("n")).alias("id"))
+    return stories.retopic(a, _stories(spark, d)).select(F.col("id.s").alias("story_id"), F.col("id.n").alias("id"), "topic")
+
+
+@query()
+def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a greedy pass keeps; the url is stood in for by the text's hash."""
+    t = _t(spark, d, "documents")
+    return stories.greedy_dedup(t.select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("outlet"), F.length("text").alias("content_length")))
+
+
+@query()
+def outlet_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that resemble at least two of their outlet's latest."""
+    return quality.near_copies(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("text").alias("content")))
