@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressfold.functions.text import contains_any, without_tags
 
@@ -78,7 +79,7 @@ def suppress_domains(rows: DataFrame, bad: Column, order: list[Column]) -> DataF
     return rows.withColumn("cleared", bad | seen)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters of two texts."""
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
