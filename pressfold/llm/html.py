@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of each host's pages on where the article stands.
 
 1. Every page is parsed once; each container (an element that may hold an article) is
-   scored by the text of its own blocks without links, of inner containers by half. The page votes, with its
-   score, for the generalised tag-class path of its best container.
-2. Spark adds up the votes of each host; the path with the most wins (ties: the first by code point).
+   scored by the text of its own blocks without links, of inner containers by half. The page votes
+   for the generalised tag-class path of its best container.
+2. Spark counts the votes of each host; the path with the most wins (ties: the higher sum of scores, then
+   the first by code point).
 3. Every page is read again: the best container at its host's path is the article, or the page's own best
    where it has none there. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
    reader comments inside are left out; what remains is split at block elements.
@@ -209,7 +210,7 @@ def host(url: Column | str) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): for each host the path with the highest sum of its pages' scores."""
+    """(host, path): for each host the path that most of its pages vote for."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,8 +218,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([v[0] for v in votes], pa.string()), pa.array([int(v[1]) for v in votes], pa.int64())], ["host", "path", "score"])
 
     votes = pages.filter("html <> ''").select(host("url").alias("host"), "html").mapInArrow(one, "host string, path string, score long")
-    sums = votes.filter("score > 0").groupBy("host", "path").agg(F.sum("score").alias("votes"))
-    return sums.groupBy("host").agg(F.min(F.struct(-F.col("votes"), F.col("path"))).alias("m")).select("host", "m.path")
+    sums = votes.filter("score > 0").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
+    return sums.groupBy("host").agg(F.min(F.struct(-F.col("votes"), -F.col("score"), F.col("path"))).alias("m")).select("host", "m.path")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

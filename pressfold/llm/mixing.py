@@ -137,11 +137,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
     """The mix as documents: a document comes as often as it is taken whole, and once more if at least half of it is taken besides."""
-    taken = mix(docs, **params).filter("size > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    times = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    times = times.groupBy("doc_id").agg(F.max("_times").alias("_times"))
-    rows = docs.join(times, "doc_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = mix(docs.select("doc_id", "source", "text"), **params).filter("size > 0")
+    times = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0")
+    times = times.groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(times, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,10 +265,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has an earlier one."""
-    columns = docs.columns
-    rows, found = _keyed_classes(docs)
+    rows, found = _keyed_classes(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
     drop = found.filter("_key <> comp").select("_key")
-    return rows.join(drop, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return rows.join(drop, "_key", "left_anti").select("row.*")
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
