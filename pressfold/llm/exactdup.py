@@ -50,6 +50,9 @@ BROADCAST_KEYS = 1 << 20
 SEGMENT = 1 << 21
 FLUSH = 1 << 20
 
+#: Bytes of blocks that a task gathers before it sends them (their index takes eight times as much).
+BLOCK_BYTES = 8 << 20
+
 #: Bytes of blocks that one collection holds at most (a bucket with more is worked off in the order of anchors).
 COLLECTION = 1 << 19
 
@@ -212,7 +215,7 @@ def first_blocks(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 r["h"], r["g"], r["key"], r["a"], r["n"], r["size"] = np.where(h == 0, g, h), g, keys[a + text], start - bounds[text], n, size
                 where = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 held.append((r, data[where]))
-                if sum(len(d) for _, d in held) >= 32 * FLUSH:
+                if sum(len(d) for _, d in held) >= BLOCK_BYTES:
                     yield from flush()
         if held:
             yield from flush()
