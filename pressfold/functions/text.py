@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 TOPICS = ("US Politics", "Science/Technology", "Gaming", "Sports", "Business/Finance", "Other")
 
 
+def strip(c: Column) -> Column:
+    """Without white space, line ends included, on both sides."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def normalize_url(url: Column) -> Column:
@@ -73,7 +78,7 @@ def clean_title(title: Column) -> Column:
 
 def bias_score(raw: Column) -> Column:
     """1 to 5 from a response, else null."""
-    n = F.trim(raw).try_cast("int")
+    n = strip(raw).try_cast("int")
     return F.when(n.between(1, 5), n)
 
 
@@ -104,14 +109,97 @@ def match_choice(response: Column, n: Column | int) -> Column:
 
 def headline(raw: Column) -> Column:
     """A response without quotes around it, if it has 1 to 20 words."""
-    text = F.trim(F.regexp_replace(F.trim(raw), "^[\"']+|[\"']+$", ""))
+    text = strip(F.regexp_replace(strip(raw), "^[\"']+|[\"']+$", ""))
     return F.when((text != "") & (F.size(F.split(squeeze(text), " ")) <= 20), text)
 
 
 def between_markers(text: Column, start: str, end: str) -> Column:
     """What stands after ``start`` up to ``end`` (or the next ``start``, or the text's end); null without ``start``."""
     after = F.try_element_at(F.split(text, rf"\Q{start}\E", -1), F.lit(2))
-    return F.trim(F.element_at(F.split(after, rf"\Q{end}\E", -1), 1))
+    return strip(F.element_at(F.split(after, rf"\Q{end}\E", -1), 1))
+
+
+def whats_happening(summary: Column) -> Column:
+    return between_markers(summary, "What's happening:", "What's next:")
+
+
+def big_picture(summary: Column) -> Column:
+    return between_markers(summary, "The big picture:", "Why it matters:")
+
+
+# Labels of a report's sections, the opening ones in order of priority.
+OPENINGS = ("The story:", "What happened:", "The discovery or development:", "The discovery:", "The development:")
+FOLLOWING = (
+    "How the left is covering it:", "Why it matters:", "What's the game or company:", "Key performances:", "Market impact:",
+    "What experts are saying:", "Key details:", "Different perspectives:", "What the research shows:",
+    "What the coverage is saying:", "The bigger picture:",
+)
+
+
+def the_story(report: Column) -> Column:
+    """A report's opening section, up to the earliest label that may follow it; null if no opening is there."""
+    body = F.coalesce(*[F.try_element_at(F.split(report, rf"\Q{m}\E", -1), F.lit(2)) for m in OPENINGS])
+    ends = [F.nullif(F.position(F.lit(m), body), F.lit(0)) for m in FOLLOWING]
+    return strip(F.left(body, F.least(F.length(body) + 1, *ends) - 1))
+
+
+def section_lines(text: Column, label_below: int = 35, bullets: bool = False) -> Column:
+    """Lines of a report (or, with ``bullets`` and 30, of a summary) as structs kind, label, text.
+
+    A line is a ``label`` if fewer than ``label_below`` characters stand before its first colon, a ``bullet`` if it begins
+    with one, else ``para``. Empty lines are left out; null and empty texts give no lines.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
+
+    def shaped(line: Column) -> Column:
+        name = strip(F.substring_index(line, ":", 1))
+        labelled = F.contains(line, F.lit(":")) & (F.length(name) < label_below)
+        dotted = F.startswith(line, F.lit("•")) if bullets else F.lit(False)
+        kind = F.when(dotted, "bullet").when(labelled, "label").otherwise("para")
+        rest = F.when(dotted, strip(F.substr(line, F.lit(2)))).when(labelled, strip(F.substr(line, F.position(F.lit(":"), line) + 1))).otherwise(line)
+        return F.struct(kind.alias("kind"), F.when(~dotted & labelled, name).alias("label"), rest.alias("text"))
+
+    return F.transform(lines, shaped)
+
+
+PERSONAS = {  # fixed names
+    "politics": "political analyst", "science": "science and technology journalist", "gaming": "gaming journalist",
+    "sports": "sports journalist", "business": "financial journalist", "default": "professional news analyst",
+}
+
+
+def persona(kind: Column) -> Column:
+    """Who writes about stories of a kind."""
+    known = F.create_map(*[F.lit(x) for pair in PERSONAS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, kind), F.lit(PERSONAS["default"]))
+
+
+def guessed_title(title: Column) -> Column:
+    """A story's title out of an article's: up to the first colon, or else hyphen, or else six words."""
+    words = F.concat_ws(" ", F.slice(F.split(squeeze(title), " "), 1, 6))
+    return F.when(F.contains(title, F.lit(":")), F.substring_index(title, ":", 1)).when(F.contains(title, F.lit("-")), F.substring_index(title, "-", 1)).when(title.isNotNull(), words)
+
+
+def display_title(headline: Column, title: Column) -> Column:
+    return F.coalesce(F.nullif(headline, F.lit("")), title)
+
+
+def outlet_label(score: Column) -> Column:
+    """Label of an outlet's rating, cut to a whole number; null for none and 0."""
+    return F.nullif(bias_label(score.cast("int")), F.lit("Unrated"))
+
+
+def short_date(date: Column) -> Column:
+    return F.date_format(date, "MMM dd, yyyy")
+
+
+def long_date(date: Column) -> Column:
+    return F.date_format(date, "MMMM dd, yyyy")
+
+
+def blocked_since(added: Column, permanent: Column) -> Column:
+    """How a blocklist shows an entry: since when, and whether for good."""
+    return F.struct(F.coalesce(F.date_format(added, "yyyy-MM-dd"), F.lit("—")).alias("since"), F.when(permanent, "Permanent").otherwise("Auto-blocked").alias("status"))
 
 
 def analysis_type(topics: Column) -> Column:

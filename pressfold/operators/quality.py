@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressfold.functions.text import contains_any, without_tags
+from pressfold.session import durable
 
 # Phrases, domains and names that results must be judged by.
 STRONG_SIGNS = (
@@ -73,10 +73,14 @@ def unblock(blocked: DataFrame, domain: str) -> DataFrame:
 
 
 def suppress_domains(rows: DataFrame, bad: Column, order: list[Column]) -> DataFrame:
-    """``rows`` (domain, ...) with the column cleared: bad rows, and every row of a domain after a bad one."""
-    before = Window.partitionBy("domain").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(bad).over(before), F.lit(False)) & (F.col("domain") != "")
-    return rows.withColumn("cleared", bad | seen)
+    """``rows`` (domain, ...) with the column cleared: bad rows, and every row of a domain after a bad one.
+
+    Nulls in ``order`` come last. Each domain's first bad place is joined back, so no domain's rows meet in one task.
+    """
+    place = F.struct(*[c for k, o in enumerate(order) for c in (o.isNull().alias(f"null_{k}"), o.alias(f"at_{k}"))])
+    wrong = F.coalesce(bad, F.lit(False))
+    first = rows.filter(wrong & (F.col("domain") != "")).groupBy("domain").agg(F.min(place).alias("_first"))
+    return rows.join(first, "domain", "left").withColumn("cleared", wrong | F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -85,39 +89,53 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def near_copies(rows: DataFrame, last: int = 10, least: float = 0.85, chars: int = 2000, short: int = 100, needed: int = 2) -> DataFrame:
-    """Ids of ``rows`` (id, outlet, content) that at least ``needed`` of the outlet's ``last`` highest other ids resemble.
+def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10, least: float = 0.85, chars: int = 2000, short: int = 100) -> DataFrame:
+    """(id, other, ratio): rows (id, outlet, content) and those of the outlet's ``last`` highest other ids that they resemble.
 
-    Each row meets its outlet's ``last`` + 1 newest rows only. Lengths bound the ratio from
-    above, so most pairs need no comparison.
+    With ``stored`` the rows are incoming ones and meet the stored rows. A row meets ``last`` + 1 newest rows at most, so a
+    large outlet costs no more a row than a small one. Lengths bound the ratio from above, so most pairs need no
+    comparison.
     """
-    text = rows.filter("content <> ''").select("id", "outlet", F.left(without_tags(F.col("content")), F.lit(chars)).alias("text"))
-    newest = text.withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id")))).filter(F.col("n") <= last + 1)
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.filter("content <> ''").select("id", "outlet", F.left(without_tags(F.col("content")), F.lit(chars)).alias("text"))
+
+    text, pool = cut(rows), cut(rows if stored is None else stored)
+    newest = pool.withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id")))).filter(F.col("n") <= last + 1)
     pairs = text.filter(F.length("text") >= short).alias("x").join(newest.alias("y"), "outlet").filter("x.id <> y.id")
     # the row itself takes one place among the newest, if it is one of them
     own = newest.select(F.col("id").alias("own_id"), F.col("n").alias("own_n"))
     pairs = pairs.join(own, F.col("x.id") == F.col("own_id"), "left").filter((F.col("y.n") <= last) | F.col("own_n").isNotNull())
     a, b = F.length("x.text"), F.length("y.text")
-    close = pairs.filter((b >= short) & (F.least(a, b) * 2 > (a + b) * least)).select(F.col("x.id").alias("id"), sequence_ratio(F.col("x.text"), F.col("y.text")).alias("ratio"))
-    return close.filter(F.col("ratio") > least).groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= needed)
+    close = pairs.filter((b >= short) & (F.least(a, b) * 2 > (a + b) * least))
+    return close.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), sequence_ratio(F.col("x.text"), F.col("y.text")).alias("ratio")).filter(F.col("ratio") > least)
 
 
-def audit_fold(verdicts: DataFrame) -> DataFrame:
-    """Cleared rows of a retroactive audit, in order (outlet, id), on narrow rows.
+def near_copies(rows: DataFrame, stored: DataFrame | None = None, needed: int = 2, **rules: float) -> DataFrame:
+    """(id, copies) of rows that resemble at least ``needed`` of their outlet's latest; see ``copy_pairs`` for the rules."""
+    return copy_pairs(rows, stored, **rules).groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= needed)
 
-    ``verdicts``: outlet, id, domain, bad (boolean), copies (array of the earlier and later ids that the row resembles).
-    A cleared row leaves the later look-backs; a flagged domain clears its later rows. One outlet's rows
-    are folded in one task: they hold ids, never texts.
-    """
 
-    def fold(group: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        flagged: set[str] = set()
-        gone: set[int] = set()
-        for r in group.sort_values("id").itertuples():
-            if r.domain in flagged or r.bad or sum(c not in gone for c in r.copies) >= 2:
-                gone.add(r.id)
-                if r.domain:
-                    flagged.add(r.domain)
-        return pd.DataFrame({"outlet": group["outlet"].iloc[0], "id": sorted(gone)})
-
-    return verdicts.groupBy("outlet").applyInPandas(fold, verdicts.select("outlet", "id").schema)
+def audit(verdicts: DataFrame) -> DataFrame:
+    """(outlet, id) of the rows that a retroactive audit clears.
+
+    ``verdicts``: outlet, id, domain, bad (boolean), copies (ids of the same outlet that the row resembles). In the order
+    (outlet, id) a row is cleared if it is bad, follows a cleared row of its domain, or resembles two rows
+    that are not cleared yet. A verdict rests on earlier ones only, so repeating the rule until nothing
+    changes gives the verdicts of the ordered scan; rounds follow the longest chain of verdicts.
+    """
+    place = F.struct(F.col("outlet").isNull().alias("last"), F.col("outlet").alias("outlet"), F.col("id").alias("id"))
+    rows = durable(verdicts.select("outlet", "id", "domain", F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce(F.size("copies"), F.lit(0)).alias("n"), place.alias("place"), "copies"))
+    pairs = durable(rows.select("id", F.explode("copies").alias("copy")).filter("copy < id"))
+    rows = rows.drop("copies")
+    now = rows.withColumn("cleared", F.col("bad"))
+    while True:
+        gone = now.filter("cleared")
+        left = pairs.join(gone.select(F.col("id").alias("copy")), "copy").groupBy("id").agg(F.count(F.lit(1)).alias("gone"))
+        first = gone.filter("domain <> ''").groupBy("domain").agg(F.min("place").alias("first"))
+        alive = F.col("n") - F.coalesce("gone", F.lit(0))
+        again = F.col("bad") | (alive >= 2) | F.coalesce(F.col("place") > F.col("first"), F.lit(False))
+        step = durable(now.withColumnRenamed("cleared", "before").join(left, "id", "left").join(first, "domain", "left").withColumn("cleared", again).select(*rows.columns, "before", "cleared"))
+        if not step.filter("before <> cleared").take(1):
+            return step.filter("cleared").select("outlet", "id")
+        now = step.drop("before")

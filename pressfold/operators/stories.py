@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressfold.functions.text import bias_bucket, strip, strip_html
 from pressfold.session import durable
 
 AGGREGATORS = ("Yahoo News", "Google News", "MSN", "AOL", "Startups")  # fixed names
@@ -47,53 +47,49 @@ def shown_articles(articles: DataFrame, long: int = 500) -> DataFrame:
     return shown.withColumn("position", F.row_number().over(order))
 
 
-def smallest_reachable(links: DataFrame) -> DataFrame:
-    """(id, root) of the ids in ``links`` (a, b): the smallest id that is reachable."""
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    now = both.select("id").distinct().withColumn("root", F.col("id"))
+def first_wins(rows: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (id, u, t, ...) that a scan in order of id keeps: neither u nor t belongs to a row kept before.
+
+    In each round the undecided rows that come first by both keys stay, and all rows that share a key with them are
+    decided. Rounds follow the longest chain of alternating keys; no key's rows are gathered anywhere.
+    """
+    undecided, kept = durable(rows), None
     while True:
-        near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("root").alias("near"))
-        step = now.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = durable(step.join(jump, "root", "left").select("id", "old", F.coalesce("next", "root").alias("root")))
-        if not step.filter("old <> root").take(1):
-            return step.select("id", "root")
-        now = step.select("id", "root")
+        by_u, by_t = (undecided.groupBy(k).agg(F.min("id").alias(f"first_{k}")) for k in ("u", "t"))
+        taken = durable(undecided.join(by_u, "u").join(by_t, "t").filter("id = first_u AND id = first_t").select(rows.columns))
+        kept = taken if kept is None else kept.unionByName(taken)
+        undecided = durable(undecided.join(taken.select("u"), "u", "left_anti").join(taken.select("t"), "t", "left_anti"))
+        if not undecided.take(1):
+            return kept
+
+
+def dedup_keys(url: str, title: str, outlet: str) -> list[Column]:
+    """The keys u (url) and t (title and outlet) as 96-bit hashes; null equals null."""
+    hashed = lambda *c: F.struct(F.xxhash64(*c).alias("x"), F.hash(*c).alias("y"))
+    return [hashed(F.col(url)).alias("u"), hashed(F.col(title).isNull(), F.col(title), F.col(outlet)).alias("t")]
 
 
 def greedy_dedup(rows: DataFrame, surplus: int = 500) -> DataFrame:
     """Ids of ``rows`` (id, url, title, outlet, content_length) that stay.
 
-    In order of id a row is a duplicate if its url, or else its title and outlet (null equals null), belongs to
-    a kept row. A duplicate that is longer than its original by more than ``surplus`` takes its place. Rows are linked
-    by their keys (each to the key's first row); each component is folded by itself, on narrow rows.
-    """
-    key = lambda *c: F.min("id").over(Window.partitionBy(*c))
-    narrow = rows.select("id", F.xxhash64("url").alias("u"), F.xxhash64("title", "outlet").alias("t"), F.coalesce("content_length", F.lit(0)).cast("long").alias("size"))
-    linked = narrow.withColumn("by_u", key("u")).withColumn("by_t", key("t"))
-    links = linked.select(F.col("id").alias("a"), F.col("by_u").alias("b")).filter("a <> b").union(linked.select("id", "by_t").filter("id <> by_t"))
-    roots = smallest_reachable(links)
-    member = narrow.join(roots, "id")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        by_u, by_t, size, gone = {}, {}, dict(zip(group["id"], group["size"], strict=True)), set()
-        for r in group.sort_values("id").itertuples():
-            first = by_u.get(r.u, by_t.get(r.t))
-            if first is None:
-                by_u[r.u] = by_t[r.t] = r.id
-            else:
-                gone.add(first if r.size > size[first] + surplus else r.id)
-        return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
-
-    gone = member.groupBy("root").applyInPandas(fold, "id long")
-    return rows.select("id").join(gone, "id", "left_anti")
-
-
-def nearest_earlier(vectors: DataFrame, least: float, block: int = 4096) -> DataFrame:
-    """(id, other, cosine): each vector's most similar earlier ones (all of equals) with a cosine of at least ``least`` and above 0.
-
-    Vectors are dealt into blocks; each pair of blocks is multiplied in a task of its own.
+    In order of id a row is a duplicate if its url, or else its title and outlet, belongs to a kept row. A duplicate that
+    is longer than its original by more than ``surplus`` takes its place. Only ids, hashes and lengths are shuffled.
     """
+    narrow = durable(rows.select("id", *dedup_keys("url", "title", "outlet"), F.coalesce("content_length", F.lit(0)).cast("long").alias("size")))
+    kept = first_wins(narrow)
+    original = lambda k: kept.select(k, F.col("id").alias(f"id_{k}"), F.col("size").alias(f"size_{k}"))
+    copies = narrow.join(kept.select("id"), "id", "left_anti").alias("c")
+    for k in ("u", "t"):
+        # a kept row that comes later has not been seen yet
+        o = original(k).withColumnRenamed(k, "key")
+        copies = copies.join(o, (F.col(k) == F.col("key")) & (F.col(f"id_{k}") < F.col("id")), "left").drop("key")
+    first, length = F.coalesce("id_u", "id_t"), F.when(F.col("id_u").isNotNull(), F.col("size_u")).otherwise(F.col("size_t"))
+    gone = copies.select(F.when(F.col("size") > length + surplus, first).otherwise(F.col("id")).alias("id"))
+    return rows.select("id").join(gone.distinct(), "id", "left_anti")
+
+
+def _packed(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Vectors (id, embedding) dealt into blocks of about ``block``: x, ids, m."""
     n = max(1, -(-vectors.count() // block))
     v = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("x"))
 
@@ -101,9 +97,20 @@ def nearest_earlier(vectors: DataFrame, least: float, block: int = 4096) -> Data
         m = np.array(group.column("v").to_pylist(), np.float64)
         return pa.table({"x": group.column("x")[:1], "ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
 
-    packed = durable(v.filter("id IS NOT NULL AND v IS NOT NULL").groupBy("x").applyInArrow(pack, "x long, ids binary, m binary"))
-    left = packed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-    right = packed.select(F.col("x").alias("y"), F.col("ids").alias("ids_y"), F.col("m").alias("m_y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    return durable(v.filter("id IS NOT NULL AND v IS NOT NULL").groupBy("x").applyInArrow(pack, "x long, ids binary, m binary")), n
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = 4096) -> DataFrame:
+    """(id, other, cosine): each query's most similar candidates (all of equals) with a cosine of at least ``least`` and above 0.
+
+    With ``earlier`` only candidates of a smaller id count. Vectors (id, embedding) are dealt into blocks; each
+    pair of blocks is multiplied in a task of its own and gives maxima only.
+    """
+    left, n_left = _packed(queries, block)
+    right, n_right = (left, n_left) if candidates is queries else _packed(candidates, block)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = left.withColumn("y", each(n_right))
+    right = right.select(F.col("x").alias("y"), F.col("ids").alias("ids_y"), F.col("m").alias("m_y")).withColumn("x", each(n_left))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,30 +118,86 @@ def nearest_earlier(vectors: DataFrame, least: float, block: int = 4096) -> Data
                 a, b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids_y"], np.int64)
                 p, q = np.frombuffer(r["m"]).reshape(len(a), -1), np.frombuffer(r["m_y"]).reshape(len(b), -1)
                 p, q = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (p, q))
-                s = np.where(b[None, :] < a[:, None], p @ q.T, -1.0)
+                s = p @ q.T
+                if earlier:
+                    s = np.where(b[None, :] < a[:, None], s, -1.0)
                 top = s.max(axis=1, initial=-1.0)
                 i, j = np.nonzero((s == top[:, None]) & (s >= least) & (s > 0))
                 yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(s[i, j])], ["id", "other", "cosine"])
 
-    found = left.join(right, ["x", "y"]).mapInArrow(one, "id long, other long, cosine double")
+    found = durable(left.join(right, ["x", "y"]).mapInArrow(one, "id long, other long, cosine double"))
     top = found.groupBy("id").agg(F.max("cosine").alias("top"))
     return found.join(top, "id").filter("cosine = top").drop("top")
 
 
-def assign_stories(vectors: DataFrame, accept: float = 0.92) -> DataFrame:
+def assign_stories(
+    vectors: DataFrame, accept: float = 0.92, ask: float = 0.8, judge: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """(id, story): each vector joins the story of its nearest earlier one if that is similar enough, else begins one.
 
     A story is named by its first id. Among equally near ones the earliest story counts, so a round takes the
-    smallest story of all nearest ones; rounds follow the depth of the forest.
+    smallest story of all nearest ones; rounds follow the depth of the forest. ``known`` (id, story) holds the
+    members of older stories, which stay where they are. ``judge`` gets the pairs (id, other, cosine) from ``ask`` up to
+    ``accept`` and returns those to join; without it none is. Equal vectors go with the first of them, so
+    a crowd of copies is compared once; a vector without length begins its own story.
     """
-    near = durable(nearest_earlier(vectors, accept).select("id", "other"))
-    now = durable(vectors.select("id", F.col("id").alias("story")))
+    long = F.exists("embedding", lambda x: x != 0)
+    rows = vectors.select("id", F.when(long, F.col("embedding")).alias("embedding"))
+    first = rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("first"))
+    whole = durable(rows.join(first, "embedding", "left").select("id", F.coalesce("first", "id").alias("first"), "embedding"))
+    heads = whole.filter("id = first").select("id", "embedding")
+    pairs = durable(nearest(heads, heads, accept if judge is None else min(ask, accept), earlier=True))
+    near = pairs.filter(F.col("cosine") >= accept).select("id", "other")
+    if judge is not None:
+        near = near.unionByName(judge(pairs.filter(F.col("cosine") < accept)).select("id", "other"))
+    now = heads.select("id", F.col("id").alias("story"))
+    if known is not None:
+        near = near.join(known.select("id"), "id", "left_anti")
+        now = now.join(known.select("id", F.col("story").alias("old")), "id", "left").select("id", F.coalesce("old", "story").alias("story"))
+    near, now = durable(near), durable(now)
     while True:
         moved = near.join(now.select(F.col("id").alias("other"), "story"), "other").groupBy("id").agg(F.min("story").alias("to"))
         step = durable(now.join(moved, "id", "left").select("id", F.col("story").alias("old"), F.coalesce("to", "story").alias("story")))
         if not step.filter("old <> story").take(1):
-            return step.select("id", "story")
+            break
         now = step.select("id", "story")
+    out = whole.select("id", "first").join(step.select(F.col("id").alias("first"), "story"), "first", "left").select("id", F.coalesce("story", "id").alias("story"))
+    if known is not None:
+        out = out.join(known.select("id", F.col("story").alias("old")), "id", "left").select("id", F.coalesce("old", "story").alias("story"))
+    return out
+
+
+def merge_singles(articles: DataFrame, accept: float = 0.92) -> DataFrame:
+    """(story_id, into): stories of one article and the story of several articles (story_id, id, embedding) that each joins.
+
+    One pass: the articles that stories had at the start decide, not those that move in meanwhile. Ties go to the smallest story.
+    """
+    sized = articles.join(articles.groupBy("story_id").agg(F.count(F.lit(1)).alias("_n")), "story_id")
+    singles, others = durable(sized.filter("_n = 1")), durable(sized.filter("_n > 1"))
+    pairs = nearest(singles.select("id", "embedding"), others.select("id", "embedding"), accept)
+    into = pairs.join(others.select(F.col("id").alias("other"), F.col("story_id").alias("into")), "other").groupBy("id").agg(F.min("into").alias("into"))
+    return singles.select("id", "story_id").join(into, "id").select("story_id", "into")
+
+
+def apply_merges(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """``rows`` (story_id, ...), such as articles or a bridge of topics, with merged stories renamed; equal rows stay once."""
+    to = rows.join(merges, "story_id", "left").withColumn("story_id", F.coalesce("into", "story_id")).drop("into")
+    return to.select(rows.columns).distinct()
+
+
+def keyword_candidates(articles: DataFrame, stories: DataFrame, most: int = 5, longer_than: int = 3) -> DataFrame:
+    """(id, story_id, overlap, position): the stories (story_id, title) that share most words with an article's title (id, title).
+
+    Words are lower-cased and longer than ``longer_than``; ties go to the smaller story_id.
+    """
+
+    def words(rows: DataFrame, key: str) -> DataFrame:
+        split = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > longer_than))
+        return rows.select(key, F.explode(split).alias("word"))
+
+    shared = words(articles, "id").join(words(stories, "story_id"), "word").groupBy("id", "story_id").agg(F.count(F.lit(1)).alias("overlap"))
+    order = Window.partitionBy("id").orderBy(F.desc("overlap"), "story_id")
+    return shared.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)
 
 
 def rank_stories(articles: DataFrame, as_of: Column, half_life_hours: float = 24.0, outlets_weight: float = 0.67, top: int = 20) -> DataFrame:
@@ -145,17 +208,74 @@ def rank_stories(articles: DataFrame, as_of: Column, half_life_hours: float = 24
     return per.withColumn("score", score).orderBy(F.desc("score"), "story_id").limit(top)
 
 
+def final_ranking(ranked: DataFrame, editorial: DataFrame, run_at: Column, base_weight: float = 0.6) -> DataFrame:
+    """History rows of a ranking run: ``ranked`` (story_id, score) with the ``editorial`` scores (story_id, editorial_score).
+
+    The base score is taken relative to the highest; a story without an editorial score counts 0 there (our own choices).
+    """
+    high = ranked.agg(F.max("score").alias("_high"))
+    base = ranked.crossJoin(F.broadcast(high)).select("story_id", (F.col("score") / F.nullif("_high", F.lit(0.0))).alias("base_score"))  # one row
+    both = base.join(editorial, "story_id", "left")
+    final = F.coalesce("base_score", F.lit(0.0)) * base_weight + F.coalesce("editorial_score", F.lit(0.0)) * (1 - base_weight)
+    return both.withColumn("final_score", final).withColumn("run_at", run_at)
+
+
 def bias_counts(articles: DataFrame, bucket: Column, most: int = 15) -> DataFrame:
     """Articles of each bias bucket among a story's first ``most``."""
     first = articles.withColumn("_n", F.row_number().over(Window.partitionBy("story_id").orderBy("id"))).filter(F.col("_n") <= most)
     return first.groupBy("story_id").agg(*[F.count_if(bucket == b).alias(f"n_{b}") for b in ("left", "center", "right", "unrated")])
 
 
+def _first(articles: DataFrame, most: int) -> DataFrame:
+    return articles.withColumn("_n", F.row_number().over(Window.partitionBy("story_id").orderBy("id"))).filter(F.col("_n") <= most)
+
+
 def title_context(articles: DataFrame, most: int = 10) -> DataFrame:
     """Each story's first titles as lines with a dash."""
-    first = articles.withColumn("_n", F.row_number().over(Window.partitionBy("story_id").orderBy("id"))).filter(F.col("_n") <= most)
     lines = F.sort_array(F.collect_list(F.struct("id", "title")))
-    return first.groupBy("story_id").agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("context"))
+    return _first(articles, most).groupBy("story_id").agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("context"))
+
+
+def story_context(articles: DataFrame, most: int = 10, chars: int = 1500) -> DataFrame:
+    """Each story's first titles, numbered, with the beginning of their text: what a summary is written from.
+
+    Texts are cut before the shuffle; an article without text gives its title only.
+    """
+    cut = articles.select("story_id", "id", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("content") != "", strip(F.left(strip_html(F.col("content")), F.lit(chars)))).alias("text"))
+    entry = F.concat(F.lit("Title: "), F.col("title"), F.coalesce(F.concat(F.lit("\n   Content: "), F.col("text")), F.lit("")))
+    numbered = _first(cut, most).select("story_id", "_n", F.concat(F.col("_n").cast("string"), F.lit(". "), entry).alias("entry"))
+    entries = F.sort_array(F.collect_list(F.struct("_n", "entry")))
+    return numbered.groupBy("story_id").agg(F.array_join(F.transform(entries, lambda x: x["entry"]), "\n\n").alias("context"))
+
+
+HEADINGS = {"left": "LEFT-LEANING", "center": "CENTER", "right": "RIGHT-LEANING", "unrated": "UNRATED"}  # fixed names
+
+
+def report_context(articles: DataFrame, most: int = 15, chars: int = 300) -> DataFrame:
+    """(story_id, context, by_bias): a story's articles (story_id, id, outlet, title, content, bias) for a report.
+
+    Articles follow the buckets left, center, right, unrated; ``by_bias`` puts a heading over each bucket, as political
+    stories have it.
+    """
+    cut = articles.select("story_id", "id", "outlet", "title", "bias", strip(F.left(strip_html(F.col("content")), F.lit(chars))).alias("text"))
+    line = F.concat(F.lit("- "), F.coalesce("outlet", F.lit("")), F.lit(": "), F.coalesce("title", F.lit("")), F.when(F.col("text") != "", F.concat(F.lit("\n  Excerpt: "), F.col("text"))).otherwise(""))
+    rows = _first(cut, most).select("story_id", bias_bucket(F.col("bias")).alias("bucket"), F.struct("id", line.alias("line")).alias("r"))
+    of = lambda b: F.transform(F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.col("r")))), lambda x: x["line"])
+    lists = rows.groupBy("story_id").agg(*[of(b).alias(b) for b in HEADINGS])
+    parts = [F.when(F.size(b) > 0, F.concat(F.lit(f"\n{name} Sources:\n"), F.array_join(b, "\n"))).otherwise("") for b, name in HEADINGS.items()]
+    return lists.select("story_id", F.array_join(F.concat(*HEADINGS), "\n").alias("context"), F.concat(*parts).alias("by_bias"))
+
+
+def rerate(articles: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``articles`` (outlet, bias, ...) with the new rating of their outlet where ``ratings`` (outlet, rating) has one."""
+    joined = articles.join(ratings.groupBy("outlet").agg(F.max("rating").alias("_rating")), "outlet", "left")
+    return joined.withColumn("bias", F.coalesce("_rating", "bias")).select(articles.columns)
+
+
+def add_missing(dimension: DataFrame, batch: DataFrame) -> DataFrame:
+    """``dimension`` (name, url, description) with a row for each new outlet name of ``batch`` (ord, name, url): its first url."""
+    new = batch.filter("name IS NOT NULL").groupBy("name").agg(F.min_by("url", "ord").alias("url")).join(dimension, "name", "left_anti")
+    return dimension.unionByName(new.withColumn("description", F.lit("N/A")))
 
 
 def retopic(stories: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressfold.functions import html, models
 from pressfold.functions import text as tx
 from pressfold.operators import quality, stories
 from pressfold.sources import payloads
@@ -210,7 +211,7 @@ def model_responses(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", tx.bias_score(F.col("text")).alias("bias"), tx.topic_labels(F.col("text")).alias("topics"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN h <> '' AND len(string_split(trim(regexp_replace(h, '\s+', ' ', 'g')), ' ')) <= 20 THEN h END AS headline FROM (SELECT conv_id, turn, trim(regexp_replace(trim(text), '^["'']+|["'']+$', '', 'g')) AS h FROM conversations)""")
+@query(r"""SELECT conv_id, turn, CASE WHEN h <> '' AND len(string_split(trim(regexp_replace(h, '\s+', ' ', 'g')), ' ')) <= 20 THEN h END AS headline FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g'), '^\s+|\s+$', '', 'g') AS h FROM conversations)""")
 def headlines(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.headline(F.col("text")).alias("headline"))
 
@@ -256,3 +257,126 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
 def outlet_near_copies(spark: SparkSession, d: str) -> DataFrame:
     """Articles that resemble at least two of their outlet's latest."""
     return quality.near_copies(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("text").alias("content")))
+
+
+@query(f"""WITH a AS ({ARTICLES_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY id) AS n FROM a)
+SELECT story_id, string_agg(n || '. Title: ' || title || CASE WHEN quantity > 25 THEN chr(10) || '   Content: q ' || quantity::INT ELSE '' END, chr(10) || chr(10) ORDER BY n) AS context FROM f WHERE n <= 10 GROUP BY 1""")
+def story_contexts(spark: SparkSession, d: str) -> DataFrame:
+    a = _articles(spark, d).withColumn("title", F.col("title").cast("string"))
+    return stories.story_context(a.withColumn("content", F.when(F.col("quantity") > 25, F.concat(F.lit("<p>q  "), F.col("quantity").cast("int"), F.lit("</p>"))).otherwise("")))
+
+
+_LINE = "'- ' || outlet_id || ': ' || title || CASE WHEN quantity > 25 THEN chr(10) || '  Excerpt: q ' || quantity::INT ELSE '' END"
+
+
+@query(f"""WITH a AS ({ARTICLES_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY id) AS n, nullif(outlet_id % 6, 0) AS bias FROM a),
+g AS (SELECT *, CASE WHEN bias <= 2 THEN 1 WHEN bias = 3 THEN 2 WHEN bias > 3 THEN 3 ELSE 4 END AS b, {_LINE} AS line FROM f WHERE n <= 15),
+h AS (SELECT story_id, b, chr(10) || ['LEFT-LEANING', 'CENTER', 'RIGHT-LEANING', 'UNRATED'][b] || ' Sources:' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS part, string_agg(line, chr(10) ORDER BY n) AS lines FROM g GROUP BY 1, 2)
+SELECT story_id, string_agg(lines, chr(10) ORDER BY b) AS context, string_agg(part, '' ORDER BY b) AS by_bias FROM h GROUP BY 1""")
+def report_contexts(spark: SparkSession, d: str) -> DataFrame:
+    a = _articles(spark, d).withColumn("title", F.col("title").cast("string")).withColumn("outlet", F.col("outlet_id").cast("string")).withColumn("bias", F.nullif(F.col("outlet_id") % 6, F.lit(0)))
+    return stories.report_context(a.withColumn("content", F.when(F.col("quantity") > 25, F.concat(F.lit("<p>q  "), F.col("quantity").cast("int"), F.lit("</p>")))))
+
+
+@query(r"""WITH a AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(string_split(text, chr(10))[1]), '\s+')) AS word FROM documents),
+s AS (SELECT DISTINCT item_id AS story_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark),
+o AS (SELECT id, story_id, count(*) AS overlap FROM a JOIN s USING (word) WHERE length(word) > 3 GROUP BY 1, 2)
+SELECT id, story_id, overlap, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, story_id)::INT AS position FROM o QUALIFY position <= 5""")
+def keyword_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Stories that share words with a title: items stand for stories."""
+    a = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    return stories.keyword_candidates(a, _t(spark, d, "benchmark").select(F.col("item_id").alias("story_id"), F.col("text").alias("title")))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 4 = 0 THEN vec_id ELSE label + 1000000000 END AS story_id FROM embeddings),
+z AS (SELECT *, count(*) OVER (PARTITION BY story_id) AS n FROM e),
+p AS (SELECT s.story_id, m.story_id AS into, list_cosine_similarity(s.e, m.e) AS c FROM z s JOIN z m ON s.n = 1 AND m.n > 1),
+b AS (SELECT *, max(c) OVER (PARTITION BY story_id) AS top FROM p WHERE c >= 0.35 AND c > 0)
+SELECT story_id, min("into") AS "into" FROM b WHERE c = top GROUP BY 1""".replace("AS into,", 'AS "into",'))
+def merged_singles(spark: SparkSession, d: str) -> DataFrame:
+    """Stories of one article that join one of several: every fourth vector is alone, labels gather the others."""
+    e = _t(spark, d, "embeddings").select(F.when(F.col("vec_id") % 4 == 0, F.col("vec_id")).otherwise(F.col("label").cast("long") + 1000000000).alias("story_id"), F.col("vec_id").alias("id"), "embedding")
+    return stories.merge_singles(e, 0.35)
+
+
+@query("SELECT l_orderkey AS story_id, l_linenumber AS n, l_suppkey AS outlet, CASE WHEN l_suppkey % 5 = 0 THEN 9.0 ELSE l_discount END AS bias FROM lineitem")
+def rerated_articles(spark: SparkSession, d: str) -> DataFrame:
+    """A new rating of an outlet goes to all of its articles."""
+    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("story_id"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("outlet"), F.col("l_discount").alias("bias"))
+    return stories.rerate(a, _t(spark, d, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("outlet"), F.lit(9.0).alias("rating")))
+
+
+@query("""SELECT s_name AS name, 'seed' AS url, 'seed' AS description FROM supplier
+UNION ALL SELECT 'user ' || user_id, arg_min(event_type || event_id, event_id), 'N/A' FROM events GROUP BY user_id""")
+def outlets_with_new(spark: SparkSession, d: str) -> DataFrame:
+    known = _t(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("seed").alias("url"), F.lit("seed").alias("description"))
+    e = _t(spark, d, "events")
+    return stories.add_missing(known, e.select(F.col("event_id").alias("ord"), F.concat(F.lit("user "), F.col("user_id")).alias("name"), F.concat("event_type", F.col("event_id")).alias("url")))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS story_id, count(*)::DOUBLE AS score FROM lineitem GROUP BY 1)
+SELECT story_id, score / max(score) OVER () AS base_score, CASE WHEN story_id % 3 = 0 THEN 0.5 END AS editorial_score,
+round(score / max(score) OVER () * 0.6 + CASE WHEN story_id % 3 = 0 THEN 0.5 ELSE 0 END * 0.4, 9) AS final_score, TIMESTAMP '2024-01-01' AS run_at FROM a""")
+def editorial_history(spark: SparkSession, d: str) -> DataFrame:
+    ranked = _articles(spark, d).groupBy("story_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    marks = ranked.filter("story_id % 3 = 0").select("story_id", F.lit(0.5).alias("editorial_score"))
+    return stories.final_ranking(ranked, marks, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).withColumn("final_score", F.round("final_score", 9))
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS raw FROM conversations),
+s AS (SELECT conv_id, turn, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS l FROM l),
+k AS (SELECT *, contains(l, ':') AND length(regexp_replace(string_split(l, ':')[1], '^\s+|\s+$', '', 'g')) < 35 AS lab FROM s WHERE l <> '')
+SELECT conv_id, turn, CASE WHEN lab THEN 'label' ELSE 'para' END AS kind, CASE WHEN lab THEN regexp_replace(string_split(l, ':')[1], '^\s+|\s+$', '', 'g') END AS label,
+CASE WHEN lab THEN regexp_replace(l[strpos(l, ':') + 1:], '^\s+|\s+$', '', 'g') ELSE l END AS text FROM k""")
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.inline(tx.section_lines(F.col("text"))))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%b %d, %Y') AS short, strftime(o_orderdate, '%B %d, %Y') AS long, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS title FROM orders")
+def display_rows(spark: SparkSession, d: str) -> DataFrame:
+    title = tx.display_title(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(""), F.col("o_orderstatus"))
+    return _t(spark, d, "orders").select("o_orderkey", tx.short_date(F.col("o_orderdate")).alias("short"), tx.long_date(F.col("o_orderdate")).alias("long"), title.alias("title"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN contains(t, ':') THEN string_split(t, ':')[1] WHEN contains(t, '-') THEN string_split(t, '-')[1]
+ELSE array_to_string(string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')[1:6], ' ') END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)""")
+def guessed_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", tx.guessed_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+
+
+@query()
+def page_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Sanitised article HTML of every page, by the extraction cascade."""
+    return _t(spark, d, "pages").select("page_id", html.article_html(F.col("html")).alias("article"))
+
+
+@query()
+def sanitized_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", html.sanitize(F.col("html")).alias("html"))
+
+
+@query()
+def judged_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Assignment with a judge for the middle band; here it takes pairs of one label."""
+    e = _t(spark, d, "embeddings")
+    label = e.select(F.col("vec_id").alias("id"), "label")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        return pairs.join(label, "id").join(label.select(F.col("id").alias("other"), F.col("label").alias("other_label")), "other").filter("label = other_label")
+
+    return stories.assign_stories(e.select(F.col("vec_id").alias("id"), "embedding"), 0.45, 0.35, judge)
+
+
+@query()
+def retroactive_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Documents an audit clears: bad scrapes and near-copies of their outlet; domains are left out."""
+    t = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("lang").alias("domain"), F.col("text").alias("content"))
+    copies = quality.copy_pairs(t).groupBy("id").agg(F.collect_list("other").alias("copies"))
+    return quality.audit(t.select("id", "outlet", F.lit("").alias("domain"), quality.bad_scrape(F.col("content")).isNotNull().alias("bad")).join(copies, "id", "left"))
+
+
+@query("SELECT doc_id, 0 AS bias, ['Other'] AS topics FROM documents WHERE false")
+def unanswered_models(spark: SparkSession, d: str) -> DataFrame:
+    """Without a provider no rating is given and every topic is Other."""
+    t = _t(spark, d, "documents").select("doc_id", models.article_bias(F.lit(""), F.col("text"), None).alias("bias"), models.topics(F.lit(""), F.col("text"), None).alias("topics"))
+    return t.filter("bias IS NOT NULL OR topics <> array('Other')")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressfold.functions.text import blank_to_null, normalize_url
+from pressfold.operators.stories import dedup_keys, first_wins
 
 ARTICLES = "articles array<struct<title: string, content: string, description: string, url: string, source: struct<name: string>, publishedAt: string, urlToImage: string, image: string>>"
 
@@ -40,7 +41,11 @@ def backfill_images(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def new_articles(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of ``batch`` (ord, url, title, outlet, ...) whose normalised url, and title and outlet, are not in ``stored``; the first of equal urls."""
+    """Rows of ``batch`` (ord, url, title, outlet, ...) that are new, with normalised urls.
+
+    A row is left out if ``stored``, or a row of the batch that was taken before it, has its url or its title and outlet.
+    """
     keyed = batch.withColumn("url", normalize_url(F.col("url")))
     fresh = keyed.join(stored.select("url").distinct(), "url", "left_anti").join(stored.select("title", "outlet").distinct(), ["title", "outlet"], "left_anti")
-    return fresh.groupBy("url").agg(F.min_by(F.struct(*fresh.columns), "ord").alias("r")).select("r.*")
+    taken = first_wins(fresh.select(F.col("ord").alias("id"), *dedup_keys("url", "title", "outlet")))
+    return fresh.join(taken.select(F.col("id").alias("ord")), "ord", "left_semi")

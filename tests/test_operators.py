@@ -66,12 +66,67 @@ def test_payloads(spark):
     assert sorted((r["url"], r["image_url"]) for r in payloads.backfill_images(stored, got).filter("image_url is not null").collect()) == [("http://x/1", "i"), ("http://x/1", "k")]
 
 
-def test_near_copies_and_fold(spark):
+def test_near_copies_and_audit(spark):
     base = " ".join(f"word{i}" for i in range(60))
     rows = [(i, "o", base + f" tail{i}") for i in range(3)] + [(9, "o", " ".join(f"else{i}" for i in range(60))), (10, "p", base)]
     assert sorted(r["id"] for r in quality.near_copies(spark.createDataFrame(rows, "id long, outlet string, content string")).collect()) == [0, 1, 2]
     v = spark.createDataFrame([("o", 1, "d", False, [2, 3]), ("o", 2, "e", False, [1, 3]), ("o", 3, "d", False, []), ("o", 4, "f", True, [])], "outlet string, id long, domain string, bad boolean, copies array<long>")
-    assert sorted(r["id"] for r in quality.audit_fold(v).collect()) == [1, 3, 4]
+    assert sorted(r["id"] for r in quality.audit(v).collect()) == [1, 3, 4]
+
+
+def scan(rows):
+    flagged, gone = set(), set()
+    for _, i, domain, bad, copies in sorted(rows):
+        if domain in flagged or bad or sum(c not in gone for c in copies) >= 2:
+            gone.add(i)
+            if domain:
+                flagged.add(domain)
+    return gone
+
+
+def test_audit_is_the_scan(spark):
+    rnd = random.Random(5)
+    rows = [(f"o{i % 3}", i, rnd.choice(["", "", "", f"d{i % 11}"]), rnd.random() < 0.05, rnd.sample([j for j in range(120) if j % 3 == i % 3 and j != i], rnd.choice([0, 0, 0, 1, 2, 3]))) for i in range(120)]
+    got = quality.audit(spark.createDataFrame(rows, "outlet string, id long, domain string, bad boolean, copies array<long>")).collect()
+    assert {r["id"] for r in got} == scan(rows)
+
+
+def test_copies_of_incoming(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    schema = "id long, outlet string, content string"
+    stored = spark.createDataFrame([(1, "o", base + " a"), (2, "o", base + " b"), (3, "p", base)], schema)
+    new = spark.createDataFrame([(10, "o", base), (11, "p", base), (12, "o", None), (13, None, base)], schema)
+    assert [r["id"] for r in quality.near_copies(new, stored).collect()] == [10]
+
+
+def test_first_in_batch_wins(spark):
+    schema = "ord int, url string, title string, outlet string"
+    rows = [(1, "u1", "t1", "o"), (2, "u2", "t1", "o"), (3, "u2", "t3", "o"), (4, "u1", "t4", "o"), (5, "u5", "t1", "p")]
+    got = payloads.new_articles(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))
+    assert sorted(r["ord"] for r in got.collect()) == [1, 3, 5]
+
+
+def test_assignment_ties_copies_known_judge(spark):
+    schema = "id long, embedding array<float>"
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0])] + [(k, [1.0, 0.0]) for k in range(3, 40)] + [(50, [1.0, 1.0]), (51, [3.0, 0.0])]
+    v = spark.createDataFrame(rows, schema)
+    got = dict(stories.assign_stories(v, 0.7).collect())
+    assert {got[k] for k in range(3, 40)} == {1} and got[50] == 1 and got[51] == 1 and got[2] == 2
+    none = dict(stories.assign_stories(v, 0.9, 0.6).collect())
+    assert none[50] == 50
+    asked = dict(stories.assign_stories(v, 0.9, 0.6, lambda pairs: pairs.filter("other = 2")).collect())
+    assert asked[50] == 2
+    known = dict(stories.assign_stories(v, 0.9, known=spark.createDataFrame([(1, -7), (2, -8)], "id long, story long")).collect())
+    assert known[1] == -7 and known[20] == -7 and known[2] == -8 and known[50] == 50
+
+
+def test_merge_of_singles(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 2, [0.9, 0.1]), (2, 3, [1.0, 0.05]), (3, 4, [0.0, 1.0]), (4, 5, None)]
+    a = spark.createDataFrame(rows, "story_id long, id long, embedding array<float>")
+    merges = stories.merge_singles(a)
+    assert [tuple(r) for r in merges.collect()] == [(2, 1)]
+    bridge = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "z")], "story_id long, topic string")
+    assert sorted(map(tuple, stories.apply_merges(bridge, merges).collect())) == [(1, "x"), (1, "y"), (3, "z")]
 
 
 def test_stream(spark, tmp_path):
