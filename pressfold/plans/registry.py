@@ -375,8 +375,7 @@ def retroactive_audit(spark: SparkSession, d: str) -> DataFrame:
     return quality.audit(t.select("id", "outlet", F.lit("").alias("domain"), quality.bad_scrape(F.col("content")).isNotNull().alias("bad")).join(copies, "id", "left"))
 
 
-@query("SELECT doc_id, 0 AS bias, ['Other'] AS topics FROM documents WHERE false")
+@query("SELECT doc_id, NULL::INT AS bias, ['Other'] AS topics FROM documents")
 def unanswered_models(spark: SparkSession, d: str) -> DataFrame:
     """Without a provider no rating is given and every topic is Other."""
-    t = _t(spark, d, "documents").select("doc_id", models.article_bias(F.lit(""), F.col("text"), None).alias("bias"), models.topics(F.lit(""), F.col("text"), None).alias("topics"))
-    return t.filter("bias IS NOT NULL OR topics <> array('Other')")
+    return _t(spark, d, "documents").select("doc_id", models.article_bias(F.lit(""), F.col("text"), None).alias("bias"), models.topics(F.lit(""), F.col("text"), None).alias("topics"))
