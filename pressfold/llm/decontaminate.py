@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, a bound for each passage, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and characters beyond ASCII, lower-cased (A-Z). The benchmark is taken in
 blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes; a block is what is broadcast, so its
 size is bounded, and every block meets the whole corpus.
 
-1. All three-word seeds of the block are counted over all documents (counts are summed in the tasks first).
-2. An item keeps the seeds that are rare for it: counted at most ``RARE`` times, or ``RARE_FACTOR`` times as
-   often as its rarest one. An item that was copied often has frequent seeds only, and keeps them.
-3. Where a kept seed occurs, the item is aligned with the passage around it: match 2,
-   other word -1, gap -1. Seeds on nearby diagonals share one passage. The score is the best local alignment by
+1. Where a three-word seed of an item occurs, however often it does, the passage around it is a candidate. Seeds on
+   nearby diagonals share one passage.
+2. No alignment gains more than the best stretch of the item does when each word that occurs in the passage counts
+   2 and any other -1. Passages whose bound is under the score cannot be leaks and are left.
+3. The others are aligned with the item: match 2, other word -1, gap -1. The score is the best local alignment by
    the item's own (2 a word); ``SCORE`` and above is a leak.
 
 Edge cases: items that are null or have under ``MIN_WORDS`` words take no part; null and empty texts match
@@ -32,8 +32,6 @@ from pressfold.llm.common import bounded_batches, table
 
 SEED_WORDS = 3
 MIN_WORDS = 5
-RARE = 64
-RARE_FACTOR = 4
 SCORE = 0.5
 BLOCK_ITEMS = 8192
 BLOCK_BYTES = 8 << 20
@@ -42,6 +40,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of one set of alignments that are computed side by side.
 CELLS = 1 << 20
 
+#: Pairs of a hit and an item's place, and words of passages and items, that are looked at together.
+ENTRIES = 1 << 20
+BOUNDED = 1 << 18
+
 U64 = np.uint64
 
 #: Token classes: 1 for words; everything else separates them.
@@ -74,10 +76,7 @@ def make_block(ids: list, texts: list[str]) -> Block:
     item = np.repeat(np.arange(len(ids)), np.diff(cut))
     offset = np.arange(len(grams)) - cut[:-1][item]
     own = n[item] > 0
-    return _indexed(ids, words, first, grams[own], item[own], offset[own])
-
-
-def _indexed(ids: list, words: np.ndarray, first: np.ndarray, grams: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Block:
+    grams, item, offset = grams[own], item[own], offset[own]
     order = np.argsort(grams, kind="stable")
     seeds, start = np.unique(grams[order], return_index=True)
     return Block(ids, words, first, seeds, np.append(start, len(grams)), item[order], offset[order])
@@ -110,32 +109,6 @@ def _hits(col: pa.Array, block: Block, marks: np.ndarray) -> Iterator[tuple[int,
         yield a, words, first, row, at - cut[row] + first[row], seed
 
 
-def rare_seeds(docs: DataFrame, block: Block) -> Block:
-    """``block`` with the seeds that are rare for their items, by their counts over all ``docs``."""
-    if not len(block.seeds):
-        return block
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        marks, total = block.marks(), np.zeros(len(block.seeds), np.int64)
-        for batch in batches:
-            for *_, seed in _hits(batch.column("text"), block, marks):
-                total += np.bincount(seed, minlength=len(total))
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["seed", "n"])
-
-    total = np.zeros(len(block.seeds), np.int64)
-    for r in docs.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[r["seed"]] = r["n"]
-    n = np.repeat(total, np.diff(block.places))
-    least = np.full(len(block.ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, block.item, n)
-    keep = n <= np.maximum(RARE, np.minimum(least[block.item], 1 << 50) * RARE_FACTOR)
-    grams = np.repeat(block.seeds, np.diff(block.places))
-    return _indexed(block.ids, block.words, block.first, grams[keep], block.item[keep], block.offset[keep])
-
-
 def align(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment scores of the rows of ``a`` and ``b`` (lengths na, nb), and where they end in b."""
     lanes, width = b.shape
@@ -156,15 +129,60 @@ def align(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple
     return best, end
 
 
+def _entries(block: Block, row: np.ndarray, at: np.ndarray, seed: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, row, where the item would start) of each hit and each place of its seed in the items low to high; the rows and items of a run are in no other."""
+    begin, stop = block.places[seed], block.places[seed + 1]
+    if (low, high) != (0, len(block.ids)):
+        keys = np.repeat(np.arange(len(block.seeds)), np.diff(block.places)) * len(block.ids) + block.item
+        begin, stop = np.searchsorted(keys, seed * len(block.ids) + low), np.searchsorted(keys, seed * len(block.ids) + high)
+    n = stop - begin
+    if n.sum() > ENTRIES and row[0] != row[-1]:
+        cut = int(np.searchsorted(row, row[len(row) // 2])) or int(np.searchsorted(row, row[0], "right"))
+        yield from _entries(block, row[:cut], at[:cut], seed[:cut], low, high)
+        yield from _entries(block, row[cut:], at[cut:], seed[cut:], low, high)
+    elif n.sum() > ENTRIES and high - low > 1:
+        yield from _entries(block, row, at, seed, low, (low + high) // 2)
+        yield from _entries(block, row, at, seed, (low + high) // 2, high)
+    elif n.sum():
+        hit = np.repeat(np.arange(len(seed)), n)
+        entry = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + begin[hit]
+        yield block.item[entry], row[hit], at[hit] - block.offset[entry]
+
+
+def _spans(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span, place) of all places of the spans."""
+    span = np.repeat(np.arange(len(n)), n)
+    return span, np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n) + begin[span]
+
+
+def bounds(block: Block, words: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each item and passage what no alignment of them exceeds. Words are told apart by some of their bits, which can only raise it."""
+    size, wide = np.diff(block.first)[item], stop - begin
+    out = np.zeros(len(item), np.int64)
+    order = np.argsort(size + wide, kind="stable")
+    i = 0
+    while i < len(order):
+        width = (size + wide)[order[i : i + BOUNDED]]
+        own = order[i : i + max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), BOUNDED, "right")))]
+        bits = 1 << int(wide[own].max() * 16).bit_length()
+        seen = np.zeros(len(own) * bits, bool)
+        lane, at = _spans(begin[own], wide[own])
+        seen[lane * bits + (words[at] & U64(bits - 1)).astype(np.int64)] = True
+        lane, at = _spans(block.first[item[own]], size[own])
+        step = np.where(seen[lane * bits + (block.words[at] & U64(bits - 1)).astype(np.int64)], MATCH, max(MISMATCH, GAP))
+        head = np.cumsum(size[own] + 1) - size[own] - 1  # before each item a fall that no stretch can cross
+        total = np.full(len(step) + len(own), -MATCH * (int(size[own].max()) + 1), np.int64)
+        total[np.arange(len(step)) + lane + 1] = step
+        np.cumsum(total, out=total)
+        out[own] = np.maximum.reduceat(total - np.minimum.accumulate(total), head)
+        i += len(own)
+    return out
+
+
 def matches(col: pa.Array, block: Block, marks: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, item, score, last word) of every text and item that align well enough."""
-    for a, words, first, row, at, seed in _hits(col, block, marks):
-        if not len(seed):
-            continue
-        n = np.diff(block.places)[seed]
-        hit = np.repeat(np.arange(len(seed)), n)
-        entry = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + block.places[seed][hit]
-        item, row, start = block.item[entry], row[hit], at[hit] - block.offset[entry]
+    runs = ((a, words, first, *e) for a, words, first, row, at, seed in _hits(col, block, marks) if len(seed) for e in _entries(block, row, at, seed, 0, len(block.ids)))
+    for a, words, first, item, row, start in runs:
         order = np.lexsort((start, item, row))
         item, row, start = item[order], row[order], start[order]
         size = np.diff(block.first)[item]
@@ -176,6 +194,8 @@ def matches(col: pa.Array, block: Block, marks: np.ndarray, least: float) -> Ite
         item, row, size, pad = item[lead], row[lead], size[lead], pad[lead]
         begin = np.maximum(start[lead] - pad, first[row])
         stop = np.minimum(start[last] + size + pad, first[row + 1])
+        able = bounds(block, words, item, begin, stop) / (MATCH * size) >= least
+        item, row, size, begin, stop = item[able], row[able], size[able], begin[able], stop[able]
         score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
         order = np.argsort((stop - begin) * size, kind="stable")
         i = 0
@@ -210,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
     schema = f"doc_id {types[0]}, item_id {types[1]}, score double, end_word long"
     found = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(rare_seeds(docs, block))
+        shared = spark.sparkContext.broadcast(block)
 
         def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -230,7 +250,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> D
     spark = docs.sparkSession
     bounded_batches(spark)
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(rare_seeds(docs, block))
+        shared = spark.sparkContext.broadcast(block)
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
         def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,33 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_frequent_copies(spark):
+    rnd = random.Random(12)
+    items = [(k, " ".join(words(rnd, 30, "i"))) for k in range(3)]
+    edited, cut = items[0][1].split(), items[1][1].split()[:20]
+    edited[15] = "changed"
+    rows = [(i, " ".join([*words(rnd, 20), *(edited if i % 2 else cut), *words(rnd, 20)]), "en", "s") for i in range(2000)]
+    rows += [(i, " ".join([*words(rnd, 20), *items[2][1].split()[:8], *words(rnd, 20)]), "en", "s") for i in range(2000, 2100)]  # too short a part
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == [(i, (i + 1) % 2) for i in range(2000)]
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == list(range(2000, 2100))
+
+
+def test_bounds_lose_no_alignment(monkeypatch):
+    rnd = random.Random(13)
+    few = lambda n: [f"v{rnd.randrange(12)}" for _ in range(n)]
+    block = decontaminate.make_block(list(range(40)), [" ".join(few(rnd.randrange(5, 30))) for _ in range(40)])
+    texts = pa.array([" ".join(few(rnd.randrange(0, 80))) for _ in range(60)] + [None])
+    found = lambda: sorted((int(r), int(i), float(s), int(e)) for rows in decontaminate.matches(texts, block, block.marks(), 0.5) for r, i, s, e in zip(*rows, strict=True))
+    got = found()
+    with monkeypatch.context() as m:
+        m.setattr(decontaminate, "bounds", lambda block, words, item, *_: np.full(len(item), 1 << 40))
+        assert got and found() == got
+    monkeypatch.setattr(decontaminate, "ENTRIES", 7)
+    monkeypatch.setattr(decontaminate, "BOUNDED", 50)
+    assert found() == got
+
+
 def test_alignment():
     rnd = random.Random(4)
     for _ in range(30):
