@@ -76,6 +76,11 @@ def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row[f"{side}_data"], row[f"{side}_kind"]).reshape(len(ids), row[f"{side}_dims"])
 
 
+def places(some: np.ndarray, at: slice) -> slice:
+    """Where the candidates of ``at`` stand in ``some`` (ascending), as far as they are there."""
+    return slice(*np.searchsorted(some, (at.start, at.stop)))
+
+
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, candidate's place, score) of each query's k best of the block; ``ids`` ascend."""
     dims = max(q.shape[1], x.shape[1])
@@ -98,20 +103,18 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
         seen_high, seen_low = x[some] >= high, x[some] <= low
         upper = both @ np.hstack([np.where(seen_high, x[some], high), np.where(seen_low, x[some], low)]).T
         lower = both @ np.hstack([np.where(seen_high, x[some], down[0]), np.where(seen_low, x[some], down[-1])]).T
-        if len(some) == n:
-            for i, at in barred:
-                lower[i, at] = lower.min() - 1 if lower.size else 0
+        least = lower.min(initial=0) - 1
+        for i, at in barred:
+            lower[i, places(some, at)] = least
         least = np.partition(lower, len(some) - k, axis=1)[:, len(some) - k]
         left = upper >= least[:, None]
         some = some[left.any(axis=0)]
         if left.mean() <= FEW or len(some) < FEW * n:
             score = q @ x[some].T
             break
-    place = {int(c): i for i, c in enumerate(some)} if len(some) < n else None
-    worst = np.iinfo(np.int64).min if exact is np.int64 else -np.inf
+    worst = -np.iinfo(np.int64).max if exact is np.int64 else -np.inf
     for i, at in barred:
-        cells = range(at.start, at.stop) if place is None else [place[c] for c in range(at.start, at.stop) if c in place]
-        score[i, list(cells)] = worst
+        score[i, places(some, at)] = worst
     take = min(k, len(some))
     if exact is np.int64:
         top = np.lexsort((np.broadcast_to(np.arange(len(some)), score.shape), -score), axis=1)[:, :take]

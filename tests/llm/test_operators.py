@@ -300,3 +300,24 @@ def test_topk(spark):
         got = topk.top_k(df, F.col("vec_id") % 20 == 0, block=block, query_block=q_block).collect()
         assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_topk_bars_own_rows_at_every_depth():
+    ids, x = np.arange(100, 108), np.array([[100], [90], [50], [40], [30], [20], [10], [0]])
+    who, what, score = topk.best_of_block(ids[:1], x[:1], ids, x, 2)
+    assert sorted(zip(what.tolist(), score.tolist(), strict=True)) == [(1, 9000), (2, 5000)] and who.tolist() == [0, 0]
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        n, dims, k = int(rng.integers(2, 400)), int(rng.integers(1, 9)), int(rng.integers(1, 25))
+        if trial % 2:
+            x = np.floor(8 * rng.standard_cauchy((n, dims))).clip(-(10**5), 10**5).astype(np.int64)
+        else:  # clusters of about k copies
+            x = np.repeat(rng.integers(-500, 500, (n // k + 1, dims)), k, axis=0)[:n] + rng.integers(-1, 2, (n, dims))
+        x = x * 10**4 if trial % 3 == 0 else x  # beyond what doubles hold exactly
+        ids = np.sort(rng.integers(0, 2 * n, n))  # some repeated
+        own = rng.integers(0, n, int(rng.integers(1, 4)))
+        who, what, score = topk.best_of_block(ids[own], x[own], ids, x, k)
+        for i, o in enumerate(own):
+            want = sorted((-int(x[o] @ x[c]), c) for c in range(n) if ids[c] != ids[o])[:k]
+            got = sorted((-int(s), int(c)) for w, c, s in zip(who, what, score, strict=True) if w == i)
+            assert got[: len(want)] == want, (trial, n, dims, k)
