@@ -16,6 +16,7 @@ repeated rows are extracted each; an empty table gives an empty result; extra co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -37,6 +38,12 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 
+#: Open elements beyond which no missing closing tag is looked for.
+BARRIERS = CONTAINERS | {"table", "ul", "ol", "dl"}
+
+#: Characters of a path beyond which a digest stands for it, so that deep markup does not grow with its square.
+LONG_PATH = 1000
+
 #: Elements that never belong to an article's text.
 LEFT_OUT = frozenset("nav footer aside form button select option input iframe object menu dialog head script style noscript template svg canvas audio video label".split())
 
@@ -81,9 +88,14 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+def _short(path: str) -> str:
+    return path if len(path) <= LONG_PATH else "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def parse(html: str) -> Element:
     root = Element("", "", False)
-    stack = [root]
+    stack, opened = [root], {}  # open elements, and the places in it of each tag
+    held, fences = [root], [0]  # open blocks, and the places of open barriers
     at, in_link, in_article = 0, 0, 0
 
     def text(piece: str) -> None:
@@ -93,18 +105,20 @@ def parse(html: str) -> Element:
             top.children.append(piece)
             if not top.out:
                 size = len(piece) - piece.count(" ")
-                for e in reversed(stack):
-                    if e.tag in BLOCKS or e is root:
-                        e.own += size
-                        e.links += size if in_link else 0
-                        break
+                held[-1].own += size
+                held[-1].links += size if in_link else 0
 
     def close(n: int) -> None:
         nonlocal in_link, in_article
-        for e in stack[n:]:
+        for e in reversed(stack[n:]):
+            opened[e.tag].pop()
+            if e is held[-1]:
+                held.pop()
             in_link -= e.tag == "a"
             in_article -= e.tag == "article"
         del stack[n:]
+        while fences[-1] >= n:
+            fences.pop()
 
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -114,23 +128,22 @@ def parse(html: str) -> Element:
             continue
         tag = m[3].lower()
         if m[2]:
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    close(n)
-                    break
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         for ended in ENDS.get(tag, ()):
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == ended:
-                    close(n)
-                    break
-                if stack[n].tag in CONTAINERS or stack[n].tag in ("table", "ul", "ol", "dl"):
-                    break
+            if opened.get(ended) and opened[ended][-1] >= fences[-1]:
+                close(opened[ended][-1])
         attrs = _attributes(m[4])
         top = stack[-1]
-        element = Element(tag, f"{top.path}>{_step(tag, attrs)}" if tag in BLOCKS else top.path, top.out or _marked(tag, attrs, in_article > 0))
+        element = Element(tag, f"{_short(top.path)}>{_step(tag, attrs)}" if tag in BLOCKS else top.path, top.out or _marked(tag, attrs, in_article > 0))
         top.children.append(element)
         if tag not in VOID and not m[4].endswith("/"):
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BARRIERS:
+                fences.append(len(stack))
+            if tag in BLOCKS:
+                held.append(element)
             stack.append(element)
             in_link += tag == "a"
             in_article += tag == "article"
@@ -139,27 +152,31 @@ def parse(html: str) -> Element:
     return root
 
 
+def walk(root: Element) -> list[tuple[Element, int]]:
+    """(element, place of its parent) in page order, without what is left out."""
+    order: list[tuple[Element, int]] = []
+    todo = [(root, -1)]
+    while todo:
+        e, up = todo.pop()
+        todo.extend((c, len(order)) for c in reversed(e.children) if isinstance(c, Element) and not c.out)
+        order.append((e, up))
+    return order
+
+
 def containers(root: Element) -> list[tuple[float, Element]]:
     """(score, element) in page order; what is left out scores nothing."""
+    order = walk(root)
+    scores = [e.own - 1.5 * e.links for e, _ in order]
     found: list[tuple[float, Element]] = []
-
-    def visit(e: Element) -> float:
-        place = len(found)
-        if e.tag in CONTAINERS or e.tag == "":
-            found.append((0.0, e))
-        score = 0.0
-        for c in e.children:
-            if isinstance(c, Element) and not c.out:
-                score += visit(c)
-        score += e.own - 1.5 * e.links
+    for n in range(len(order) - 1, -1, -1):  # children before their parents
+        e, up = order[n]
+        score = scores[n]
         if e.tag in CONTAINERS or e.tag == "":
-            total = score * (1.6 if e.tag == "article" else 1.3 if e.tag == "main" else 1.0)
-            found[place] = (total, e)
-            return score / 2
-        return score
-
-    visit(root)
-    return found
+            found.append((score * (1.6 if e.tag == "article" else 1.3 if e.tag == "main" else 1.0), e))
+            score /= 2
+        if up >= 0:
+            scores[up] += score
+    return found[::-1]
 
 
 def best(found: list[tuple[float, Element]], path: str | None = None) -> tuple[float, Element]:
@@ -178,20 +195,20 @@ def blocks(e: Element) -> list[str]:
         if line:
             out.append(line)
 
-    def visit(e: Element) -> None:
-        for c in e.children:
-            if isinstance(c, str):
-                run.append(c)
-            elif c.out or c.tag == "br":
-                run.append(" ")
-            elif c.tag in BLOCKS:
+    todo: list = e.children[::-1]
+    while todo:
+        c = todo.pop()
+        if c is None:  # the end of a block
+            flush()
+        elif isinstance(c, str):
+            run.append(c)
+        elif c.out or c.tag == "br":
+            run.append(" ")
+        else:
+            if c.tag in BLOCKS:
                 flush()
-                visit(c)
-                flush()
-            else:
-                visit(c)
-
-    visit(e)
+                todo.append(None)
+            todo.extend(reversed(c.children))
     flush()
     return out
 

@@ -143,6 +143,15 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tags", ["<span>", "<b>", "<div>", "<section class=a>", "<h1>", "<ul><li>", "<blockquote>", "</i><font>", "<p><td><h2>", "<b>a"])
+def test_html_of_deep_markup(spark, tags):
+    text = "An article, below many tags that nobody closed."
+    whole = "a" * 100_000 * tags.endswith("a") + text
+    pages = [(1, "http://a.org/1", f"<html><body>{tags * 100_000}{text}"), (2, "http://b.org/2", f"<html><body><p>{text}</p>")]
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {1: whole, 2: text}
+
+
 def test_mixing(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
     rows = mixing.mix(docs, block_tokens=4, shard_rows=16).collect()
