@@ -6,7 +6,8 @@
 2. Spark counts the votes of each host; the path with the most wins (ties: the higher sum of scores, then
    the first by code point).
 3. Every page is read again: the best container at its host's path is the article, or the page's own best
-   where it has none there. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+   where it has none there, with what surrounds it: the article or main that it is in, or else the outermost container
+   with prose besides (at body: prose in no other container, or in one of the same path). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
    reader comments inside are left out; what remains is split at block elements.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; a null or
@@ -163,28 +164,68 @@ def walk(root: Element) -> list[tuple[Element, int]]:
     return order
 
 
-def containers(root: Element) -> list[tuple[float, Element]]:
-    """(score, element) in page order; what is left out scores nothing."""
-    order = walk(root)
+def containers(order: list[tuple[Element, int]]) -> list[tuple[float, int]]:
+    """(score, place in ``order``) in page order; what is left out scores nothing."""
     scores = [e.own - 1.5 * e.links for e, _ in order]
-    found: list[tuple[float, Element]] = []
+    found: list[tuple[float, int]] = []
     for n in range(len(order) - 1, -1, -1):  # children before their parents
         e, up = order[n]
         score = scores[n]
         if e.tag in CONTAINERS or e.tag == "":
-            found.append((score * (1.6 if e.tag == "article" else 1.3 if e.tag == "main" else 1.0), e))
+            found.append((score * (1.6 if e.tag == "article" else 1.3 if e.tag == "main" else 1.0), n))
             score /= 2
         if up >= 0:
             scores[up] += score
     return found[::-1]
 
 
-def best(found: list[tuple[float, Element]], path: str | None = None) -> tuple[float, Element]:
+def best(order: list[tuple[Element, int]], path: str | None = None) -> tuple[float, int]:
     """The container with the highest score (the first of equals), at ``path`` if there is one."""
-    at_path = [f for f in found if f[1].path == path] if path is not None else []
+    found = containers(order)
+    at_path = [f for f in found if order[f[1]][0].path == path] if path is not None else []
     return max(at_path or found, key=lambda f: f[0])
 
 
+def whole(order: list[tuple[Element, int]], n: int) -> Element:
+    """The article that the container at ``n`` is of: the outermost article around it, else a main around it, else the
+    outermost container that has prose (blocks with more text than links) besides. At body only prose outside of other
+    containers, or in one of the same path, counts."""
+    around = [n]
+    while around[-1] > 0:
+        around.append(order[around[-1]][1])
+    for tag in ("article", "main"):
+        named = [i for i in around if order[i][0].tag == tag]
+        if named:
+            return order[named[-1]][0]
+    if order[n][0].tag in ("body", ""):
+        return order[n][0]
+    prose = [max(0.0, e.own - 1.5 * e.links) for e, _ in order]
+    loose = list(prose)  # that in no inner container
+    alike: dict[tuple[int, str], float] = {}  # that of the containers with a path in the same outer one
+    outer = [0] * len(order)
+    for i, (e, up) in enumerate(order[1:], 1):
+        outer[i] = up if order[up][0].tag in CONTAINERS or not up else outer[up]
+    for i in range(len(order) - 1, 0, -1):
+        e, up = order[i]
+        prose[up] += prose[i]
+        if e.tag in CONTAINERS:
+            key = outer[i], e.path
+            alike[key] = alike.get(key, 0) + prose[i]
+        else:
+            loose[up] += loose[i]
+    inner = top = n
+    while inner:
+        i = outer[inner]
+        if order[i][0].tag in ("body", ""):
+            more = loose[i] + alike[i, order[inner][0].path] - prose[inner]
+        else:
+            more = prose[i] - prose[inner]
+        if more > 0:
+            top = i
+        inner = i
+    return order[top][0]
+
+
 def blocks(e: Element) -> list[str]:
     out: list[str] = []
     run: list[str] = []
@@ -214,12 +255,14 @@ def blocks(e: Element) -> list[str]:
 
 
 def vote(html: str) -> tuple[str, float]:
-    score, e = best(containers(parse(html)))
-    return e.path, score
+    order = walk(parse(html))
+    score, n = best(order)
+    return order[n][0].path, score
 
 
 def extract(html: str, path: str | None) -> str:
-    return "\n".join(blocks(best(containers(parse(html)), path)[1]))
+    order = walk(parse(html))
+    return "\n".join(blocks(whole(order, best(order, path)[1])))
 
 
 def host(url: Column | str) -> Column:

@@ -152,6 +152,35 @@ def test_html_of_deep_markup(spark, tags):
     assert {r["page_id"]: r["text"] for r in got} == {1: whole, 2: text}
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<main><article><h1>Head</h1><p>Lead</p><div class=body><p>LONG</p></div>", "</article></main>"),
+        ("<article><h1>Head</h1><p>Lead</p><article><p>LONG</p></article>", "</article>"),
+        ("<main><h1>Head</h1><section><p>Lead</p></section><div class=ad>Buy</div><section><p>LONG</p></section>", "</main>"),
+        ("<div class=page><div class=x><h1>Head</h1></div><div class=y><p>Lead</p></div><div class=z><div><p>LONG</p></div></div>", "</div>"),
+        ("<h1>Head</h1><p>Lead</p><div class=text><p>LONG</p></div><div class=more>Other</div><div class=ad>Buy</div>", ""),
+        ("<div class=part><h1>Head</h1><p>Lead</p></div><div class=ad>Buy</div><div class=part><p>LONG</p></div>", ""),
+        ("<table><tr><td><h1>Head</h1><p>Lead</p></td></tr><tr><td><p>LONG</p></td></tr></table>", ""),
+    ],
+)
+def test_html_keeps_what_surrounds_the_best_container(spark, before, after):
+    long = " ".join(["many words"] * 400)
+    page = f"<html><body><nav><a href=/>Menu</a></nav><div class=list><a href=/1>One story</a> | <a href=/2>Two</a></div>{before.replace('LONG', long)}{after}<footer>Foot</footer></body></html>"
+    got = [r["text"].split("\n") for r in html.main_text(spark.createDataFrame([(i, "http://a.org/", page) for i in range(3)], "page_id long, url string, html string")).collect()]
+    assert len(got) == 3
+    for lines in got:
+        assert [x for x in lines if x not in ("Other", "One story | Two")] == ["Head", "Lead", long]
+        assert "article" not in before and "main" not in before or len(lines) == 3
+
+
+def test_html_leaves_linked_lists_and_other_boxes_at_body(spark):
+    text = "The text of the story, some words long."
+    page = f"<body><div class=list><a href=/1>One story</a> | <a href=/2>Two</a></div><div class=top>Our site</div><div class=text><p>{text}</p></div></body>"
+    got = html.main_text(spark.createDataFrame([(1, "http://a.org/", page)], "page_id long, url string, html string")).collect()
+    assert got[0]["text"] == text
+
+
 def test_mixing(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
     rows = mixing.mix(docs, block_tokens=4, shard_rows=16).collect()
