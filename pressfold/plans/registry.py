@@ -211,6 +211,26 @@ def model_responses(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", tx.bias_score(F.col("text")).alias("bias"), tx.topic_labels(F.col("text")).alias("topics"))
 
 
+_CUT = lambda sep: rf"WHEN regexp_matches(t, '(?s)^.* {sep} ') AND len(string_split(trim(regexp_replace(regexp_extract(t, '(?s)^.* {sep} (.*)$', 1), '\s+', ' ', 'g')), ' ')) <= 4 THEN regexp_extract(t, '(?s)^(.*) {sep} .*$', 1)"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '...' ELSE trim(t) END AS title FROM
+(SELECT doc_id, t, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS w FROM
+(SELECT doc_id, CASE {_CUT("-")} {_CUT("[|]")} {_CUT("—")} ELSE t END AS t FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)))""")
+def all_clean_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Every title, those with an outlet's suffix and null ones included."""
+    return _t(spark, d, "documents").select("doc_id", tx.clean_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER () AS n FROM conversations),
+k(i, t) AS (VALUES (1, 'US Politics'), (2, 'Science/Technology'), (3, 'Gaming'), (4, 'Sports'), (5, 'Business/Finance')),
+m AS (SELECT n, conv_id, turn, text, i, t, list_position(list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda line: contains(line, lower(t))), true) AS p FROM c CROSS JOIN k)
+SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '^[1-5]$') THEN trim(text)::INT END AS bias, coalesce(list(t ORDER BY p, i) FILTER (p > 0), ['Other']) AS topics FROM m GROUP BY n, conv_id, turn, text""")
+def all_model_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Every response, those that name topics included."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", tx.bias_score(F.col("text")).alias("bias"), tx.topic_labels(F.col("text")).alias("topics"))
+
+
 @query(r"""SELECT conv_id, turn, CASE WHEN h <> '' AND len(string_split(trim(regexp_replace(h, '\s+', ' ', 'g')), ' ')) <= 20 THEN h END AS headline FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g'), '^\s+|\s+$', '', 'g') AS h FROM conversations)""")
 def headlines(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.headline(F.col("text")).alias("headline"))
@@ -369,10 +389,10 @@ def judged_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def retroactive_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Documents an audit clears: bad scrapes and near-copies of their outlet; domains are left out."""
-    t = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("lang").alias("domain"), F.col("text").alias("content"))
+    """Documents an audit clears: bad scrapes and near-copies of their outlet, and what follows a cleared one of its domain (the source stands in)."""
+    t = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("source").alias("domain"), F.col("text").alias("content"))
     copies = quality.copy_pairs(t).groupBy("id").agg(F.collect_list("other").alias("copies"))
-    return quality.audit(t.select("id", "outlet", F.lit("").alias("domain"), quality.bad_scrape(F.col("content")).isNotNull().alias("bad")).join(copies, "id", "left"))
+    return quality.audit(t.select("id", "outlet", "domain", quality.bad_scrape(F.col("content")).isNotNull().alias("bad")).join(copies, "id", "left"))
 
 
 @query("SELECT doc_id, NULL::INT AS bias, ['Other'] AS topics FROM documents")
