@@ -18,19 +18,28 @@ import numpy as np
 
 
 class Columns:
-    """The two sequences on disk: one file each for the last round and for the next."""
+    """The two sequences on disk: one file each for the last round and for the next, written over in place."""
 
     def __init__(self, folder: str):
-        self.paths = [{k: Path(folder, f"{k}{i}") for k in ("bwt", "lcp")} for i in (0, 1)]
-        self.turn = 0
+        self.files = [{k: open(Path(folder, f"{k}{i}"), "w+b", buffering=0) for k in ("bwt", "lcp")} for i in (0, 1)]
+        self.turn = self.size = 0
 
     def read(self, kind: str) -> np.ndarray:
-        return np.fromfile(self.paths[self.turn][kind], np.uint8)
+        f = self.files[self.turn][kind]
+        f.seek(0)
+        return np.fromfile(f, np.uint8, self.size)
 
     def write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        self.turn ^= 1
-        bwt.tofile(self.paths[self.turn]["bwt"])
-        lcp.tofile(self.paths[self.turn]["lcp"])
+        self.turn, self.size = self.turn ^ 1, len(bwt)
+        for kind, values in (("bwt", bwt), ("lcp", lcp)):
+            f = self.files[self.turn][kind]
+            f.seek(0)
+            values.tofile(f)
+
+    def close(self) -> None:
+        for pair in self.files:
+            for f in pair.values():
+                f.close()
 
 
 def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -96,7 +105,9 @@ def collection_bwt(data: np.ndarray, first: np.ndarray, cap: int) -> tuple[np.nd
             row = row + shift
             row[active] = place
             starts += np.bincount(symbol, minlength=257)
-        return files.read("bwt"), files.read("lcp"), row
+        out = files.read("bwt"), files.read("lcp"), row
+        files.close()
+        return out
 
 
 def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,18 +6,20 @@ or earlier in the document). Strings never cross documents; all are judged on th
 1. Every window of LENGTH bytes has an anchor: its ``GRAM``-byte string with the smallest hash (the
    first of equals). Equal windows have equal anchors, and the windows of one anchor in a text
    are a run. So a text falls into blocks, one for each run, of at most 2 * LENGTH - GRAM bytes.
-   Tasks send one record for each anchor hash to the hash's bucket; hashes that several blocks have are repeated.
-2. Only blocks of repeated anchors go on. Equal blocks collapse to the first in the task: windows of the others
-   repeat it. Blocks of anchors with more than ``HOT_SHARE`` of the blocks are cut into single windows, which are
-   dealt by their own content, so that a frequent passage with many different neighbours is spread.
-3. In each bucket equal blocks collapse once more; an anchor that is left with one block is settled, and
-   windows whose hash no other window of the bucket has are cut off. Of all other blocks
-   the Burrows-Wheeler transform and the common prefixes are built column by column (:mod:`pressfold.llm.bwt`). Rows with a common prefix of LENGTH bytes are the
+2. Tasks send a record for each block, without its bytes, to the bucket of its anchor. Equal blocks (by the
+   64-bit hashes of anchor and block) collapse to the first, in the task and in the bucket; the windows of the others repeat it.
+3. Only anchors that are left with several different blocks go on. Their blocks' bytes meet in buckets, where windows whose
+   hash no other window of the bucket has are cut off, and of the rest
+   the Burrows-Wheeler transform and the common prefixes are built column by column (:mod:`pressfold.llm.bwt`), in collections of
+   about ``COLLECTION`` bytes with whole anchors. Rows with a common prefix of LENGTH bytes are the
    occurrences of one string; all but the first occurrence are removed.
+   An anchor with more than ``HOT`` different blocks (a frequent passage's edge, say) would make a collection of any size. Its blocks
+   are cut into single windows, which are dealt by their own hash and collapse like blocks.
 4. The removed windows of each document are united.
 
-Texts that hold nothing repeated are never shuffled, as long as the keys of the others are few enough to be
-broadcast (``BROADCAST_KEYS``).
+The numbers of buckets follow the measured bytes (``RECORD_BYTES``, ``BUCKET_BYTES``), so what a task holds does not
+grow with the table. Texts that hold nothing repeated are not shuffled, as long as the keys of the others are few enough to be
+broadcast (``BROADCAST_KEYS``). The runs of one document meet in one row; they take about as many bytes as its text at most.
 
 Edge cases: a null or empty text has 0 bytes, nothing removed and the hash of the empty string;
 rows that share a doc_id, or have none, are ordered by text and are documents of their own (null ids
@@ -42,22 +44,27 @@ from pressfold.llm.common import bounded_batches, keyed, materialize, table
 LENGTH = 100
 GRAM = 32
 BLOCK = 2 * LENGTH - GRAM
-HOT_SHARE = 1 / 16384
-HOT_LEAST = 512
+HOT = 1024
 BROADCAST_KEYS = 1 << 20
 
 #: Window starts that are hashed at once, and records that a task gathers before it sends them.
 SEGMENT = 1 << 21
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 #: Bytes of blocks that a task gathers before it sends them (their index takes eight times as much).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
-#: Bytes of blocks that one collection holds at most (a bucket with more is worked off in the order of anchors).
+#: Bytes of records, of blocks, and of windows of hot anchors that a bucket holds on average.
+RECORD_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+HOT_BYTES = 1 << 20
+
+#: Bytes of blocks that one collection holds (and at most ``HOT`` blocks more).
 COLLECTION = 1 << 19
 
 U64 = np.uint64
-BLOB = "bucket int, n int, blob binary"
+BLOB = "bucket int, kind byte, n int, blob binary"
+RUNS, BLOCKS, HOTS = 0, 1, 2  # kinds of rows: removed windows, records or blocks, blocks of hot anchors
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -85,111 +92,154 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield text[first], start[first], last - first + 1, h[place[first]]
 
 
-#: What is known of a block: its anchor, its place, its number of windows, and how many blocks it stands for.
-RECORD = np.dtype([("h", "u8"), ("key", "i8"), ("a", "i4"), ("n", "u1"), ("c", "i4")])
+#: A block, or a single window: its anchor, its own hash, its place and its number of windows.
+RECORD = np.dtype([("h", "u8"), ("g", "u8"), ("key", "i8"), ("a", "i4"), ("n", "u1")])
+
+#: A run of windows that are removed.
+RUN = np.dtype([("key", "i8"), ("a", "i4"), ("n", "i4")])
+
+#: A block on its way to its bucket, the bytes apart.
+SENT = np.dtype([("h", "u8"), ("key", "i8"), ("a", "i4"), ("n", "u1")])
+
+BLOB_NAMES = ["bucket", "kind", "n", "blob"]
+
 
+def _bytes(records: np.ndarray) -> bytes:
+    """Column by column, so that the files compress."""
+    return b"".join(np.ascontiguousarray(records[c]).tobytes() for c in records.dtype.names)
 
-def _blobs(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+
+def _read(raw: pa.Buffer, n: int, dtype: np.dtype) -> tuple[np.ndarray, int]:
+    out, at = np.empty(n, dtype), 0
+    for c in dtype.names:
+        out[c] = np.frombuffer(raw, dtype[c], n, at)
+        at += n * dtype[c].itemsize
+    return out, at
+
+
+def _blobs(bucket: np.ndarray, records: np.ndarray, kind: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    end = np.append(cut[1:], len(bucket))
-    # column by column, so that the files compress
-    blob = [b"".join(np.ascontiguousarray(records[c][a:b]).tobytes() for c in records.dtype.names) for a, b in zip(cut, end, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array((end - cut).astype(np.int32)), pa.array(blob, pa.binary())], ["bucket", "n", "blob"])
+    cut = _groups(bucket)
+    end = np.append(cut, len(bucket))[1:]
+    blob = [_bytes(records[a:b]) for a, b in zip(cut, end, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int8)), pa.array((end - cut).astype(np.int32)), pa.array(blob, pa.binary())], BLOB_NAMES)
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _collapsed(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of all equal records, in the order of their hashes; the runs of the others)."""
+    r = r[np.lexsort((r["a"], r["key"], r["g"], r["h"]))]
+    first = np.zeros(len(r), bool)
+    first[_groups(r["h"], r["g"])] = True
+    return r[first], _joined(r["key"][~first], r["a"][~first], r["n"][~first])
+
+
+def _joined(key: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """RUNs of the windows, adjacent ones as one."""
+    order = np.lexsort((a, key))
+    key, a, n = key[order], a[order].astype(np.int64), n[order].astype(np.int64)
+    if not len(key):
+        return np.empty(0, RUN)
+    new = np.append(True, (key[1:] != key[:-1]) | (a[1:] > (a + n)[:-1]))
+    cut = np.flatnonzero(new)
+    out = np.empty(len(cut), RUN)
+    out["key"], out["a"] = key[cut], a[cut]
+    out["n"] = (a + n)[np.append(cut[1:], len(key)) - 1] - a[cut]
+    return out
 
 
-def _records(group: pa.Table, dtype: np.dtype) -> np.ndarray:
-    parts = []
-    for n, blob in zip(group.column("n").to_pylist(), group.column("blob"), strict=True):
-        raw, at = blob.as_buffer(), 0
-        out = np.empty(n, dtype)
-        for c in dtype.names:
-            out[c] = np.frombuffer(raw, dtype[c], n, at)
-            at += n * dtype[c].itemsize
-        parts.append(out)
-    return np.concatenate(parts) if parts else np.empty(0, dtype)
+def _run_table(parts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    runs = np.concatenate([*parts, np.empty(0, RUN)])
+    return {"key": runs["key"], "a": runs["a"], "n": runs["n"]}
 
 
-def repeated_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, h, a, n, c) of the blocks whose anchor hash several blocks have; c is how many, as far as the row knows."""
+def block_records(docs: DataFrame, buckets: int) -> DataFrame:
+    """(kind, key, h, a, n): the runs of blocks that repeat an earlier one, and the different blocks of anchors that have several."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            r = np.concatenate(held)
+        def flush() -> Iterator[pa.RecordBatch]:
+            r, runs = _collapsed(np.concatenate(held))
             held.clear()
-            r = r[np.argsort(r["h"], kind="stable")]
-            new = np.append(True, r["h"][1:] != r["h"][:-1])
-            count = np.diff(np.append(np.flatnonzero(new), len(r)))
-            r["c"] = np.where(new, np.repeat(count, count), 0)  # the first stands for all; 0: known as repeated
-            bucket = np.where(new, r["h"] >> U64(20), tv.mix(r["key"].astype(np.uint64))) % U64(buckets)
-            return _blobs(bucket.astype(np.int64), r)
+            yield _blobs(((r["h"] >> U64(20)) % U64(buckets)).astype(np.int64), r, BLOCKS)
+            yield _blobs((tv.mix(runs["key"].astype(np.uint64)) % U64(buckets)).astype(np.int64), runs, RUNS)
 
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            for a, _, data, bounds in tv.text_chunks(batch.column("text")):
+            for first, _, data, bounds in tv.text_chunks(batch.column("text")):
+                running = tv.prefix_hash(data)
                 for text, start, n, h in anchors(data, bounds):
-                    r = np.zeros(len(text), RECORD)
-                    r["h"], r["key"], r["a"], r["n"] = h, keys[a + text], start - bounds[text], n
+                    r = np.empty(len(text), RECORD)
+                    r["h"], r["key"], r["a"], r["n"] = h, keys[first + text], start - bounds[text], n
+                    r["g"] = tv.mix(tv.span_hash(running, start, start + n + LENGTH - 1) + U64(7))
                     held.append(r)
-            if sum(map(len, held)) >= FLUSH:
-                yield flush()
+                    if sum(map(len, held)) >= FLUSH:
+                        yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        r = _records(group, RECORD)
-        known, r = r[r["c"] == 0], r[r["c"] > 0]
-        r = r[np.argsort(r["h"], kind="stable")]
-        cut = np.flatnonzero(np.append(True, r["h"][1:] != r["h"][:-1])) if len(r) else np.empty(0, np.int64)
-        total = np.add.reduceat(r["c"].astype(np.int64), cut) if len(r) else np.empty(0, np.int64)
-        each = np.repeat(total, np.diff(np.append(cut, len(r))))
+        records, runs = [np.empty(0, RECORD)], []
+        for kind, n, blob in zip(group.column("kind").to_pylist(), group.column("n").to_pylist(), group.column("blob"), strict=True):
+            if kind == RUNS:
+                runs.append(_read(blob.as_buffer(), n, RUN)[0])
+            else:
+                records.append(_read(blob.as_buffer(), n, RECORD)[0])
+        r, gone = _collapsed(np.concatenate(records))
+        gone = _run_table([*runs, gone])
+        cut = _groups(r["h"])
+        each = np.diff(np.append(cut, len(r)))
+        each = np.repeat(each, each)
         r, each = r[each > 1], each[each > 1]
-        both = np.concatenate([r, known])
-        c = np.concatenate([each, np.zeros(len(known), np.int64)])
-        return pa.table({"key": pa.array(both["key"]), "h": pa.array(both["h"].view(np.int64)), "a": pa.array(both["a"]), "n": pa.array(both["n"].astype(np.int16)), "c": pa.array(c)})
+        kind = np.concatenate([np.full(len(gone["key"]), RUNS), np.where(each > HOT, HOTS, BLOCKS)]).astype(np.int8)
+        both = {c: np.concatenate([gone[c].astype(t), r[c].astype(t)]) for c, t in (("key", np.int64), ("a", np.int32), ("n", np.int32))}
+        h = np.concatenate([np.zeros(len(gone["key"]), np.int64), r["h"].view(np.int64) if len(r) else np.empty(0, np.int64)])
+        return pa.table({"kind": pa.array(kind), "key": pa.array(both["key"]), "h": pa.array(h), "a": pa.array(both["a"]), "n": pa.array(both["n"])})
 
-    return docs.mapInArrow(send, BLOB).groupBy("bucket").applyInArrow(meet, "key long, h long, a int, n short, c long")
-
-
-#: A block on its way to its bucket, the bytes apart.
-SENT = np.dtype([("h", "u8"), ("g", "u8"), ("key", "i8"), ("a", "i4"), ("n", "u1"), ("size", "u1")])
+    return docs.mapInArrow(send, BLOB).groupBy("bucket").applyInArrow(meet, "kind byte, key long, h long, a int, n int")
 
 
-def first_blocks(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Buckets of distinct blocks, and the runs of windows that are known to repeat one of them (bucket -1).
+def sent_blocks(rows: DataFrame, buckets: int, hot_buckets: int) -> DataFrame:
+    """Buckets of blocks with their bytes (0 to buckets - 1) and of the windows of hot anchors (from there on).
 
-    ``rows``: key, text, blocks (array of h, a, n). ``hot``: sorted anchor hashes whose blocks are cut into windows.
+    ``rows``: key, text, blocks (array of kind, h, a, n).
     """
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        windows: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            base = np.cumsum([0] + [len(d) for _, d in held])
             r = np.concatenate([r for r, _ in held])
-            at = np.concatenate([np.concatenate([[0], np.cumsum(r["size"], dtype=np.int64)[:-1]]) + b for (r, _), b in zip(held, base, strict=False)])
+            size = r["n"].astype(np.int64) + LENGTH - 1
+            at = np.cumsum(size) - size
             data = np.concatenate([d for _, d in held])
             held.clear()
-            order = np.lexsort((r["a"], r["key"], r["g"], r["h"]))
-            r, at = r[order], at[order]
-            new = np.append(True, (r["h"][1:] != r["h"][:-1]) | (r["g"][1:] != r["g"][:-1]))
-            gone = r[~new]
-            yield _runs(gone["key"], gone["a"], gone["n"])
-            r, at = r[new], at[new]
             bucket = ((r["h"] >> U64(20)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            r, at, bucket = r[order], at[order], bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for a, b in zip(cut, np.append(cut[1:], len(r)), strict=True):
-                size = r["size"][a:b].astype(np.int64)
-                where = np.repeat(at[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                blob = b"".join(np.ascontiguousarray(r[c][a:b]).tobytes() for c in SENT.names) + data[where].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([b - a], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "blob"])
+            r, at, size, bucket = r[order], at[order], size[order], bucket[order]
+            cut = _groups(bucket)
+            for a, b in zip(cut, np.append(cut, len(r))[1:], strict=True):
+                blob = _bytes(r[a:b]) + data[_places(at[a:b], size[a:b])].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([BLOCKS], pa.int8()), pa.array([b - a], pa.int32()), pa.array([blob], pa.binary())], BLOB_NAMES)
+
+        def flush_windows() -> Iterator[pa.RecordBatch]:
+            r, runs = _collapsed(np.concatenate(windows))
+            windows.clear()
+            yield _blobs(buckets + ((r["h"] >> U64(20)) % U64(hot_buckets)).astype(np.int64), r, HOTS)
+            yield _blobs(buckets + (tv.mix(runs["key"].astype(np.uint64)) % U64(hot_buckets)).astype(np.int64), runs, RUNS)
 
         for batch in batches:
             keys, lists = batch.column("key").to_numpy(), batch.column("blocks")
@@ -197,40 +247,46 @@ def first_blocks(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 part = lists.slice(a, b - a)
                 flat = part.flatten()
                 text = np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
-                h, first, n = (flat.field(c).to_numpy() for c in ("h", "a", "n"))
+                kind, h, first, n = (flat.field(c).to_numpy() for c in ("kind", "h", "a", "n"))
                 h, n = h.view(np.uint64), n.astype(np.int64)
                 start = bounds[text] + first
-                cutting = np.isin(h, hot)
-                if cutting.any():  # single windows
-                    w = n[cutting]
-                    step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                    text = np.concatenate([text[~cutting], np.repeat(text[cutting], w)])
-                    start = np.concatenate([start[~cutting], np.repeat(start[cutting], w) + step])
-                    h = np.concatenate([h[~cutting], np.zeros(len(step), np.uint64)])
-                    n = np.concatenate([n[~cutting], np.ones(len(step), np.int64)])
-                size = n + LENGTH - 1
-                run = tv.prefix_hash(data)
-                g = tv.mix(tv.span_hash(run, start, start + size) + U64(7))
-                r = np.zeros(len(h), SENT)
-                r["h"], r["g"], r["key"], r["a"], r["n"], r["size"] = np.where(h == 0, g, h), g, keys[a + text], start - bounds[text], n, size
-                where = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                held.append((r, data[where]))
+                cold = np.flatnonzero(kind == BLOCKS)
+                r = np.empty(len(cold), SENT)
+                r["h"], r["key"], r["a"], r["n"] = h[cold], keys[a + text[cold]], first[cold], n[cold]
+                held.append((r, data[_places(start[cold], n[cold] + LENGTH - 1)]))
                 if sum(len(d) for _, d in held) >= BLOCK_BYTES:
                     yield from flush()
+                hot = np.flatnonzero(kind == HOTS)
+                if not len(hot):
+                    continue
+                running = tv.prefix_hash(data)
+                for i in range(0, len(hot), FLUSH // BLOCK):
+                    own = hot[i : i + FLUSH // BLOCK]
+                    at, block = _places(start[own], n[own]), np.repeat(own, n[own])
+                    r = np.empty(len(at), RECORD)
+                    r["g"], r["key"], r["a"], r["n"] = h[block], keys[a + text[block]], at - bounds[text[block]], 1
+                    r["h"] = tv.mix(tv.span_hash(running, at, at + LENGTH) ^ h[block])
+                    windows.append(r)
+                    if sum(map(len, windows)) >= FLUSH:
+                        yield from flush_windows()
         if held:
             yield from flush()
+        if windows:
+            yield from flush_windows()
 
     return rows.mapInArrow(send, BLOB)
 
 
-def _runs(key: np.ndarray, a: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    blob = np.ascontiguousarray(key, np.int64).tobytes() + np.ascontiguousarray(a, np.int32).tobytes() + np.ascontiguousarray(n, np.int32).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([len(key)], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "blob"])
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of n[0] places, then those of the next."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def later_windows(r: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows) of the runs of windows that are not the first of their string."""
-    first = np.concatenate([[0], np.cumsum(r["size"], dtype=np.int64)])
+def later_windows(r: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """RUNs of the windows that are not the first of their string; ``data`` holds the blocks of ``r`` one after the other."""
+    if not len(r):
+        return np.empty(0, RUN)
+    first = np.concatenate([[0], np.cumsum(r["n"].astype(np.int64) + LENGTH - 1)])
     bwt, lcp, row = collection_bwt(data, first, LENGTH)
     rows = suffix_rows(bwt, row, np.diff(first), int(r["n"].max()))
     step, block = np.nonzero((np.arange(len(rows))[:, None] < r["n"]))
@@ -239,19 +295,11 @@ def later_windows(r: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.lexsort((at, key, string))
     later = np.zeros(len(order), bool)
     later[order[1:]] = string[order[1:]] == string[order[:-1]]
-    key, at = key[later], at[later]
-    order = np.lexsort((at, key))
-    key, at = key[order], at[order]
-    if not len(key):
-        return key, at, at
-    new = np.append(True, (key[1:] != key[:-1]) | (at[1:] > at[:-1] + 1))
-    cut = np.flatnonzero(new)
-    last = np.append(cut[1:], len(key)) - 1
-    return key[cut], at[cut], at[last] - at[cut] + 1
+    return _joined(key[later], at[later], np.ones(int(later.sum()), np.int64))
 
 
 def _trimmed(r: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks cut down to the windows whose hash another window has; a window that is alone repeats nothing."""
+    """The blocks, and their bytes, cut down to the windows whose hash another window has; a window that is alone repeats nothing."""
     n = r["n"].astype(np.int64)
     first = np.cumsum(n) - n
     block = np.repeat(np.arange(len(r)), n)
@@ -271,53 +319,45 @@ def _trimmed(r: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarra
     out, at = r[own].copy(), at[own] + low
     out["a"] += low.astype(np.int32)
     out["n"] = high - low + 1
-    out["size"] = high - low + LENGTH
-    return out, at
+    return out, data[_places(at, high - low + LENGTH)]
 
 
 def _removals(group: pa.Table) -> pa.Table:
-    """The runs of repeated windows of one bucket."""
-    records, pieces, keys, starts, counts = [], [], [], [], []
-    for bucket, n, blob in zip(group.column("bucket").to_pylist(), group.column("n").to_pylist(), group.column("blob"), strict=True):
-        raw, at = blob.as_buffer(), 0
-        if bucket < 0:
-            keys.append(np.frombuffer(raw, np.int64, n))
-            starts.append(np.frombuffer(raw, np.int32, n, 8 * n))
-            counts.append(np.frombuffer(raw, np.int32, n, 12 * n))
-            continue
-        r = np.empty(n, SENT)
-        for c in SENT.names:
-            r[c] = np.frombuffer(raw, SENT[c], n, at)
-            at += n * SENT[c].itemsize
-        records.append(r)
-        pieces.append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
+    """The runs of repeated windows of one bucket, collection by collection."""
+    records, pieces, windows, runs = [], [], [], []
+    for kind, n, blob in zip(group.column("kind").to_pylist(), group.column("n").to_pylist(), group.column("blob"), strict=True):
+        raw = blob.as_buffer()
+        if kind == BLOCKS:
+            r, at = _read(raw, n, SENT)
+            records.append(r)
+            pieces.append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
+        elif kind == HOTS:
+            windows.append(_read(raw, n, RECORD)[0])
+        else:
+            runs.append(_read(raw, n, RUN)[0])
+    if windows:
+        runs.append(_collapsed(np.concatenate(windows))[1])
     if records:
         r, data = np.concatenate(records), np.concatenate(pieces)
-        size = r["size"].astype(np.int64)
+        del records, pieces
+        size = r["n"].astype(np.int64) + LENGTH - 1
         at = np.cumsum(size) - size
-        order = np.lexsort((r["a"], r["key"], r["g"], r["h"]))
-        r, at = r[order], at[order]
-        new = np.append(True, (r["h"][1:] != r["h"][:-1]) | (r["g"][1:] != r["g"][:-1]))
-        keys.append(r["key"][~new])
-        starts.append(r["a"][~new])
-        counts.append(r["n"][~new].astype(np.int32))
-        r, at = r[new], at[new]
-        several = np.append(r["h"][1:] == r["h"][:-1], False)  # anchors with one block only: its copies are settled
-        several[1:] |= r["h"][1:] == r["h"][:-1]
-        r, at = _trimmed(r[several], at[several], data)
-        a, sizes = 0, np.cumsum(r["size"], dtype=np.int64)
-        while a < len(r):
-            b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + COLLECTION, "right"))
-            b = max(b, a + 1)
-            while b < len(r) and r["h"][b] == r["h"][b - 1]:  # the blocks of one anchor stay together
-                b += 1
-            size = r["size"][a:b].astype(np.int64)
-            where = np.repeat(at[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            for out, values in zip((keys, starts, counts), later_windows(r[a:b], data[where]), strict=True):
-                out.append(values)
+        order = np.lexsort((r["a"], r["key"], r["h"]))
+        r, at, size = r[order], at[order], size[order]
+        total, anchor = np.cumsum(size), np.append(_groups(r["h"]), len(r))
+        a = 0
+        while a < len(r):  # whole anchors
+            least = min(len(r), int(np.searchsorted(total, (total[a - 1] if a else 0) + COLLECTION)) + 1)
+            b = int(anchor[np.searchsorted(anchor, least)])
+            part, places = _trimmed(r[a:b], *_gathered(data, at[a:b], size[a:b]))
+            runs.append(later_windows(part, places))
             a = b
-    join = lambda parts, kind: pa.array(np.concatenate([*parts, np.empty(0, np.int64)]).astype(kind))
-    return pa.table({"key": join(keys, np.int64), "a": join(starts, np.int32), "n": join(counts, np.int32)})
+    return pa.table({c: pa.array(v) for c, v in _run_table(runs).items()})
+
+
+def _gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, bytes) of the blocks, one after the other."""
+    return np.cumsum(size) - size, data[_places(at, size)]
 
 
 RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -351,16 +391,20 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     """(key, runs): for each document (key, text) that repeats something, its runs (a, n) of repeated windows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(repeated_blocks(docs.filter(F.octet_length("text") >= LENGTH), parts), "blocks")
-    total = blocks.agg(F.sum("c")).first()[0] or 0
-    hot = blocks.filter(F.col("c") > max(HOT_LEAST, total * HOT_SHARE)).select("h").distinct()  # 16,384 at most
-    hot = np.sort(np.array([r["h"] for r in hot.toLocalIterator()], np.int64).view(np.uint64))
-    own = blocks.groupBy("key").agg(F.collect_list(F.struct("h", "a", "n")).alias("blocks"))
-    rows = _few(docs, blocks.select("key").distinct())[0].join(own, "key").select("key", "text", "blocks")
-    sent = first_blocks(rows, parts, hot)
-    spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.crc32("blob"), F.lit(parts)).cast("int"))
-    runs = sent.withColumn("deal", spread).groupBy("deal").applyInArrow(lambda t: _removals(t), "key long, a int, n int")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.filter(F.octet_length("text") >= LENGTH)
+    windows = texts.agg(F.sum(F.octet_length("text") - LENGTH + 1)).first()[0] or 0
+    records = windows * 2 * RECORD.itemsize // (LENGTH - GRAM + 1)  # a block has half a span of windows on average
+    blocks = materialize(block_records(texts, max(least, records // RECORD_BYTES)), "blocks")
+    n = {r["kind"]: (r["blocks"], r["windows"]) for r in blocks.groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("windows")).collect()}  # three rows at most
+    cold, hot = n.get(BLOCKS, (0, 0)), n.get(HOTS, (0, 0))
+    buckets = max(least, (cold[0] * (LENGTH - 1 + SENT.itemsize) + cold[1]) // BUCKET_BYTES)
+    own = blocks.filter(F.col("kind") != RUNS).groupBy("key").agg(F.collect_list(F.struct("kind", "h", "a", "n")).alias("blocks"))
+    rows = _few(texts, own.select("key"))[0].join(own, "key").select("key", "text", "blocks")
+    sent = sent_blocks(rows, buckets, max(1, hot[1] * RECORD.itemsize // HOT_BYTES))
+    # an explicit number of partitions: the blocks are few bytes and much work, so they must not be coalesced by size
+    later = sent.repartition(min(buckets, 4 * least), "bucket").groupBy("bucket").applyInArrow(lambda t: _removals(t), "key long, a int, n int")
+    runs = later.union(blocks.filter(F.col("kind") == RUNS).select("key", "a", "n"))
     return materialize(runs.groupBy("key").agg(F.collect_list(F.struct("a", "n")).alias("runs")), "runs")
 
 

@@ -103,8 +103,8 @@ def test_exact_repeats(spark, corpus, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == brute_repeats(corpus)
     assert exactdup.digests(spark.createDataFrame([], DOCS)).count() == 0
     unique = [r for k, r in enumerate(corpus) if r[0] is not None and r[0] not in {x[0] for x in corpus[:k]}]
-    monkeypatch.setattr(exactdup, "HOT_LEAST", 3)  # cuts blocks of frequent anchors into windows
-    monkeypatch.setattr(exactdup, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(exactdup, "HOT", 3)  # cuts blocks of frequent anchors into windows
+    monkeypatch.setattr(exactdup, "COLLECTION", 2000)
     monkeypatch.setattr(exactdup, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(exactdup, "SEGMENT", 1000)
     got = exactdup.digests(spark.createDataFrame(unique, DOCS))
