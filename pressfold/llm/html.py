@@ -54,6 +54,11 @@ MARKED = frozenset(
     "newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail aside footer header masthead topbar toolbar share sharing "
     "social related recommended recommendations comment comments commentlist discussion disqus respond reply replies widget pagination pager login search hidden skip".split()
 )
+#: Elements whose id counts for that; of others, such as headings and paragraphs, it is the target of a link.
+BOXES = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer header main nav ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+STYLES = frozenset("header banner side hidden skip widget alert notice overlay".split())  # words that only describe a heading's or paragraph's look
+
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 #: A closing tag may be missing where one of these starts: open elements that it ends.
@@ -80,7 +85,8 @@ def _marked(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    words = {w.lower() for name in ("class", "id") for w in PARTS.findall(attrs.get(name, ""))}
+    words = {w.lower() for name in ("class", "id") if name == "class" or tag in BOXES for w in PARTS.findall(attrs.get(name, ""))}
+    words -= STYLES if tag in HEADINGS else frozenset()
     return bool(words & MARKED) and not (words & {"article", "entry", "story", "post"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "related", "footer", "share", "nav", "menu", "respond"})
 
 

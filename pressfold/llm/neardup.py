@@ -9,8 +9,9 @@
    similarity 0.75 shares none with probability 5e-6.
 4. Buckets never expand into all pairs. Each has a seeded hub (another one in each band), and its members
    are held against the hub, those with most shared bands first. Members in one component
-   need no further link. While many pairs of one bucket are in different components, further hubs
-   follow, by turns the member with the largest buckets and a random one. At last an exact prefix
+   need no further link. While many pairs of one bucket are in different components and hubs still find links, further hubs
+   follow, by turns the member with the largest buckets and a random one (``ROUNDS`` of them at most). At last, and however
+   the rounds end, an exact prefix
    filter (see :func:`prefix_pairs`) finds, among all documents of buckets that still hold several
    components, every pair that can be similar enough, so no candidate is lost.
 5. Every link is confirmed on the full sets.
@@ -47,8 +48,9 @@ FIRST_LINKS = 2
 #: More rounds of hubs follow while the buckets hold more pairs across components than so many a row ...
 LEFT_PAIRS = 2
 
-#: ... and the last round confirmed more than one of so many pairs.
+#: ... and the last round confirmed more than one of so many pairs, but so many rounds at most.
 FEW_LINKS = 50
+ROUNDS = 12
 
 #: Keys (8 bytes each) that may be broadcast to select rows.
 BROADCAST_KEYS = 1 << 20
@@ -154,7 +156,8 @@ def prefix_pairs(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
     With the shingles of every set in one order, rare ones first, two similar sets share
     one in their prefixes, and behind it enough shingles remain in both. Rarity comes from SLOTS
     counters (any order is right; a good one leaves few pairs): edits that no other text
-    has come first, so that members of a large family that differ too much never meet.
+    has come first. Of two sets the smaller one needs to show only the shorter prefix that a partner of at least its own size
+    asks for, so members of a large family (a filled-in form, say) that differ too much never meet.
     """
     spark = sets.sparkSession
     rows = restricted(sets, open_keys.select("key"))
@@ -178,10 +181,13 @@ def prefix_pairs(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
     e = rows.mapInArrow(prefixes, "key long, prefix array<long>").join(open_keys, "key").select("key", "n", "comp", F.posexplode("prefix").alias("pos", "shingle"))
     crossing = e.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
     e = materialize(e.join(crossing, "shingle"), "prefixes")
-    side = lambda s: e.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pos")])
+    side = lambda s, e: e.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pos")])
+    short = (F.col("n") - F.col("pos")) * (100 + PERCENT) >= F.col("n") * 2 * PERCENT
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    near = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
-    return side("a").join(side("b"), "shingle").filter(near & _size_fits(F.col("n_a"), F.col("n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    near = smaller & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+    found = side("a", e.filter(short)).join(side("b", e), "shingle").filter(near & _size_fits(F.col("n_a"), F.col("n_b")))
+    return _ordered(found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))).distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     mask = F.xxhash64("band")
     hubs = buckets.groupBy("band").agg(F.min(F.col("key").bitwiseXOR(mask)).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hubs = hubs.select("band", "c", F.col("m").bitwiseXOR(mask).alias("hub"))
+    hubs = materialize(hubs.select("band", "c", F.col("m").bitwiseXOR(mask).alias("hub")), "first-hubs")
     shared = materialize(buckets.join(hubs, "band"), "buckets")  # buckets of at least two sets only
     sets = materialize(restricted(docs, shared.select("key")).mapInArrow(_sets, "key long, shingles array<long>"), "sets")
     sizes = members.filter("key = rep").select(F.col("key").alias("hub"), F.col("n_shingles").alias("n_hub"))
@@ -217,14 +223,14 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     used = hubs.select("band", F.col("hub").alias("key"))
     most = shared.count() * LEFT_PAIRS
     central = shared.groupBy("key").agg(F.sum("c").alias("score"))
-    few, turn = False, 0
+    done, turn = False, 0
     while True:
         now = shared.join(comps, "key", "left").select("band", "key", "n", F.coalesce("comp", "key").alias("comp"))
         parts = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
         mixed = parts.filter("k > 1").select("band", ((F.col("s") * F.col("s") - F.col("ss")) / 2).alias("pairs"))
         now = materialize(now.join(mixed, "band"), "mixed-buckets")
         left = now.groupBy("band").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if left <= most or few:
+        if left <= most or done or turn == ROUNDS:
             break
         open_keys = now.join(used, ["band", "key"], "left_anti")
         if turn % 2:
@@ -239,7 +245,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = materialize(_ordered(pairs.select(F.col("key").alias("a"), "b")).distinct().join(tried, ["a", "b"], "left_anti"), "star-pairs")
         links = confirmed(pairs, sets)
         tried = tried.union(pairs)
-        few = links.count() * FEW_LINKS < pairs.count()
+        done = links.count() * FEW_LINKS <= pairs.count()  # so a round without pairs is the last one
         comps = components(links, comps)
         turn += 1
 

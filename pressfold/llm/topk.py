@@ -4,19 +4,18 @@ Vectors become integers, floor(64 * x). Candidates are dealt into blocks of abou
 ``BLOCK`` rows and queries into blocks of about ``QUERY_BLOCK``; each pair of blocks is a
 row of its own, so neither side is ever broadcast or gathered whole.
 
-In a pair of blocks every dimension has two lists of the candidates, by value downward
-(read for positive query components) and upward (for negative ones). All lists are read
-to the same depth. What is read counts with its value; what is not read is bounded by
-the list's last value read from above and by its end from below. A candidate
-whose upper bound is under the k-th best lower bound cannot qualify. Once few
-candidates are left, their scores are resolved; otherwise reading goes on, and the
-bounds meet where the lists end. Each pair of blocks gives its k best for each query, and a
-window of k rows a block merges them.
+In a pair of blocks every dimension has one list of the candidates by value, read downward for positive query
+components and upward for negative ones. For each query the lists are read in steps, those first whose unread part can
+still change most. A candidate's lower bound counts what was read of it and the worst value of the other lists, its upper bound
+the last values read there. A candidate whose upper bound is under the k-th best lower bound cannot qualify. Once
+``RESOLVE`` * k candidates are left at most, or the lists have ended, reading stops and the scores of these are
+resolved. Each pair of blocks gives its k best for each query, and a window of k rows a block merges them.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components, and rows
 with a null vec_id, take no part; shorter vectors count as filled up with zeros; rows
 that share the query's vec_id are its own; each of several query rows with one
-vec_id gives its list; ties go to the smaller vec_id; without candidates a query gives no row; extra
+vec_id gives its list; ties go to the smaller vec_id; without candidates a query gives no row; components and scores
+beyond 64 bits count as the nearest long (such blocks are multiplied out in whole numbers); extra
 columns are ignored.
 """
 
@@ -34,10 +33,12 @@ from pressfold.llm.common import materialize, table
 K = 20
 BLOCK = 8192
 QUERY_BLOCK = 1024
-DEPTHS = (0.5, 0.75, 1.0)
 
-#: Scores are resolved when at most this share of the pairs is left.
-FEW = 0.05
+#: Scores are resolved when at most so many candidates for each wanted one are left.
+RESOLVE = 4
+
+#: Share of a list that is read first; each further step doubles what was read.
+FIRST = 1 / 4
 
 BLOCK_SCHEMA = "block int, ids binary, dims int, kind string, data binary"
 
@@ -59,7 +60,7 @@ def _packed(group: pa.Table) -> pa.Table:
 
 def _blocks(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // size))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))  # repeated rows are spread too
     return materialize(dealt.groupBy("block").applyInArrow(_packed, BLOCK_SCHEMA), name), n
 
 
@@ -76,55 +77,57 @@ def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row[f"{side}_data"], row[f"{side}_kind"]).reshape(len(ids), row[f"{side}_dims"])
 
 
-def places(some: np.ndarray, at: slice) -> slice:
-    """Where the candidates of ``at`` stand in ``some`` (ascending), as far as they are there."""
-    return slice(*np.searchsorted(some, (at.start, at.stop)))
+def survivors(q: np.ndarray, order: np.ndarray, values: np.ndarray, barred: slice, k: int) -> tuple[np.ndarray, int]:
+    """(candidates that may be among the k best for ``q``, ascending; entries read).
+
+    ``order`` and ``values`` hold a list for each dimension: the candidates by ascending value, and these values.
+    """
+    n = order.shape[1]
+    dims = np.flatnonzero(q)
+    q, up = q[dims], q[dims] > 0
+    end = q * np.where(up, values[dims, 0], values[dims, -1])  # the worst that a list can give
+    last = q * np.where(up, values[dims, -1], values[dims, 0])  # the most that its unread part can give
+    low, slack = np.full(n, end.sum()), np.full(n, (last - end).sum())
+    depth = np.zeros(len(dims), np.int64)
+    low[barred] = -np.inf
+    while True:
+        left = np.flatnonzero(low + slack >= np.partition(low, n - k)[n - k])
+        gap = last - end
+        if len(left) - len(low[barred]) <= RESOLVE * k or not gap.any():
+            return left[(left < barred.start) | (left >= barred.stop)], int(depth.sum())
+        for i in np.flatnonzero(gap * 2 >= gap.max()):
+            was, now = depth[i], min(n, int(depth[i]) * 2 or max(1, int(n * FIRST)))
+            old, new = (slice(n - was, n), slice(n - now, n - was)) if up[i] else (slice(0, was), slice(was, now))
+            read, value = order[dims[i], new], q[i] * values[dims[i], new]
+            bound = end[i] if now == n else value[0 if up[i] else -1]
+            slack -= last[i] - bound
+            slack[order[dims[i], old]] += last[i] - bound  # read before: nothing open in this list
+            slack[read] -= bound - end[i]
+            low[read] += value - end[i]
+            depth[i], last[i] = now, bound
 
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, candidate's place, score) of each query's k best of the block; ``ids`` ascend."""
     dims = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (q, x))
-    exact = np.float64 if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(dims, 1) * 2 < 2**40 else np.int64
-    q, x = q.astype(exact), x.astype(exact)
-    n, k = len(ids), min(k, len(ids))
+    k = min(k, len(ids))
+    # doubles hold all bounds exactly up to 2 ** 53
+    small = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * max(dims, 1) * 4 < 2**53
+    q, x = (m.astype(np.float64 if small else object) for m in (q, x))
+    lists = np.argsort(x.T, axis=1, kind="stable").astype(np.int32) if small else None
+    values = np.take_along_axis(np.ascontiguousarray(x.T), lists, axis=1) if small else None
     own = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
-    barred = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(*own, strict=True)) if a < b]
-    both = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-    down = np.sort(x, axis=0)
-    some = np.arange(n)
-    score = None
-    for depth in DEPTHS:
-        if depth >= 1:
-            score = q @ x[some].T
-            break
-        read = max(1, int(n * depth))
-        high, low = down[n - read], down[read - 1]  # the last values read of both lists
-        seen_high, seen_low = x[some] >= high, x[some] <= low
-        upper = both @ np.hstack([np.where(seen_high, x[some], high), np.where(seen_low, x[some], low)]).T
-        lower = both @ np.hstack([np.where(seen_high, x[some], down[0]), np.where(seen_low, x[some], down[-1])]).T
-        least = lower.min(initial=0) - 1
-        for i, at in barred:
-            lower[i, places(some, at)] = least
-        least = np.partition(lower, len(some) - k, axis=1)[:, len(some) - k]
-        left = upper >= least[:, None]
-        some = some[left.any(axis=0)]
-        if left.mean() <= FEW or len(some) < FEW * n:
-            score = q @ x[some].T
-            break
-    worst = -np.iinfo(np.int64).max if exact is np.int64 else -np.inf
-    for i, at in barred:
-        score[i, places(some, at)] = worst
-    take = min(k, len(some))
-    if exact is np.int64:
-        top = np.lexsort((np.broadcast_to(np.arange(len(some)), score.shape), -score), axis=1)[:, :take]
-    else:
-        rank = score * len(some) - np.arange(len(some))  # the smaller id first among equals
-        top = np.argpartition(-rank, take - 1, axis=1)[:, :take] if take else np.empty((len(q), 0), np.int64)
-    at = np.repeat(np.arange(len(q_ids)), take), top.reshape(-1)
-    value = score[at]
-    good = value != worst
-    return at[0][good], some[at[1][good]], value[good].astype(np.int64)
+    who, what, scores = [], [], []
+    for i, (a, b) in enumerate(zip(*own, strict=True)):
+        some = survivors(q[i], lists, values, slice(a, b), k)[0] if small else np.concatenate([np.arange(a), np.arange(b, len(ids))])
+        score = np.array([*(x[some] @ q[i])], None if small else object)
+        take = np.array(sorted(range(len(some)), key=lambda j: -score[j])[:k], np.int64)  # stable: the smaller id first among equals
+        who.append(np.full(len(take), i))
+        what.append(some[take])
+        scores.append(np.clip(score[take], -(2**63), 2**63 - 1).astype(np.int64))
+    empty = [np.empty(0, np.int64)]
+    return tuple(np.concatenate(part + empty) for part in (who, what, scores))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 64, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:

@@ -83,6 +83,43 @@ def test_prefix_pairs_find_every_pair(spark):
     assert found == {(i, j) for j in range(60) for i in range(j) if 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j])}
 
 
+def brute_components(docs):
+    sets = {i: shingles(t) for i, t in docs}
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if j < i and 100 * len(x & y) >= 75 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                comp[b] = a
+    return {i: root(i) for i in sets}
+
+
+def test_neardup_of_one_page_in_two_lengths(spark, monkeypatch):
+    """Buckets full of pairs whose sizes differ too much; the rounds of hubs must end."""
+    rnd = random.Random(21)
+    short, more = words(rnd, 60), words(rnd, 40)
+    rows = []
+    for i in range(60):
+        w = [*short, *more] if i % 2 else list(short)
+        w[rnd.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    form = words(rnd, 40)  # a filled-in form: too much differs for a link, and all share most shingles
+    rows += [(100 + i, " ".join([*form[:20], *(f"own{i}x{k}" for k in range(8)), *form[20:]])) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], DOCS)
+    want = brute_components(rows)
+    for left in (neardup.LEFT_PAIRS, 0):
+        monkeypatch.setattr(neardup, "LEFT_PAIRS", left)
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(neardup, "ROUNDS", 0)  # the exact filter alone finds what the first hubs leave
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == want
+
+
 def brute_repeats(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] is not None, rows[i][1] or ""))
     seen, out = set(), []
@@ -174,6 +211,13 @@ def test_html_keeps_what_surrounds_the_best_container(spark, before, after):
         assert "article" not in before and "main" not in before or len(lines) == 3
 
 
+def test_html_keeps_headings_and_paragraphs_whose_ids_are_anchors(spark):
+    body = "<h1>Head</h1><h2 id='search'>Search</h2><p id='related-work'>Related work.</p><h2 id='Comments' class='section-header'>Comments</h2><p>The end.</p>"
+    page = f"<body><article>{body}<div id='comments'><p>A reader</p></div><p class='advert'>Buy</p><section id=related><p>Other</p></section></article></body>"
+    got = html.main_text(spark.createDataFrame([(1, "http://a.org/", page)], "page_id long, url string, html string")).collect()
+    assert got[0]["text"].split("\n") == ["Head", "Search", "Related work.", "Comments", "The end."]
+
+
 def test_html_leaves_linked_lists_and_other_boxes_at_body(spark):
     text = "The text of the story, some words long."
     page = f"<body><div class=list><a href=/1>One story</a> | <a href=/2>Two</a></div><div class=top>Our site</div><div class=text><p>{text}</p></div></body>"
@@ -359,3 +403,29 @@ def test_topk_bars_own_rows_at_every_depth():
             want = sorted((-int(x[o] @ x[c]), c) for c in range(n) if ids[c] != ids[o])[:k]
             got = sorted((-int(s), int(c)) for w, c, s in zip(who, what, score, strict=True) if w == i)
             assert got[: len(want)] == want, (trial, n, dims, k)
+
+
+def test_topk_stops_reading():
+    """Reading ends before the lists do, early in clusters, and still for independent components."""
+    rng = np.random.default_rng(5)
+    far = np.repeat(rng.integers(-60, 60, (84, 16)), 12, axis=0)[:1000] + rng.integers(-1, 2, (1000, 16))
+    loose = np.floor(8 * rng.standard_normal((1000, 16)))
+    shares = []
+    for x in (far.astype(float), loose):
+        order = np.argsort(x.T, axis=1, kind="stable").astype(np.int32)
+        values = np.take_along_axis(np.ascontiguousarray(x.T), order, axis=1)
+        read = []
+        for o in range(0, 1000, 97):
+            left, n = topk.survivors(x[o], order, values, slice(o, o + 1), 5)
+            want = sorted((-(x[o] @ x[c]), c) for c in range(1000) if c != o)[:5]
+            assert {c for _, c in want} <= set(left.tolist()) and o not in left
+            read.append(n / x.size)
+        shares.append(np.mean(read))
+    assert shares[0] < 0.75 and shares[1] < 0.95, shares
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).collect()}
+    assert got == {(0, 1): (1, 2**63 - 1), (0, 2): (3, 2**63 - 1), (0, 3): (2, -(2**63))}
