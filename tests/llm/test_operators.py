@@ -362,10 +362,40 @@ def test_language(spark):
     assert [got[i]["lang_pred"] for i in (500, 501, 502)] == ["und"] * 3 and got[None]["lang_pred"] == "aa"
     assert {r["lang_pred"] for r in language.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.predict(docs.limit(0)).count() == 0
-    text, sample = b"kalomizz", [b"lomika", b"kalo"]  # kalo | mi | z | z
-    column, flat, _ = language.build(sample)
-    lanes = np.frombuffer(text, np.uint8)[:, None]
-    assert language.phrases(lanes, np.zeros(lanes.shape, bool), column, flat)[0] == 4
+
+
+def test_language_in_blocks(spark, monkeypatch):
+    rnd = random.Random(16)
+    rows = [(i, " ".join(words(rnd, 30, f"{la}{la}")), la, "s") for i in range(150) for la in [rnd.choice("abcde")]] + [(1, "again a", "a", "s"), (None, "bb1 bb2", None, "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = Counter(tuple(r) for r in language.predict(docs).collect())
+    monkeypatch.setattr(language, "AT_ONCE", 2)
+    assert Counter(tuple(r) for r in language.predict(docs).collect()) == want
+
+
+def test_language_phrases_against_plain_parsing(monkeypatch):
+    """Cut into lanes or not, the phrases are those of one greedy parse."""
+    rnd = random.Random(15)
+    monkeypatch.setattr(language, "LANE", 8)
+    for trial in range(40):
+        letters = "ab" if trial % 2 else "abcde"
+        sample = ["".join(rnd.choices(letters, k=rnd.randrange(1, 60))).encode() for _ in range(3)]
+        texts = ["".join(rnd.choices(letters + "zy"[: trial % 3], k=rnd.randrange(0, 90))) for _ in range(8)] + ["", "ab" * 60, sample[0].decode() * 3]
+        joined = b"\n".join(sample).replace(b"\n", b"\0")
+        column, flat, n = language.build(sample)
+        assert n == len(joined)
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        want = []
+        for t in texts:
+            at = k = 0
+            while at < len(t):
+                m = 1
+                while at + m < len(t) and t[at : at + m + 1].encode() in joined:
+                    m += 1
+                at, k = at + m, k + 1
+            want.append(k)
+        assert language.phrases(data, bounds, column, flat).tolist() == want
 
 
 def test_topk(spark):
