@@ -11,7 +11,8 @@ size is bounded, and every block meets the whole corpus.
 3. The others are aligned with the item: match 2, other word -1, gap -1. The score is the best local alignment by
    the item's own (2 a word); ``SCORE`` and above is a leak.
 
-Edge cases: items that are null or have under ``MIN_WORDS`` words take no part; null and empty texts match
+Edge cases: items that are null or have under ``SEED_WORDS`` words take no part, and those under ``MIN_WORDS`` words
+are leaks only where they occur whole; null and empty texts match
 nothing; items and documents with repeated ids are reported each; a document matches an
 item once, with its best passage (ties: the first); an empty table on either side gives an empty result;
 extra columns are ignored by :func:`leaks` and kept by :func:`keep_clean`.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressfold.llm import textvec as tv
-from pressfold.llm.common import bounded_batches, table
+from pressfold.llm.common import bounded_batches, keyed, table
 
 SEED_WORDS = 3
 MIN_WORDS = 5
@@ -72,11 +74,8 @@ def make_block(ids: list, texts: list[str]) -> Block:
     _, _, data, bounds = next(tv.text_chunks(pa.array(texts, pa.string()), 1 << 62))
     words, first = tv.word_hashes(data, bounds, WORDS_ONLY)
     grams, cut = tv.gram_hashes(words, first, SEED_WORDS)
-    n = np.diff(cut) * (np.diff(first) >= MIN_WORDS)
     item = np.repeat(np.arange(len(ids)), np.diff(cut))
     offset = np.arange(len(grams)) - cut[:-1][item]
-    own = n[item] > 0
-    grams, item, offset = grams[own], item[own], offset[own]
     order = np.argsort(grams, kind="stable")
     seeds, start = np.unique(grams[order], return_index=True)
     return Block(ids, words, first, seeds, np.append(start, len(grams)), item[order], offset[order])
@@ -179,6 +178,10 @@ def bounds(block: Block, words: np.ndarray, item: np.ndarray, begin: np.ndarray,
     return out
 
 
+def _needed(size: np.ndarray, least: float) -> np.ndarray:
+    return np.where(size < MIN_WORDS, 1.0, least)
+
+
 def matches(col: pa.Array, block: Block, marks: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, item, score, last word) of every text and item that align well enough."""
     runs = ((a, words, first, *e) for a, words, first, row, at, seed in _hits(col, block, marks) if len(seed) for e in _entries(block, row, at, seed, 0, len(block.ids)))
@@ -194,7 +197,7 @@ def matches(col: pa.Array, block: Block, marks: np.ndarray, least: float) -> Ite
         item, row, size, pad = item[lead], row[lead], size[lead], pad[lead]
         begin = np.maximum(start[lead] - pad, first[row])
         stop = np.minimum(start[last] + size + pad, first[row + 1])
-        able = bounds(block, words, item, begin, stop) / (MATCH * size) >= least
+        able = bounds(block, words, item, begin, stop) / (MATCH * size) >= _needed(size, least)
         item, row, size, begin, stop = item[able], row[able], size[able], begin[able], stop[able]
         score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
         order = np.argsort((stop - begin) * size, kind="stable")
@@ -217,17 +220,17 @@ def matches(col: pa.Array, block: Block, marks: np.ndarray, least: float) -> Ite
         item, row, score, end = item[order], row[order], score[order], end[order]
         once = np.ones(len(item), bool)
         once[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1])
-        once &= score >= least
+        once &= score >= _needed(np.diff(block.first)[item], least)
         yield row[once] + a, item[once], score[once], end[once]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
-    """(doc_id, item_id, score, end_word) of every document and benchmark item of which it holds a copy."""
+def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, key: str = "doc_id") -> DataFrame:
+    """(doc_id, item_id, score, end_word) of every document and benchmark item of which it holds a copy; ``key`` names the id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    types = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
-    schema = f"doc_id {types[0]}, item_id {types[1]}, score double, end_word long"
+    docs = docs.select(key, "text").filter("text IS NOT NULL")
+    types = (docs.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
+    schema = f"{key} {types[0]}, item_id {types[1]}, score double, end_word long"
     found = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
@@ -239,32 +242,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
             marks, ids = block.marks(), pa.array(block.ids)
             for batch in batches:
                 for row, item, value, end in matches(batch.column("text"), block, marks, score):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), ids.take(pa.array(item)), pa.array(value), pa.array(end)], ["doc_id", "item_id", "score", "end_word"])
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), ids.take(pa.array(item)), pa.array(value), pa.array(end)], [key, "item_id", "score", "end_word"])
 
         found = found.union(docs.mapInArrow(one, schema))
     return found
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
-    """The rows of ``docs`` that hold a copy of no benchmark item, with all their columns."""
+    """The rows of ``docs`` that hold a copy of no benchmark item, with all their columns.
+
+    With a benchmark of one block that is a map over the rows; with more, each block meets all rows and those that any block finds go.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-
-        def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            marks = block.marks()
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                if len(block.seeds):
-                    for row, *_ in matches(batch.column("text"), block, marks, score):
-                        clean[row] = False
-                yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(clean))], ["row"])
-
-        docs = rows.mapInArrow(one, rows.select("row").schema).select("row.*")
-    return docs
+    few = list(islice(blocks(benchmark), 2))  # two blocks at most
+    if not few:
+        return docs
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if len(few) == 2:
+        rows = keyed(docs.select("doc_id", "text", row), "_key")
+        return rows.join(leaks(rows, benchmark, score, "_key").select("_key").distinct(), "_key", "left_anti").select("row.*")
+    shared = spark.sparkContext.broadcast(few[0])
+    rows = docs.select(row, "text")
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        marks = block.marks()
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            if len(block.seeds):
+                for at, *_ in matches(batch.column("text"), block, marks, score):
+                    clean[at] = False
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(clean))], ["row"])
+
+    return rows.mapInArrow(one, rows.select("row").schema).select("row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,9 +267,11 @@ def test_sharding(spark, corpus):
     assert sharding.shard_rows(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block_items", [8192, 3])
+def test_decontamination(spark, monkeypatch, block_items):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block_items)
     rnd = random.Random(2)
-    items = [(k, " ".join(words(rnd, 30))) for k in range(8)] + [(8, "too short"), (9, None), (10, "")]
+    items = [(k, " ".join(words(rnd, 30))) for k in range(8)] + [(8, "too short"), (9, None), (10, ""), (11, "four words and whole")]
     rows = [(i, " ".join(words(rnd, 100)), "en", "s") for i in range(20)] + [(90, None, "en", "s"), (91, "", "en", "s")]
     want = set()
     for k, i in enumerate(range(20, 28)):
@@ -279,10 +281,12 @@ def test_decontamination(spark):
         del w[20]
         rows.append((i, " ".join(words(rnd, 50)) + " " + " ".join(w).title() + ", " + " ".join(words(rnd, 50)), "en", "s"))
         want.add((i, k))
+    rows += [(30, "here are four words and whole they stay", "en", "s"), (31, "of four words and then another", "en", "s")]
+    want.add((30, 11))
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want
     kept = decontaminate.keep_clean(docs.withColumn("row", F.lit(1)), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(20), 90, 91] and kept.columns[-1] == "row"
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(20), 31, 90, 91] and kept.columns[-1] == "row"
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.keep_clean(docs, none).count() == len(rows)
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
@@ -315,6 +319,34 @@ def test_bounds_lose_no_alignment(monkeypatch):
     assert found() == got
 
 
+def plain_alignment(a, b):
+    h, top = [0] * (len(b) + 1), 0
+    for x in a:
+        before, h = h, [0]
+        for j, y in enumerate(b):
+            h.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, h[j] - 1))
+        top = max(top, *h)
+    return top
+
+
+def test_decontamination_recall_against_full_alignment(spark):
+    """Edited, cut, shuffled-in and paraphrased copies against a plain alignment of every document with every item."""
+    rnd = random.Random(14)
+    items = [[f"i{k}w{rnd.randrange(40)}" for _ in range(rnd.randrange(12, 40))] for k in range(12)]
+    docs = []
+    for i in range(150):
+        w = list(rnd.choice(items))
+        for _ in range(rnd.randrange(len(w))):
+            j = rnd.randrange(len(w))
+            kind = rnd.randrange(3)
+            w[j : j + 1] = [f"new{rnd.randrange(99)}"] if kind == 0 else [] if kind == 1 and len(w) > 1 else [w[j], f"add{rnd.randrange(99)}"]
+        docs.append([*words(rnd, 15), *w[: rnd.randrange(len(w) // 2, len(w) + 1)], *words(rnd, 15)])
+    truth = {(i, k) for i, d in enumerate(docs) for k, item in enumerate(items) if plain_alignment(item, d) / (2 * len(item)) >= decontaminate.SCORE}
+    rows = [(i, " ".join(d), "en", "s") for i, d in enumerate(docs)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert got <= truth and len(truth) > 30 and len(got) >= 0.9 * len(truth), (len(got), len(truth))
+
+
 def test_alignment():
     rnd = random.Random(4)
     for _ in range(30):
