@@ -13,11 +13,11 @@
 
 Only DataFrame operations run; a hot source is many shards, so neither a window
 nor a join needs its rows in one task. The candidate quotients of step 2 are cut
-to a window around the exact answer (see ``_quotients``): about two rows for each
-competitor, whatever the number of blocks.
+to those around the exact answer (see ``shard_seats``): about two rows for each
+competitor, whatever the number of blocks, which one distributed sort ranks.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a source
-of its own; repeated rows count as separate documents; equal quotients go to the
+of its own; repeated rows, and rows that share or lack an id, count as separate documents; equal quotients go to the
 source (shard) that comes first; an empty table gives an empty result; extra
 columns are ignored by :func:`mix` and kept by :func:`apply_mix`.
 """
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressfold.llm.common import WORD, materialize, numbered, table
+from pressfold.llm.common import WORD, keyed, materialize, numbered, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -59,23 +59,6 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(level), cap.cast("double")))
 
 
-def _quotients(df: DataFrame, group: list[str], weight: str) -> DataFrame:
-    """Each competitor's seats ``base`` that are certain, and a row for each quotient that still competes.
-
-    For k competitors, the divisors W / (M - k/2) and W / (M + k/2) give at most
-    and at least M seats in all, so each competitor's seats lie between what these
-    two give it (one more on either side for rounding).
-    """
-    w = Window.partitionBy(*group)
-    d = df.withColumn("_w", F.sum(weight).over(w).cast("double")).withColumn("_k", F.count(F.lit(1)).over(w) / 2.0)
-    few = F.when((F.col("seats") > F.col("_k")) & (F.col("_w") > 0), F.floor(F.col(weight) * (F.col("seats") - F.col("_k")) / F.col("_w") + 0.5) - 1).otherwise(0)
-    many = F.when(F.col("_w") > 0, F.floor(F.col(weight) * (F.col("seats") + F.col("_k")) / F.col("_w") + 0.5) + 1).otherwise(0)
-    d = d.withColumn("base", F.greatest(F.lit(0), few).cast("long")).withColumn("_many", F.least(many, F.col("seats")).cast("long"))
-    d = d.withColumn("_open", F.col("seats") - F.sum("base").over(w))
-    d = d.withColumn("_k", F.explode_outer(F.when(F.col("_many") > F.col("base"), F.sequence("base", F.col("_many") - 1))))
-    return d.withColumn("_q", F.col(weight) / (F.col("_k") * 2 + 1)).drop("_w", "_many")
-
-
 def source_seats(sources: DataFrame, seats: int) -> DataFrame:
     """``sources`` with the column blocks: ``seats`` blocks by the highest quotients of target."""
     totals = sources.agg(F.sum("target").alias("w"), F.count(F.lit(1)).alias("k")).first()
@@ -93,19 +76,31 @@ def source_seats(sources: DataFrame, seats: int) -> DataFrame:
 
 
 def shard_seats(shards: DataFrame) -> DataFrame:
-    """(src, shard, n, seats) with the column quota: each source's seats over its shards by words."""
-    q = _quotients(shards, ["src"], "n")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.col("_q").desc_nulls_last(), "shard"))
-    won = q.withColumn("_won", F.when(F.col("_q").isNotNull() & (rank <= F.col("_open")), 1).otherwise(0))
-    return won.groupBy("src", "shard").agg(F.first("n").alias("n"), (F.first("base") + F.sum("_won")).alias("quota"))
+    """(src, shard, n, quota): each source's seats over its shards (src, shard, n, seats) by words.
+
+    For k shards, the divisors W / (M - k/2) and W / (M + k/2) give at most and at least M seats in all, so each shard's
+    seats lie between what these two give it (one more on either side for rounding). Only quotients between are
+    sorted, all sources' in one distributed order.
+    """
+    sums = shards.groupBy("src").agg(F.sum("n").cast("double").alias("_w"), (F.count(F.lit(1)) / 2.0).alias("_k"))
+    d = shards.join(sums, "src")
+    few = F.when((F.col("seats") > F.col("_k")) & (F.col("_w") > 0), F.floor(F.col("n") * (F.col("seats") - F.col("_k")) / F.col("_w") + 0.5) - 1).otherwise(0)
+    many = F.when(F.col("_w") > 0, F.floor(F.col("n") * (F.col("seats") + F.col("_k")) / F.col("_w") + 0.5) + 1).otherwise(0)
+    d = d.withColumn("base", F.greatest(F.lit(0), few).cast("long")).withColumn("_many", F.least(many, F.col("seats")).cast("long"))
+    d = materialize(d.select("src", "shard", "n", "seats", "base", "_many"), "mix-shards")
+    q = d.filter("_many > base").select("src", "shard", "n", F.explode(F.sequence("base", F.col("_many") - 1)).alias("_i"))
+    ranked = numbered(q.select("src", (-F.col("n") / (F.col("_i") * 2 + 1)).alias("_q"), "shard"), ["src", "_q", "shard"], "_rank")
+    still = d.groupBy("src").agg((F.first("seats") - F.sum("base")).alias("_open")).join(ranked.groupBy("src").agg(F.min("_rank").alias("_from")), "src")
+    won = ranked.join(still, "src").filter(F.col("_rank") - F.col("_from") < F.col("_open")).groupBy("src", "shard").agg(F.count(F.lit(1)).alias("_won"))
+    return d.join(won, ["src", "shard"], "left").select("src", "shard", "n", (F.col("base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken."""
+def _taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
+    """One row for each row of ``docs`` (_key, unique, doc_id, source, text): _key, doc_id, source, size, source_size, target, taken."""
     sizes = docs.select(
-        "doc_id", "source",
+        "_key", "doc_id", "source",
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("_h"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_key").cast("string")).cast("binary")).alias("_h"),
     )
     sizes = materialize(sizes, "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("_rows"))
@@ -128,20 +123,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     runs = runs.withColumn("_from", start).withColumn("_to", start + take - F.col("_passes") * F.col("n"))
     runs = materialize(runs, "mix-runs")
     rows = rows.join(runs, ["src", "shard"])
-    seen = Window.partitionBy("src", "shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = Window.partitionBy("src", "shard").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_end", F.sum("size").over(seen)).withColumn("_begin", F.col("_end") - F.col("size"))
     inside = F.greatest(F.lit(0), F.least("_end", F.least("_to", "n")) - F.greatest("_begin", "_from"))
     wrapped = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_to") - F.col("n")) - F.col("_begin"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("_passes") * F.col("size") + inside + wrapped).cast("long").alias("taken"))
+    return rows.select("_key", "doc_id", "source", "size", "source_size", "target", (F.col("_passes") * F.col("size") + inside + wrapped).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **params) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken."""
+    return _taken(keyed(docs.select("doc_id", "source", "text"), "_key"), **params).drop("_key")
 
 
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
-    """The mix as documents: a document comes as often as it is taken whole, and once more if at least half of it is taken besides."""
-    taken = mix(docs.select("doc_id", "source", "text"), **params).filter("size > 0")
-    times = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0")
-    times = times.groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(times, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    """The mix as documents: a row comes as often as it is taken whole, and once more if at least half of it is taken besides."""
+    rows = keyed(docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "_key")
+    taken = _taken(rows, **params).filter("size > 0")
+    times = taken.select("_key", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0")
+    rows = rows.select("_key", "row").join(times, "_key")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 

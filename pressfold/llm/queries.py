@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op7_sharding": sharding.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
 }

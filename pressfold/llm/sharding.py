@@ -77,7 +77,7 @@ def feistel_sql(value: str, n: int, seed: int = SEED) -> str:
 def permute(value: str, n: int, seed: int = SEED) -> Column:
     """The place of the row number in column ``value`` in a permutation of 0..n-1."""
     walk = f"aggregate(sequence(1, {walk_limit(n)}), {feistel_sql(value, n, seed)}, (w, j) -> CASE WHEN w < {n}L THEN w ELSE {feistel_sql('w', n, seed)} END)"
-    return F.expr(walk)
+    return F.expr(f"transform(array({walk}), w -> CASE WHEN w < {n}L THEN w ELSE raise_error('a walk left the rows') END)[0]")
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -100,3 +100,32 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents")).drop("row_number", "position")
+
+
+def oracle_sql(shards: int = SHARDS, seed: int = SEED) -> str:
+    """DuckDB SQL for :func:`op7_sharding`; crc32 is spelt out, byte by byte."""
+    rounds, l, r = [], "l0", "r0"
+    for i, key in enumerate(round_keys(seed)):
+        x, radix, old = (r, "a", l) if i % 2 == 0 else (l, "b", r)
+        new = f"{'l' if i % 2 == 0 else 'r'}{i + 1}"
+        y = f"(({x} % {PRIME} + {key}) % {PRIME})"
+        rounds.append(f"LATERAL (SELECT ({old} + ({y} * {y} % {PRIME}) * 31 + {y} * 17 + {x} // 65537) % {radix} AS {new}) AS t{i}")
+        l, r = (new, r) if i % 2 == 0 else (l, new)
+    return f"""
+WITH RECURSIVE tbl AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS g(i)),
+d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size,
+       CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(text), '..'), lambda p: ('0x' || p)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) END AS text_crc32
+     FROM documents, tbl),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS num, count(*) OVER () AS n FROM d),
+s AS (SELECT *, ceil(sqrt(n))::BIGINT AS a FROM n),
+m AS (SELECT *, (n + a - 1) // a AS b FROM s),
+walk(num, n, a, b, v, step) AS (
+  SELECT num, n, a, b, num, 0 FROM m
+  UNION ALL
+  SELECT num, n, a, b, {l} + {r} * a, step + 1 FROM walk, LATERAL (SELECT v % a AS l0, v // a AS r0) AS t, {", ".join(rounds)} WHERE step = 0 OR v >= n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {shards})::INT AS shard, v // {shards} AS slot, NULL::INT AS grown_shard
+FROM m JOIN walk USING (num) WHERE step > 0 AND v < walk.n
+"""
+
+
+ORACLE_SQL = oracle_sql()

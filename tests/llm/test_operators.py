@@ -252,6 +252,10 @@ def test_mixing(spark, corpus):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix(docs.repartition(3), block_tokens=4, shard_rows=16).collect()))
     applied = mixing.apply_mix(docs.withColumn("_times", F.lit(1)))
     assert applied.columns[-1] == "_times" and applied.count() > 0
+    same = spark.createDataFrame([(7, f"w{i} " * 30, None, "a") for i in range(40)] + [(8, "other " * 900, None, "b")], DOCS)  # rows that share an id are taken one by one
+    taken = mixing.mix(same).agg(F.sum("taken")).first()[0]
+    drawn = mixing.apply_mix(same).agg(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0]
+    assert abs(taken - drawn) <= 0.25 * taken
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
