@@ -5,7 +5,7 @@ divided by the text's number of tokens. Toxicity (:data:`TOXIC`) uses word n-gra
 skip-grams and stems (the first bytes of longer words), once or repeated, so that a few words count in a long text as in a short one.
 
 Training reads a bounded sample, ``FIT_ROWS`` labelled documents of the training folds
-with the smallest seeded hashes, whole texts, in one task and in hash order. FTRL keeps a learning
+with the smallest seeded hashes and ``FIT_BYTES`` bytes at most (a document that would pass them is left out), whole texts, in one task and in hash order. FTRL keeps a learning
 rate for each coordinate; L1 sets most weights to zero, and only the others
 (bounded by ``2 ** BITS``) go to the executors. Scoring is a map over whole texts.
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from pressfold.llm.common import bounded_batches, fold, table
 
 BITS = 24
 FIT_ROWS = 8192
+FIT_BYTES = 48 << 20
 EPOCHS = 3
 SEED = 11
 ACCEPT = 0.7
@@ -107,7 +109,13 @@ def grams(data: np.ndarray, bounds: np.ndarray, task: Task) -> Iterator[tuple[np
 
 
 def _examples(batches: Iterator[pa.RecordBatch], task: Task) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    room = FIT_BYTES
     for batch in batches:
+        fits = []
+        for size in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+            fits.append(size <= room)
+            room -= size if fits[-1] else 0
+        batch = batch.filter(pa.array(fits, pa.bool_()))
         labels = batch.column("label").to_pylist()
         for a, b, data, bounds in tv.text_chunks(batch.column("text")):
             parts = list(grams(data, bounds, task))
