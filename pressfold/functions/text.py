@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The labels that articles are sorted by.
 TOPICS = ("US Politics", "Science/Technology", "Gaming", "Sports", "Business/Finance", "Other")
 
 
@@ -205,12 +206,7 @@ def blocked_since(added: Column, permanent: Column) -> Column:
 def analysis_type(topics: Column) -> Column:
     """Layout of a story's report: the first kind that one of its topics names."""
     kinds = (("politics", ("us politics",)), ("science", ("science", "technology")), ("gaming", ("gaming",)), ("sports", ("sports",)), ("business", ("business", "finance")))
-    cases = [(k, F.exists(topics, lambda t, w=w: contains_any(t, w))) for k, w in kinds]
+    named = lambda words: F.exists(topics, lambda t: contains_any(t, words))
+    cases = [(k, named(w)) for k, w in kinds]
     return F.coalesce(*[F.when(hit, k) for k, hit in cases], F.lit("default"))
 
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, 0 where one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)

@@ -85,8 +85,9 @@ def suppress_domains(rows: DataFrame, bad: Column, order: list[Column]) -> DataF
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters of two texts."""
-    return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    """Ratio of matching characters of two texts; null for null."""
+    ratio = lambda x, y: None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10, least: float = 0.85, chars: int = 2000, short: int = 100) -> DataFrame:
@@ -116,26 +117,49 @@ def near_copies(rows: DataFrame, stored: DataFrame | None = None, needed: int =
     return copy_pairs(rows, stored, **rules).groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= needed)
 
 
-def audit(verdicts: DataFrame) -> DataFrame:
-    """(outlet, id) of the rows that a retroactive audit clears.
+def audit(rows: DataFrame, last: int = 10, least: float = 0.85, needed: int = 2) -> DataFrame:
+    """(outlet, id) of the rows (id, outlet, domain, content) whose content a retroactive audit clears.
 
-    ``verdicts``: outlet, id, domain, bad (boolean), copies (ids of the same outlet that the row resembles). In the order
-    (outlet, id) a row is cleared if it is bad, follows a cleared row of its domain, or resembles two rows
-    that are not cleared yet. A verdict rests on earlier ones only, so repeating the rule until nothing
-    changes gives the verdicts of the ordered scan; rounds follow the longest chain of verdicts.
+    In the order (outlet, id) a row is cleared if it is a bad scrape, follows a cleared row of its domain, or resembles ``needed`` of
+    the ``last`` newest other rows of its outlet that have a content then; a cleared row makes room for an older one.
+    Only the ``last`` newest rows of an outlet look back on rows that were scanned before them, so all others are judged at once.
+    A verdict rests on earlier ones only, so repeating the rule until nothing changes gives the verdicts of the ordered scan; rounds
+    follow the longest chain of verdicts, and pairs of texts are compared once.
     """
     place = F.struct(F.col("outlet").isNull().alias("last"), F.col("outlet").alias("outlet"), F.col("id").alias("id"))
-    rows = durable(verdicts.select("outlet", "id", "domain", F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce(F.size("copies"), F.lit(0)).alias("n"), place.alias("place"), "copies"))
-    pairs = durable(rows.select("id", F.explode("copies").alias("copy")).filter("copy < id"))
-    rows = rows.drop("copies")
-    now = rows.withColumn("cleared", F.col("bad"))
+    base = durable(rows.filter("content <> ''").select("outlet", "id", "domain", bad_scrape(F.col("content")).isNotNull().alias("bad"), place.alias("place"), F.left(without_tags(F.col("content")), F.lit(2000)).alias("text")))
+    latest = Window.partitionBy("outlet").orderBy(F.desc("id"))
+    newest = durable(base.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= last).select("outlet", "id", "n", "text"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(id, other, close) of pairs (id, x, other, y)."""
+        a, b = F.length("x"), F.length("y")
+        able = (F.least(a, b) >= 100) & (F.least(a, b) * 2 > (a + b) * least)
+        return durable(pairs.select("id", "other", (F.when(able, sequence_ratio(F.when(able, F.col("x")), F.when(able, F.col("y")))).otherwise(0.0) > least).alias("close")))
+
+    old = base.join(newest.select("id"), "id", "left_anti")
+    seen = newest.select(F.col("outlet").alias("of"), F.col("id").alias("other"), F.col("text").alias("y"))
+    copied = alike(old.join(seen, F.col("outlet").eqNullSafe(F.col("of"))).select("id", F.col("text").alias("x"), "other", "y")).filter("close").groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= needed)
+    settled = durable(base.select("outlet", "id", "domain", "place", "bad").join(copied.select("id", F.lit(True).alias("copied")), "id", "left").withColumn("bad", F.col("bad") | F.coalesce("copied", F.lit(False))).drop("copied"))
+
+    now, known = settled.withColumn("cleared", F.col("bad")), None
+    back = Window.partitionBy("id").orderBy(F.desc("other"))
     while True:
-        gone = now.filter("cleared")
-        left = pairs.join(gone.select(F.col("id").alias("copy")), "copy").groupBy("id").agg(F.count(F.lit(1)).alias("gone"))
-        first = gone.filter("domain <> ''").groupBy("domain").agg(F.min("place").alias("first"))
-        alive = F.col("n") - F.coalesce("gone", F.lit(0))
-        again = F.col("bad") | (alive >= 2) | F.coalesce(F.col("place") > F.col("first"), F.lit(False))
-        step = durable(now.withColumnRenamed("cleared", "before").join(left, "id", "left").join(first, "domain", "left").withColumn("cleared", again).select(*rows.columns, "before", "cleared"))
+        alive = now.filter(~F.col("cleared"))
+        older = alive.join(newest.select("id"), "id", "left_anti").withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= last).select("outlet", "id")
+        pool = newest.select("outlet", "id").join(now.select("id", "cleared"), "id").select(F.col("outlet").alias("of"), F.col("id").alias("other"), "cleared")
+        pool = pool.unionByName(older.select(F.col("outlet").alias("of"), F.col("id").alias("other"), F.lit(False).alias("cleared")))
+        views = newest.select("outlet", "id").join(pool, F.col("outlet").eqNullSafe(F.col("of"))).filter((F.col("id") != F.col("other")) & (~F.col("cleared") | (F.col("other") > F.col("id"))))
+        views = durable(views.withColumn("n", F.row_number().over(back)).filter(F.col("n") <= last).select("id", "other"))
+        fresh = views if known is None else views.join(known, ["id", "other"], "left_anti")
+        texts = lambda k, t: base.select(F.col("id").alias(k), F.col("text").alias(t))
+        fresh = alike(fresh.join(texts("id", "x"), "id").join(texts("other", "y"), "other"))
+        known = fresh if known is None else durable(known.unionByName(fresh))
+        copies = views.join(known.filter("close"), ["id", "other"]).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+        wrong = F.col("bad") | (F.coalesce("copies", F.lit(0)) >= needed)
+        step = settled.join(copies, "id", "left").join(now.select("id", F.col("cleared").alias("before")), "id")
+        first = now.filter("cleared AND domain <> ''").groupBy("domain").agg(F.min("place").alias("first"))
+        step = durable(step.join(first, "domain", "left").withColumn("cleared", wrong | F.coalesce(F.col("place") > F.col("first"), F.lit(False))).drop("first", "copies"))
         if not step.filter("before <> cleared").take(1):
             return step.filter("cleared").select("outlet", "id")
         now = step.drop("before")

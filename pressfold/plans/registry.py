@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressfold.functions import html, models
 from pressfold.functions import text as tx
-from pressfold.operators import quality, stories
+from pressfold.operators import quality, stories, upkeep
 from pressfold.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,19 +198,6 @@ def title_contexts(spark: SparkSession, d: str) -> DataFrame:
     return stories.title_context(_articles(spark, d).withColumn("title", F.col("title").cast("string")))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '...' ELSE trim(t) END AS title FROM
-(SELECT doc_id, t, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS w FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)) WHERE NOT regexp_matches(t, ' [-|—] ')""")
-def clean_titles(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t"))
-    return t.filter(~F.col("t").rlike(" [-|—] ")).select("doc_id", tx.clean_title(F.col("t")).alias("title"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '^[1-5]$') THEN trim(text)::INT END AS bias, ['Other'] AS topics FROM conversations WHERE NOT regexp_matches(lower(text), 'us politics|science/technology|gaming|sports|business/finance')")
-def model_responses(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "conversations").filter(~F.lower("text").rlike("us politics|science/technology|gaming|sports|business/finance"))
-    return c.select("conv_id", "turn", tx.bias_score(F.col("text")).alias("bias"), tx.topic_labels(F.col("text")).alias("topics"))
-
-
 _CUT = lambda sep: rf"WHEN regexp_matches(t, '(?s)^.* {sep} ') AND len(string_split(trim(regexp_replace(regexp_extract(t, '(?s)^.* {sep} (.*)$', 1), '\s+', ' ', 'g')), ' ')) <= 4 THEN regexp_extract(t, '(?s)^(.*) {sep} .*$', 1)"
 
 
@@ -231,6 +218,29 @@ def all_model_responses(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.bias_score(F.col("text")).alias("bias"), tx.topic_labels(F.col("text")).alias("topics"))
 
 
+_TITLES = rf"""SELECT id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '...' ELSE trim(t) END AS title FROM
+(SELECT id, t, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS w FROM (SELECT id, CASE {_CUT("-")} {_CUT("[|]")} {_CUT("—")} ELSE t END AS t FROM titles))"""
+
+
+@query(f"WITH titles AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages) {_TITLES}")
+def clean_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of all pages without their outlets."""
+    return _t(spark, d, "pages").select(F.col("page_id").alias("id"), tx.clean_title(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
+
+
+_NAMED = "(VALUES (1, 'US Politics'), (2, 'Science/Technology'), (3, 'Gaming'), (4, 'Sports'), (5, 'Business/Finance'))"
+
+
+@query(f"""WITH k(i, t) AS {_NAMED}, c AS (SELECT doc_id, lang || chr(10) || (SELECT string_agg(t, ' / ' ORDER BY i) FROM k WHERE doc_id % (i + 1) = 0) AS text FROM documents),
+m AS (SELECT doc_id, i, t FROM c CROSS JOIN k WHERE contains(lower(text), lower(t)))
+SELECT doc_id, coalesce(list(t ORDER BY i) FILTER (t IS NOT NULL), ['Other']) AS topics FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
+def model_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Topics that made responses name, for all documents: none, one or several in a line."""
+    names = [t for t in tx.TOPICS if t != "Other"]
+    line = F.array_join(F.array(*[F.when(F.col("doc_id") % (k + 2) == 0, t) for k, t in enumerate(names)]), " / ")
+    return _t(spark, d, "documents").select("doc_id", tx.topic_labels(F.concat("lang", F.lit("\n"), line)).alias("topics"))
+
+
 @query(r"""SELECT conv_id, turn, CASE WHEN h <> '' AND len(string_split(trim(regexp_replace(h, '\s+', ' ', 'g')), ' ')) <= 20 THEN h END AS headline FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g'), '^\s+|\s+$', '', 'g') AS h FROM conversations)""")
 def headlines(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.headline(F.col("text")).alias("headline"))
@@ -273,10 +283,24 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     return stories.greedy_dedup(t.select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("outlet"), F.length("text").alias("content_length")))
 
 
-@query()
+_WALL = "This page of ours is open to members only; become one, and read on from here in full, with all pictures, tables and notes, number "
+
+
+def _walled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as articles; every third holds the same wall instead of its text."""
+    wall = F.concat(F.lit(_WALL), F.col("doc_id").cast("string"))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.when(F.col("doc_id") % 3 == 0, wall).otherwise(F.col("text")).alias("content"))
+
+
+_LATEST = """d AS (SELECT doc_id AS id, source AS outlet, doc_id % 3 = 0 AS wall FROM documents WHERE doc_id % 3 = 0 OR text <> ''),
+l AS (SELECT *, row_number() OVER (PARTITION BY outlet ORDER BY id DESC) AS n FROM d)"""
+
+
+@query(f"""WITH {_LATEST}, x AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY b.id DESC) AS m, b.wall FROM l a JOIN l b ON a.outlet = b.outlet AND b.n <= 11 AND a.id <> b.id WHERE a.wall)
+SELECT id, count(*) AS copies FROM x WHERE m <= 10 AND wall GROUP BY id HAVING count(*) >= 2""")
 def outlet_near_copies(spark: SparkSession, d: str) -> DataFrame:
     """Articles that resemble at least two of their outlet's latest."""
-    return quality.near_copies(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("text").alias("content")))
+    return quality.near_copies(_walled(spark, d))
 
 
 @query(f"""WITH a AS ({ARTICLES_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY id) AS n FROM a)
@@ -390,12 +414,207 @@ def judged_assignment(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def retroactive_audit(spark: SparkSession, d: str) -> DataFrame:
     """Documents an audit clears: bad scrapes and near-copies of their outlet, and what follows a cleared one of its domain (the source stands in)."""
-    t = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("source").alias("domain"), F.col("text").alias("content"))
-    copies = quality.copy_pairs(t).groupBy("id").agg(F.collect_list("other").alias("copies"))
-    return quality.audit(t.select("id", "outlet", "domain", quality.bad_scrape(F.col("content")).isNotNull().alias("bad")).join(copies, "id", "left"))
+    return quality.audit(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("source").alias("domain"), F.col("text").alias("content")))
+
+
+@query(f"""WITH {_LATEST} SELECT a.outlet, a.id FROM l a JOIN l b ON a.outlet = b.outlet AND b.n <= 10 AND b.id > a.id AND b.wall WHERE a.wall GROUP BY 1, 2 HAVING count(*) >= 2""")
+def walled_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit without domains: walls go as long as two later ones are among the outlet's latest."""
+    return quality.audit(_walled(spark, d).withColumn("domain", F.lit("")))
 
 
 @query("SELECT doc_id, NULL::INT AS bias, ['Other'] AS topics FROM documents")
 def unanswered_models(spark: SparkSession, d: str) -> DataFrame:
     """Without a provider no rating is given and every topic is Other."""
     return _t(spark, d, "documents").select("doc_id", models.article_bias(F.lit(""), F.col("text"), None).alias("bias"), models.topics(F.lit(""), F.col("text"), None).alias("topics"))
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 6 = 0")
+def unrated_outlets(spark: SparkSession, d: str) -> DataFrame:
+    return upkeep.unrated(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.nullif(F.col("s_suppkey") % 6, F.lit(0)).alias("bias_score"))).select("id")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0 ORDER BY vec_id LIMIT 50")
+def embedding_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The first articles without an embedding: a queue of 50."""
+    return upkeep.missing_embeddings(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))).select("id")
+
+
+def _stored_stories(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as stories: every third has no summary, every third its title in its place; every second has a headline, every fifth a report."""
+    k, title = F.col("o_orderkey"), F.col("o_orderpriority")
+    summary = F.when(k % 3 == 1, title).when(k % 3 == 2, "text")
+    return _t(spark, d, "orders").select(k.alias("id"), title.alias("title"), F.when(k % 2 == 0, "head").alias("headline"), summary.alias("summary"), F.when(k % 5 == 0, "report").when(k % 5 == 1, "").alias("deep_report"), (F.col("o_totalprice") - 1000).alias("headline_score"), F.col("o_orderdate").alias("created_at"))
+
+
+_STORED = """s AS (SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'head' END AS headline, CASE o_orderkey % 3 WHEN 1 THEN o_orderpriority WHEN 2 THEN 'text' END AS summary,
+ CASE o_orderkey % 5 WHEN 0 THEN 'report' WHEN 1 THEN '' END AS deep_report, o_totalprice - 1000 AS headline_score, o_orderdate AS created_at FROM orders),
+m AS (SELECT l_orderkey AS id FROM lineitem GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return _articles(spark, d).select("story_id", "id")
+
+
+@query(f"WITH {_STORED} SELECT id FROM s WHERE summary IS NULL OR summary = title ORDER BY id LIMIT 10")
+def summary_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The first stories without a summary: a queue of 10."""
+    return upkeep.missing_summaries(_stored_stories(spark, d)).select("id")
+
+
+@query(f"WITH {_STORED} SELECT id FROM s JOIN m USING (id) WHERE coalesce(headline, '') = ''")
+def headline_queue(spark: SparkSession, d: str) -> DataFrame:
+    return upkeep.missing_headlines(_stored_stories(spark, d), _members(spark, d)).select("id")
+
+
+@query(f"WITH {_STORED} SELECT id, headline_score FROM s JOIN m USING (id) WHERE headline_score > 0 AND created_at >= TIMESTAMP '1995-01-01' AND coalesce(deep_report, '') = '' ORDER BY headline_score DESC, id LIMIT 5")
+def report_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The five best ranked stories without a report."""
+    return upkeep.missing_reports(_stored_stories(spark, d), _members(spark, d), F.to_timestamp_ntz(F.lit("1995-01-03 00:00:00"))).select("id", "headline_score")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE coalesce(text, '') = '' OR length(text) < 500 ORDER BY doc_id LIMIT 20")
+def rescrape_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The first articles to scrape again: a queue of 20."""
+    return upkeep.missing_content(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id")
+
+
+@query(f"WITH {_STORED} SELECT id, CASE WHEN id % 7 = 0 THEN 'new' ELSE summary END AS summary FROM s")
+def produced_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """New summaries where one was produced."""
+    s = _stored_stories(spark, d)
+    made = s.filter("id % 7 < 3").select("id", F.when(F.col("id") % 7 == 0, "new").when(F.col("id") % 7 == 1, "").alias("summary"))
+    return upkeep.set_if_produced(s, made, "id", "summary").select("id", "summary")
+
+
+@query(f"WITH {_STORED} SELECT id, CASE WHEN m.id IS NOT NULL THEN headline END AS headline FROM s LEFT JOIN m USING (id)")
+def reset_headlines(spark: SparkSession, d: str) -> DataFrame:
+    return upkeep.reset_headlines(_stored_stories(spark, d), _members(spark, d)).select("id", "headline")
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) >= 500 THEN md5(text) END AS content FROM documents")
+def cleared_content(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("content"), F.length("text").alias("n"))
+    return upkeep.clear_content(t, t.filter("n < 500")).select("id", "content")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 2.5 ELSE c_acctbal END AS bias_score FROM customer")
+def rated_articles(spark: SparkSession, d: str) -> DataFrame:
+    """New ratings of single articles."""
+    a = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bias_score"))
+    return upkeep.set_if_produced(a, a.filter("id % 4 = 0").select("id", F.lit(2.5).alias("bias_score")), "id", "bias_score")
+
+
+@query("SELECT o_orderkey AS story_id, o_orderpriority AS topic FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def kept_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The topics of stories that were not deleted."""
+    return upkeep.without(_stories(spark, d), _articles(spark, d).filter("quantity > 45"), "story_id")
+
+
+@query(f"WITH a AS ({ARTICLES_SQL}) SELECT story_id, min(id) AS id, arg_min(title, id) AS title FROM a GROUP BY 1")
+def first_articles(spark: SparkSession, d: str) -> DataFrame:
+    return upkeep.first_articles(_articles(spark, d).withColumn("content", F.lit(""))).drop("content")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS story_id, o_totalprice AS score FROM orders ORDER BY score DESC, story_id LIMIT 50), e AS (SELECT story_id, CASE WHEN story_id % 3 > 0 THEN (story_id % 10)::DOUBLE END AS editorial_score FROM t)
+SELECT *, row_number() OVER (ORDER BY editorial_score DESC NULLS LAST, story_id)::INT AS editorial_rank FROM e""")
+def editorial_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 best stories in the order of a judge (made of their ids)."""
+    ranked = _t(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), F.col("o_totalprice").alias("score"))
+    return upkeep.editorial_ranks(ranked, F.when(F.col("story_id") % 3 > 0, (F.col("story_id") % 10).cast("double")))
+
+
+@query("""WITH b AS (SELECT 'd' || o_custkey || '.' || o_orderkey AS domain, o_orderstatus = 'F' AS is_permanent, o_orderdate AS added_at FROM orders)
+SELECT domain, row_number() OVER (ORDER BY is_permanent DESC, added_at DESC, domain) AS position, strftime(added_at, '%Y-%m-%d') AS since, CASE WHEN is_permanent THEN 'Permanent' ELSE 'Auto-blocked' END AS status FROM b ORDER BY position LIMIT 25""")
+def blocklist_first_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first 25 entries of a blocklist made of orders, as it is shown."""
+    b = _t(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_custkey"), F.lit("."), F.col("o_orderkey")).alias("domain"), (F.col("o_orderstatus") == "F").alias("is_permanent"), F.col("o_orderdate").alias("added_at"))
+    page = upkeep.blocklist_page(b).limit(25)
+    shown = page.withColumn("position", F.row_number().over(Window.orderBy(F.desc("is_permanent"), F.desc("added_at"), "domain")).cast("long"))
+    return shown.select("domain", "position", tx.blocked_since(F.col("added_at"), F.col("is_permanent")).alias("b")).select("domain", "position", "b.*")
+
+
+@query(r"SELECT conv_id, turn, coalesce(length(text) > 100, false) AS readable, nullif(trim(text), '') AS parameter, (SELECT first(t::INT) FROM (SELECT unnest(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: regexp_matches(x, '^[0-9]{1,9}$') AND try_cast(x AS INT) <= 9)) AS t)) AS choice FROM conversations")
+def turn_values(spark: SparkSession, d: str) -> DataFrame:
+    """Small functions over all turns: readable text, trimmed parameter, the first number up to 9."""
+    text = F.col("text")
+    return _t(spark, d, "conversations").select("conv_id", "turn", upkeep.readable(text).alias("readable"), upkeep.parameter(text).alias("parameter"), tx.match_choice(text, 9).alias("choice"))
+
+
+@query("SELECT user_id, max(ts) FILTER (value > 20) AS last, coalesce(max(ts) FILTER (value > 20) <= TIMESTAMP '2024-01-25 00:00:00', true) AS due FROM events GROUP BY 1")
+def fetch_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose last larger event is an hour ago, or who had none."""
+    last = _t(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("value") > 20, F.col("ts"))).alias("last"))
+    return last.withColumn("due", upkeep.due(F.col("last"), F.to_timestamp_ntz(F.lit("2024-01-25 01:00:00"))))
+
+
+@query("""SELECT 'user ' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id
+UNION ALL SELECT 'user ' || c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
+def state_after_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Key-value state: customers' names, written over by their events."""
+    state = _t(spark, d, "customer").select(F.concat(F.lit("user "), F.col("c_custkey")).alias("key"), F.col("c_name").alias("value"))
+    return upkeep.put_state(state, _t(spark, d, "events").select(F.concat(F.lit("user "), F.col("user_id")).alias("key"), F.col("props").alias("value"), F.col("event_id").alias("ord")))
+
+
+@query("""WITH e AS (SELECT *, lag(value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id AS service, event_id AS at FROM e WHERE value > 50 AND NOT coalesce(before, true)""")
+def services_back(spark: SparkSession, d: str) -> DataFrame:
+    """Events with which a user's value rises above 50 again."""
+    return upkeep.came_back(_t(spark, d, "events").select(F.col("user_id").alias("service"), F.col("event_id").alias("at"), (F.col("value") > 50).alias("online"))).select("service", "at")
+
+
+@query(rf"""WITH p AS (SELECT page_id, 'https://' || CASE page_id % 6 WHEN 0 THEN 'wired.com' WHEN 1 THEN 'axios.com' WHEN 2 THEN 'x.com' WHEN 3 THEN 'wsj.com' ELSE 'a.org' END || '/' || page_id AS url, page_id % 6 AS r,
+ CASE WHEN page_id % 5 > 0 THEN html END AS plain, CASE WHEN page_id % 5 = 1 THEN '' WHEN page_id % 5 = 0 THEN html || ' captcha' ELSE html || 'b' END AS browser, html || 'c' AS crawler FROM pages),
+f AS (SELECT page_id, CASE WHEN r IN (2, 3) THEN NULL WHEN r = 0 THEN nullif(browser, '') WHEN r = 1 THEN crawler ELSE coalesce(plain, nullif(browser, '')) END AS found FROM p),
+t AS (SELECT *, lower({TAGLESS.format('found')}) AS t FROM f), v AS (SELECT *, CASE WHEN found = '' THEN NULL {_STRONG} {_WEAK} END AS reason FROM t)
+SELECT page_id, CASE WHEN reason IS NULL THEN md5(found) END AS content, reason FROM v""")
+def scrape_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """What remains of made fetches of every page, by route and fallback."""
+    k, page = F.col("page_id"), F.col("html")
+    hosts = F.array(*[F.lit(h) for h in ("wired.com", "axios.com", "x.com", "wsj.com", "a.org", "a.org")])
+    rows = _t(spark, d, "pages").select(
+        "page_id", F.concat(F.lit("https://"), F.element_at(hosts, (k % 6 + 1).cast("int")), F.lit("/"), k).alias("url"), F.when(k % 5 > 0, page).alias("plain"),
+        F.when(k % 5 == 1, "").when(k % 5 == 0, F.concat(page, F.lit(" captcha"))).otherwise(F.concat(page, F.lit("b"))).alias("browser"), F.lit(None).cast("string").alias("archive"), F.concat(page, F.lit("c")).alias("crawler"),
+    )
+    blocked = quality.blocklist(spark).filter("domain = 'wsj.com'")
+    return upkeep.scrape(rows, blocked).select("page_id", F.md5(F.col("content").cast("binary")).alias("content"), "reason")
+
+
+@query(f"""WITH a AS ({ARTICLES_SQL}), r AS (SELECT story_id, string_agg(id || ':' || coalesce(s_name, '-'), ',' ORDER BY date DESC, id DESC) AS articles FROM a LEFT JOIN supplier ON outlet_id = s_suppkey AND s_suppkey % 2 = 0 GROUP BY 1)
+SELECT o_orderkey AS id, articles FROM orders LEFT JOIN r ON o_orderkey = story_id""")
+def story_details(spark: SparkSession, d: str) -> DataFrame:
+    """Every story with its articles and their outlets (every second is known), newest first."""
+    a = _articles(spark, d).withColumn("title", F.col("title").cast("string"))
+    o = _t(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("double").alias("bias_score"))
+    rows = upkeep.story_details(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), a, o)
+    return rows.select("id", F.when(F.col("articles").isNotNull(), F.array_join(F.transform("articles", lambda x: F.concat(x["id"], F.lit(":"), F.coalesce(x["outlet"], F.lit("-")))), ",")).alias("articles"))
+
+
+@query(f"""WITH a AS (SELECT DISTINCT story_id, id, outlet_id % 4 AS topic FROM ({ARTICLES_SQL}))
+SELECT DISTINCT x.id, y.topic::VARCHAR AS topic FROM a x JOIN a y ON x.story_id = y.story_id AND y.id <= x.id UNION SELECT id, o_orderpriority FROM a JOIN orders ON story_id = o_orderkey""")
+def topics_so_far(spark: SparkSession, d: str) -> DataFrame:
+    """The topics that each article's story had when it came."""
+    a = _articles(spark, d).select("story_id", "id", (F.col("outlet_id") % 4).cast("string").alias("topic")).distinct()
+    return upkeep.topics_so_far(a.select("story_id", "id").distinct(), a.select("id", "topic"), _stories(spark, d))
+
+
+@query("""SELECT event_id AS id, 0 AS pos, event_type AS title, CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR ELSE 'd' || user_id END AS content, 'http://x.org/' || user_id AS url, 'Outlet' AS source_name, ts AS published_at, props AS image_url FROM events""")
+def other_payload_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles out of the second source's payloads: the description stands in for an empty content."""
+    even = F.col("user_id") % 2 == 0
+    art = F.struct(
+        F.col("event_type").alias("title"), F.when(even, F.col("user_id").cast("string")).otherwise("").alias("content"), F.concat(F.lit("d"), F.col("user_id")).alias("description"), F.concat(F.lit("http://x.org/"), F.col("user_id")).alias("url"),
+        F.struct(F.lit("Outlet").alias("name")).alias("source"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("publishedAt"), F.col("props").alias("image"),
+    )
+    p = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.lit("gnews").alias("source"), F.to_json(F.struct(F.array(art).alias("articles"))).alias("payload"))
+    return payloads.articles(p, F.lit(None).cast("timestamp_ntz"))
+
+
+@query(r"""WITH k AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Intro What''s happening: ' || text || ' What''s next: end' WHEN 1 THEN 'What''s happening: ' || text ELSE text END AS s FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN regexp_replace(string_split(string_split(s, 'What''s happening:')[2], 'What''s next:')[1], '^\s+|\s+$', '', 'g') END AS section,
+['political analyst', 'gaming journalist', 'professional news analyst'][turn % 3 + 1] AS persona FROM k""")
+def summary_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of made summaries, and who writes about a kind."""
+    part, text = F.col("turn") % 3, F.col("text")
+    made = F.when(part == 0, F.concat(F.lit("Intro What's happening: "), text, F.lit(" What's next: end"))).when(part == 1, F.concat(F.lit("What's happening: "), text)).otherwise(text)
+    kind = F.when(part == 0, "politics").when(part == 1, "gaming")
+    return _t(spark, d, "conversations").select("conv_id", "turn", tx.whats_happening(made).alias("section"), tx.persona(kind).alias("persona"))

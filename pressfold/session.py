@@ -1,15 +1,37 @@
-"""Durable cuts of a lineage."""
+"""The folder that all executors share, and durable cuts of a lineage."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset one of our own.
+
+    On a local master that is a temporary folder. On a cluster it lies in the warehouse, if that is no local path.
+    """
+    set_one = spark.conf.get("spark.checkpoint.dir", None)
+    if set_one:
+        return set_one.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        if spark.sparkContext.master.startswith("local"):
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        else:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if warehouse.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            _own_dirs[app] = f"{warehouse}/_checkpoints/{app}"
+    return _own_dirs[app]
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that spark.checkpoint.dir names (a temporary one only where that is unset, as in tests)."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

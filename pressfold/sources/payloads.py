@@ -24,6 +24,11 @@ def articles(payloads: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def land(found: DataFrame, path: str) -> None:
+    """Append raw payloads (source, topic_name, payload, fetched_at) to the table at ``path``, before anything else is done with them."""
+    found.write.mode("append").parquet(path)
+
+
 def recent(rows: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:
     return rows.filter(F.col(column) >= as_of - F.make_dt_interval(F.lit(days)))
 
