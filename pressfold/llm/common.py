@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressfold.session import shared_dir
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,22 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset one of our own."""
-    set_one = spark.conf.get("spark.checkpoint.dir", None)
-    if set_one:
-        return set_one.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if spark.sparkContext.master.startswith("local"):
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        else:
-            _own_dirs[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_checkpoints/{app}"
-    return _own_dirs[app]
-
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
