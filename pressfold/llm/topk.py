@@ -5,11 +5,11 @@ Vectors become integers, floor(64 * x). Candidates are dealt into blocks of abou
 row of its own, so neither side is ever broadcast or gathered whole.
 
 In a pair of blocks every dimension has one list of the candidates by value, read downward for positive query
-components and upward for negative ones. For each query the lists are read in steps, those first whose unread part can
-still change most. A candidate's lower bound counts what was read of it and the worst value of the other lists, its upper bound
-the last values read there. A candidate whose upper bound is under the k-th best lower bound cannot qualify. Once
-``RESOLVE`` * k candidates are left at most, or the lists have ended, reading stops and the scores of these are
-resolved. Each pair of blocks gives its k best for each query, and a window of k rows a block merges them.
+components and upward for negative ones. Every query reads its lists in steps (``STEPS`` of a list; equal values are read together), those first whose unread part can
+still change most, until a share of all that was open is left (``OPEN``). A candidate's lower bound counts what was read of it and the worst value of the other lists, its upper bound
+the last values read there; the sums of all queries of the block are taken at once. A candidate whose upper bound is under the k-th best lower bound cannot qualify. Once
+``RESOLVE`` * k candidates are left at most, or the lists have ended, a query stops reading and the scores of these are
+resolved; the others read on. Each pair of blocks gives its k best for each query, and a window of k rows a block merges them.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components, and rows
 with a null vec_id, take no part; shorter vectors count as filled up with zeros; rows
@@ -37,8 +37,9 @@ QUERY_BLOCK = 1024
 #: Scores are resolved when at most so many candidates for each wanted one are left.
 RESOLVE = 4
 
-#: Share of a list that is read first; each further step doubles what was read.
-FIRST = 1 / 4
+#: Shares of a list up to which it is read, and shares of the widest bounds at which they are compared.
+STEPS = (0.25, 0.5)
+OPEN = (0.2, 0.1, 0.05, 0.0)
 
 BLOCK_SCHEMA = "block int, ids binary, dims int, kind string, data binary"
 
@@ -77,34 +78,64 @@ def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row[f"{side}_data"], row[f"{side}_kind"]).reshape(len(ids), row[f"{side}_dims"])
 
 
-def survivors(q: np.ndarray, order: np.ndarray, values: np.ndarray, barred: slice, k: int) -> tuple[np.ndarray, int]:
-    """(candidates that may be among the k best for ``q``, ascending; entries read).
-
-    ``order`` and ``values`` hold a list for each dimension: the candidates by ascending value, and these values.
-    """
-    n = order.shape[1]
-    dims = np.flatnonzero(q)
-    q, up = q[dims], q[dims] > 0
-    end = q * np.where(up, values[dims, 0], values[dims, -1])  # the worst that a list can give
-    last = q * np.where(up, values[dims, -1], values[dims, 0])  # the most that its unread part can give
-    low, slack = np.full(n, end.sum()), np.full(n, (last - end).sum())
-    depth = np.zeros(len(dims), np.int64)
-    low[barred] = -np.inf
-    while True:
-        left = np.flatnonzero(low + slack >= np.partition(low, n - k)[n - k])
-        gap = last - end
-        if len(left) - len(low[barred]) <= RESOLVE * k or not gap.any():
-            return left[(left < barred.start) | (left >= barred.stop)], int(depth.sum())
-        for i in np.flatnonzero(gap * 2 >= gap.max()):
-            was, now = depth[i], min(n, int(depth[i]) * 2 or max(1, int(n * FIRST)))
-            old, new = (slice(n - was, n), slice(n - now, n - was)) if up[i] else (slice(0, was), slice(was, now))
-            read, value = order[dims[i], new], q[i] * values[dims[i], new]
-            bound = end[i] if now == n else value[0 if up[i] else -1]
-            slack -= last[i] - bound
-            slack[order[dims[i], old]] += last[i] - bound  # read before: nothing open in this list
-            slack[read] -= bound - end[i]
-            low[read] += value - end[i]
-            depth[i], last[i] = now, bound
+class Lists:
+    """The sorted lists of a block of candidates ``x``, as far as each step reads them."""
+
+    def __init__(self, x: np.ndarray):
+        s = np.sort(x, axis=0)
+        self.x, self.low, self.high = x, s[0], s[-1]
+        n = len(x)
+        ends = [max(1, int(n * share)) for share in STEPS]
+        self.down, self.up = [s[n - e] for e in ends], [s[e - 1] for e in ends]  # the last values read
+        self.read = np.array([0, *ends, n])
+        upper, lower = [x], [x]
+        for high, low in zip(self.down, self.up, strict=True):
+            upper += [np.maximum(x, high), np.minimum(x, low)]
+            lower += [np.where(x >= high, x, self.low), np.where(x <= low, x, self.high)]
+        self.upper, self.lower = (np.hstack(m).T for m in (upper, lower))
+
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """(step, query, list): what the list's unread part can still change after each step."""
+        pos, neg = np.maximum(q, 0), np.maximum(-q, 0)
+        steps = [pos * (self.high - self.low) + neg * (self.high - self.low)]
+        steps += [pos * (high - self.low) + neg * (self.high - low) for high, low in zip(self.down, self.up, strict=True)]
+        return np.stack([*steps, np.zeros_like(q)])
+
+    def bounds(self, q: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bound of each query and candidate after the queries' ``step`` of each list."""
+        pos, neg = np.maximum(q, 0), np.minimum(q, 0)
+        parts = [q * (step == len(STEPS) + 1)]
+        for k in range(1, len(STEPS) + 1):
+            parts += [pos * (step == k), neg * (step == k)]
+        weights, shut = np.hstack(parts), step == 0
+        least, most = (pos * shut) @ self.low + (neg * shut) @ self.high, (pos * shut) @ self.high + (neg * shut) @ self.low
+        return weights @ self.lower + least[:, None], weights @ self.upper + most[:, None]
+
+
+def survivors(q: np.ndarray, x: np.ndarray, barred: list[slice], k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each query the candidates that may be among its k best, ascending; entries that it read)."""
+    lists = Lists(x)
+    gaps = lists.gaps(q)
+    step = np.zeros(q.shape, np.int64)
+    rows, queries = np.arange(len(q)), np.arange(q.shape[1])
+    gap = lambda i: gaps[step[i], i[:, None], queries]
+    all_open, found = gap(rows).sum(axis=1), [np.empty(0, np.int64)] * len(q)
+    for share in OPEN:
+        while len(wide := rows[gap(rows).sum(axis=1) > share * all_open[rows]]):  # read on
+            g = gap(wide)
+            step[wide] += (g * 2 >= g.max(axis=1, keepdims=True)) & (g > 0)
+        low, high = lists.bounds(q[rows], step[rows])
+        for j, i in enumerate(rows):
+            low[j, barred[i]] = high[j, barred[i]] = -np.inf
+        left = high >= np.partition(low, len(x) - k, axis=1)[:, len(x) - k, None]
+        left &= high > -np.inf
+        few = (left.sum(axis=1) <= RESOLVE * k) | (gap(rows).sum(axis=1) == 0)
+        for j in np.flatnonzero(few):
+            found[rows[j]] = np.flatnonzero(left[j])
+        rows = rows[~few]
+        if not len(rows):
+            break
+    return found, lists.read[step].sum(axis=1)
 
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,16 +146,14 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     # doubles hold all bounds exactly up to 2 ** 53
     small = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * max(dims, 1) * 4 < 2**53
     q, x = (m.astype(np.float64 if small else object) for m in (q, x))
-    lists = np.argsort(x.T, axis=1, kind="stable").astype(np.int32) if small else None
-    values = np.take_along_axis(np.ascontiguousarray(x.T), lists, axis=1) if small else None
-    own = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
+    barred = [slice(a, b) for a, b in zip(np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right"), strict=True)]
+    some = survivors(q, x, barred, k)[0] if small else [np.concatenate([np.arange(b.start), np.arange(b.stop, len(ids))]) for b in barred]
     who, what, scores = [], [], []
-    for i, (a, b) in enumerate(zip(*own, strict=True)):
-        some = survivors(q[i], lists, values, slice(a, b), k)[0] if small else np.concatenate([np.arange(a), np.arange(b, len(ids))])
-        score = np.array([*(x[some] @ q[i])], None if small else object)
-        take = np.array(sorted(range(len(some)), key=lambda j: -score[j])[:k], np.int64)  # stable: the smaller id first among equals
+    for i, own in enumerate(some):
+        score = np.array([*(x[own] @ q[i])], None if small else object)
+        take = np.array(sorted(range(len(own)), key=lambda j: -score[j])[:k], np.int64)  # stable: the smaller id first among equals
         who.append(np.full(len(take), i))
-        what.append(some[take])
+        what.append(own[take])
         scores.append(np.clip(score[take], -(2**63), 2**63 - 1).astype(np.int64))
     empty = [np.empty(0, np.int64)]
     return tuple(np.concatenate(part + empty) for part in (who, what, scores))
