@@ -132,8 +132,15 @@ def _examples(batches: Iterator[pa.RecordBatch], task: Task) -> Iterator[tuple[n
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], task: Task, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features with a weight, their weights, intercept)."""
-    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    """(features with a weight, their weights, intercept). The features in ``examples`` are numbered anew, in place, so that state is kept for those that occur only."""
+    seen = np.zeros(1 << BITS, bool)
+    for idx, _, _ in examples:
+        seen[idx] = True
+    features = np.flatnonzero(seen).astype(np.int32)
+    del seen
+    for i, (idx, value, y) in enumerate(examples):
+        examples[i] = np.searchsorted(features, idx).astype(np.int32), value, y
+    z, n = np.zeros(len(features), np.float32), np.zeros(len(features), np.float32)
     zb = nb = 0.0
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -156,7 +163,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], task: Task, epochs
             zb += d - ((nb + d**2) ** 0.5 - nb**0.5) / task.alpha * b
             nb += d**2
     used = np.flatnonzero(np.abs(z) > task.l1)
-    return used.astype(np.int32), weights(z[used], n[used]).astype(np.float32), intercept()
+    return features[used], weights(z[used], n[used]).astype(np.float32), intercept()
 
 
 def fit(docs: DataFrame, labels: DataFrame, task: Task, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, float]:

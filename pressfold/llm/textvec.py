@@ -32,24 +32,32 @@ SPLIT[[b for b in range(128) if not chr(b).isalnum() and b not in SPACES]] = 2
 VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    inverse = pow(BASE, -1, 2**64)
+#: Bytes of a run of texts; only the powers that such runs need are kept in a worker.
+RUN = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for b in (BASE, inverse):
+    for b in (BASE, pow(BASE, -1, 2**64)):
         p = np.empty(n, np.uint64)
         p[0] = 1
         done = 1
         while done < n:
-            p[done : 2 * done] = p[:done] * U64(pow(b, done, 2**64))
-            done *= 2
+            more = min(done, n - done)
+            p[done : done + more] = p[:more] * U64(pow(b, done, 2**64))
+            done += more
         out.append(p)
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def _run_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(RUN)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(20, int(n).bit_length()))
+    """At least ``n`` powers of BASE and of its inverse; those of one longer text are not kept."""
+    return _run_powers() if n <= RUN else _powers(n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,7 +70,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_chunks(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(col: pa.Array, most: int = RUN - 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of runs of rows with about ``most`` bytes, one row at least. Nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
