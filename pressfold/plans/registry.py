@@ -276,7 +276,14 @@ def article_topics(spark: SparkSession, d: str) -> DataFrame:
     return stories.retopic(a, _stories(spark, d)).select(F.col("id.s").alias("story_id"), F.col("id.n").alias("id"), "topic")
 
 
-@query()
+@query(r"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS id, coalesce(md5(text), '') AS u, coalesce(length(text), 0) AS size,
+ concat_ws('|', text IS NULL, string_split(text, chr(10))[1], source IS NULL, source) AS t FROM documents),
+scan(n, us, ts, kept) AS (SELECT 0, []::VARCHAR[], []::VARCHAR[], false UNION ALL
+ SELECT n, CASE WHEN new THEN list_append(us, u) ELSE us END, CASE WHEN new THEN list_append(ts, t) ELSE ts END, new FROM
+ (SELECT r.*, us, ts, NOT (list_contains(us, u) OR list_contains(ts, t)) AS new FROM scan JOIN r ON r.n = scan.n + 1)),
+k AS (SELECT r.* FROM r JOIN scan USING (n) WHERE kept),
+c AS (SELECT r.id, r.size, coalesce(x.id, y.id) AS first, coalesce(x.size, y.size) AS length FROM r LEFT JOIN k x ON x.u = r.u AND x.id < r.id LEFT JOIN k y ON y.t = r.t AND y.id < r.id WHERE r.id NOT IN (SELECT id FROM k))
+SELECT id FROM r WHERE id NOT IN (SELECT CASE WHEN size > length + 500 THEN first ELSE id END FROM c)""")
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Documents that a greedy pass keeps; the url is stood in for by the text's hash."""
     t = _t(spark, d, "documents")
@@ -399,7 +406,12 @@ def sanitized_pages(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", html.sanitize(F.col("html")).alias("html"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other, a.label = b.label AS alike, list_cosine_similarity(a.e, b.e) AS c FROM e a JOIN e b ON b.vec_id < a.vec_id),
+t AS (SELECT id, arg_max(other, c) AS other, arg_max(alike, c) AS alike, max(c) AS c FROM p WHERE c >= 0.35 GROUP BY id),
+n AS (SELECT id, other FROM t WHERE c >= 0.45 OR alike),
+r AS (SELECT vec_id AS id, vec_id AS story FROM e WHERE vec_id NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, r.story FROM n JOIN r ON n.other = r.id)
+SELECT id, story FROM r""")
 def judged_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Assignment with a judge for the middle band; here it takes pairs of one label."""
     e = _t(spark, d, "embeddings")
