@@ -278,3 +278,24 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB: all pairs of different sets that share a shingle, by full sets; components by reachability. For small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS k, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+g AS (SELECT k, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+s AS (SELECT DISTINCT k, shingle FROM g),
+z AS (SELECT k, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS whole FROM s GROUP BY k),
+c AS (SELECT *, min(k) OVER (PARTITION BY whole) AS rep FROM z),
+r AS (SELECT s.k, s.shingle, c.n FROM s JOIN c ON s.k = c.rep AND c.k = c.rep),
+p AS (SELECT a.k AS x, b.k AS y FROM r a JOIN r b ON a.shingle = b.shingle AND a.k < b.k AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75
+      GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+reach AS (SELECT DISTINCT x AS k, x AS to_k FROM e UNION SELECT reach.k, e.y FROM reach JOIN e ON reach.to_k = e.x),
+m AS (SELECT k, min(to_k) AS comp FROM reach GROUP BY k)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, f.doc_id AS component_id, d.doc_id IS NOT DISTINCT FROM f.doc_id AS kept
+FROM d LEFT JOIN c ON d.k = c.k LEFT JOIN m ON c.rep = m.k JOIN d f ON f.k = coalesce(m.comp, c.rep, d.k)
+"""

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_neardup": neardup.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
