@@ -122,13 +122,14 @@ def _examples(batches: Iterator[pa.RecordBatch], task: Task) -> Iterator[tuple[n
             feats = np.concatenate([p[0] for p in parts]).astype(np.int64)
             docs = np.concatenate([p[1] for p in parts]).astype(np.int64)
             keys, counts = np.unique(docs << BITS | feats, return_counts=True)
-            cut = np.searchsorted(keys >> BITS, np.arange(b - a + 1))
+            cut = np.searchsorted(keys >> BITS, np.arange(b - a))
             tokens = np.maximum(parts[0][2], 1)
-            for i in range(b - a):
-                idx = (keys[cut[i] : cut[i + 1]] & int(MASK)).astype(np.int32)
-                c = counts[cut[i] : cut[i + 1]]
-                value = (1.0 + (c > 1) / 2 if task.damped else c * (SCALE / tokens[i])).astype(np.float32)
-                yield idx, value, labels[a + i]
+            doc = np.repeat(np.arange(b - a), np.diff(np.append(cut, len(keys))))
+            idx = (keys & int(MASK)).astype(np.int32)
+            value = (1.0 + (counts > 1) / 2 if task.damped else counts * (SCALE / tokens[doc])).astype(np.float32)
+            cut = np.append(cut, len(keys))
+            for i in range(b - a):  # views of the run's arrays, which are freed whole
+                yield idx[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], labels[a + i]
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], task: Task, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -138,8 +139,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], task: Task, epochs
         seen[idx] = True
     features = np.flatnonzero(seen).astype(np.int32)
     del seen
-    for i, (idx, value, y) in enumerate(examples):
-        examples[i] = np.searchsorted(features, idx).astype(np.int32), value, y
+    for idx, _, _ in examples:
+        idx[:] = np.searchsorted(features, idx)
     z, n = np.zeros(len(features), np.float32), np.zeros(len(features), np.float32)
     zb = nb = 0.0
 
