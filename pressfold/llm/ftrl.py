@@ -121,13 +121,17 @@ def _examples(batches: Iterator[pa.RecordBatch], task: Task) -> Iterator[tuple[n
             parts = list(grams(data, bounds, task))
             feats = np.concatenate([p[0] for p in parts]).astype(np.int64)
             docs = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            keys, counts = np.unique(docs << BITS | feats, return_counts=True)
-            cut = np.searchsorted(keys >> BITS, np.arange(b - a))
             tokens = np.maximum(parts[0][2], 1)
-            doc = np.repeat(np.arange(b - a), np.diff(np.append(cut, len(keys))))
+            del parts
+            feats |= docs << BITS
+            del docs
+            keys, counts = np.unique(feats, return_counts=True)
+            del feats
+            cut = np.searchsorted(keys >> BITS, np.arange(b - a))
             idx = (keys & int(MASK)).astype(np.int32)
-            value = (1.0 + (counts > 1) / 2 if task.damped else counts * (SCALE / tokens[doc])).astype(np.float32)
+            value = (1.0 + (counts > 1) / 2 if task.damped else counts * (SCALE / tokens[keys >> BITS])).astype(np.float32)
             cut = np.append(cut, len(keys))
+            del keys, counts
             for i in range(b - a):  # views of the run's arrays, which are freed whole
                 yield idx[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], labels[a + i]
 
