@@ -24,10 +24,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     That cuts the lineage, survives lost executors and, unlike ``checkpoint()``,
     keeps file sizes that the optimizer can go by when it picks joins.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, with the folder, which :func:`remove` frees."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Free a folder that ``written`` made and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

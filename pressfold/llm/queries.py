@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, topk
+from pressfold.llm import clusters, decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": neardup.op1_neardup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.op8_topk,
     "op9_quality": ftrl.op9_quality,
     "op10_language": language.op10_language,
+    "op12_clusters": clusters.op12_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
+    "op12_clusters": clusters.ORACLE_SQL,
 }
