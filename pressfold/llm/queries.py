@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import clusters, decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, topk
+from pressfold.llm import clusters, decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, spelling, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": neardup.op1_neardup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": ftrl.op9_quality,
     "op10_language": language.op10_language,
     "op12_clusters": clusters.op12_clusters,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_sharding": sharding.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
     "op12_clusters": clusters.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
