@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressfold.llm import clusters, decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, spelling, topk
+from pressfold.llm import clusters, curves, decontaminate, exactdup, ftrl, html, language, mixing, neardup, sharding, spelling, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": neardup.op1_neardup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.op8_topk,
     "op9_quality": ftrl.op9_quality,
     "op10_language": language.op10_language,
+    "op11_neighbours": curves.op11_neighbours,
     "op12_clusters": clusters.op12_clusters,
     "op13_spelling": spelling.op13_spelling,
 }
