@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pressfold.functions.similarity import char_counts, close_ratio, may_exceed
 from pressfold.functions.text import contains_any, without_tags
 from pressfold.session import durable
 
@@ -83,23 +80,17 @@ def suppress_domains(rows: DataFrame, bad: Column, order: list[Column]) -> DataF
     return rows.join(first, "domain", "left").withColumn("cleared", wrong | F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters of two texts; null for null."""
-    ratio = lambda x, y: None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10, least: float = 0.85, chars: int = 2000, short: int = 100) -> DataFrame:
     """(id, other, ratio): rows (id, outlet, content) and those of the outlet's ``last`` highest other ids that they resemble.
 
     With ``stored`` the rows are incoming ones and meet the stored rows. A row meets ``last`` + 1 newest rows at most, so a
-    large outlet costs no more a row than a small one. Lengths bound the ratio from above, so most pairs need no
-    comparison.
+    large outlet costs no more a row than a small one. Lengths and counts of characters bound the ratio from above before a text
+    is sent to Python, and the longest common subsequence does before it is matched (see :mod:`pressfold.functions.similarity`).
     """
 
     def cut(df: DataFrame) -> DataFrame:
-        return df.filter("content <> ''").select("id", "outlet", F.left(without_tags(F.col("content")), F.lit(chars)).alias("text"))
+        texts = df.filter("content <> ''").select("id", "outlet", F.left(without_tags(F.col("content")), F.lit(chars)).alias("text"))
+        return texts.withColumn("counts", char_counts(F.col("text")))
 
     text, pool = cut(rows), cut(rows if stored is None else stored)
     newest = pool.withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id")))).filter(F.col("n") <= last + 1)
@@ -108,8 +99,8 @@ def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10,
     own = newest.select(F.col("id").alias("own_id"), F.col("n").alias("own_n"))
     pairs = pairs.join(own, F.col("x.id") == F.col("own_id"), "left").filter((F.col("y.n") <= last) | F.col("own_n").isNotNull())
     a, b = F.length("x.text"), F.length("y.text")
-    close = pairs.filter((b >= short) & (F.least(a, b) * 2 > (a + b) * least))
-    return close.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), sequence_ratio(F.col("x.text"), F.col("y.text")).alias("ratio")).filter(F.col("ratio") > least)
+    close = pairs.filter((b >= short) & (F.least(a, b) * 2 > (a + b) * least) & may_exceed(F.col("x.counts"), F.col("y.counts"), least))
+    return close.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), close_ratio(F.col("x.text"), F.col("y.text"), least).alias("ratio")).filter("ratio IS NOT NULL")
 
 
 def near_copies(rows: DataFrame, stored: DataFrame | None = None, needed: int = 2, **rules: float) -> DataFrame:
@@ -135,7 +126,7 @@ def audit(rows: DataFrame, last: int = 10, least: float = 0.85, needed: int = 2)
         """(id, other, close) of pairs (id, x, other, y)."""
         a, b = F.length("x"), F.length("y")
         able = (F.least(a, b) >= 100) & (F.least(a, b) * 2 > (a + b) * least)
-        return durable(pairs.select("id", "other", (F.when(able, sequence_ratio(F.when(able, F.col("x")), F.when(able, F.col("y")))).otherwise(0.0) > least).alias("close")))
+        return durable(pairs.select("id", "other", close_ratio(F.when(able, F.col("x")), F.when(able, F.col("y")), least).isNotNull().alias("close")))
 
     old = base.join(newest.select("id"), "id", "left_anti")
     seen = newest.select(F.col("outlet").alias("of"), F.col("id").alias("other"), F.col("text").alias("y"))

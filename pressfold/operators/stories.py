@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressfold.functions.text import bias_bucket, strip, strip_html
+from pressfold.operators.similar import nearest
 from pressfold.session import durable
 
 AGGREGATORS = ("Yahoo News", "Google News", "MSN", "AOL", "Startups")  # fixed names
@@ -88,48 +87,6 @@ def greedy_dedup(rows: DataFrame, surplus: int = 500) -> DataFrame:
     return rows.select("id").join(gone.distinct(), "id", "left_anti")
 
 
-def _packed(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """Vectors (id, embedding) dealt into blocks of about ``block``: x, ids, m."""
-    n = max(1, -(-vectors.count() // block))
-    v = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("x"))
-
-    def pack(group: pa.Table) -> pa.Table:
-        m = np.array(group.column("v").to_pylist(), np.float64)
-        return pa.table({"x": group.column("x")[:1], "ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
-
-    return durable(v.filter("id IS NOT NULL AND v IS NOT NULL").groupBy("x").applyInArrow(pack, "x long, ids binary, m binary")), n
-
-
-def nearest(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = 4096) -> DataFrame:
-    """(id, other, cosine): each query's most similar candidates (all of equals) with a cosine of at least ``least`` and above 0.
-
-    With ``earlier`` only candidates of a smaller id count. Vectors (id, embedding) are dealt into blocks; each
-    pair of blocks is multiplied in a task of its own and gives maxima only.
-    """
-    left, n_left = _packed(queries, block)
-    right, n_right = (left, n_left) if candidates is queries else _packed(candidates, block)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    left = left.withColumn("y", each(n_right))
-    right = right.select(F.col("x").alias("y"), F.col("ids").alias("ids_y"), F.col("m").alias("m_y")).withColumn("x", each(n_left))
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids_y"], np.int64)
-                p, q = np.frombuffer(r["m"]).reshape(len(a), -1), np.frombuffer(r["m_y"]).reshape(len(b), -1)
-                p, q = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (p, q))
-                s = p @ q.T
-                if earlier:
-                    s = np.where(b[None, :] < a[:, None], s, -1.0)
-                top = s.max(axis=1, initial=-1.0)
-                i, j = np.nonzero((s == top[:, None]) & (s >= least) & (s > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(s[i, j])], ["id", "other", "cosine"])
-
-    found = durable(left.join(right, ["x", "y"]).mapInArrow(one, "id long, other long, cosine double"))
-    top = found.groupBy("id").agg(F.max("cosine").alias("top"))
-    return found.join(top, "id").filter("cosine = top").drop("top")
-
-
 def assign_stories(
     vectors: DataFrame, accept: float = 0.92, ask: float = 0.8, judge: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None
 ) -> DataFrame:
@@ -179,6 +136,39 @@ def merge_singles(articles: DataFrame, accept: float = 0.92) -> DataFrame:
     return singles.select("id", "story_id").join(into, "id").select("story_id", "into")
 
 
+def merge_growing(articles: DataFrame, accept: float = 0.92, ask: float = 0.8, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(story_id, into): as ``merge_singles``, but in the order of story_id, and an article that has moved attracts later ones.
+
+    The story with the most similar member decides (ties: the smallest); from ``ask`` up to ``accept`` the ``judge`` does, who gets (id, other, cosine, into), ids being
+    the articles', and returns the rows to merge. Where a single article goes rests on earlier ones only, so repeating the rule until nothing changes gives the result of
+    the ordered scan; rounds follow the longest chain of articles that follow each other. Of equal vectors that moved the first attracts.
+    """
+    least = accept if judge is None else min(ask, accept)
+    sized = articles.filter("embedding IS NOT NULL").join(articles.groupBy("story_id").agg(F.count(F.lit(1)).alias("_n")), "story_id")
+    singles, others = durable(sized.filter("_n = 1").select("story_id", "id", "embedding")), durable(sized.filter("_n > 1").select("story_id", "id", "embedding"))
+    queries = singles.select(F.col("story_id").alias("id"), "embedding")
+    first = nearest(queries, others.select("id", "embedding"), least).join(others.select(F.col("id").alias("other"), F.col("story_id").alias("into")), "other")
+    static = durable(first.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", "other")).alias("best")))
+    now = durable(singles.select("story_id").limit(0).withColumns({"into": F.lit(None).cast("long"), "other": F.lit(None).cast("long")}))
+    while True:
+        heads = now.join(singles, "story_id").groupBy("embedding").agg(F.min_by(F.struct("story_id", "into", "id"), "story_id").alias("h"))
+        heads = durable(heads.select("embedding", "h.story_id", "h.into", F.col("h.id").alias("article")))
+        best = static
+        if heads.take(1):
+            grown = nearest(queries, heads.select(F.col("story_id").alias("id"), "embedding"), least, earlier=True).join(heads.select(F.col("story_id").alias("other"), "into", "article"), "other")
+            best = best.unionByName(grown.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", F.col("article").alias("other"))).alias("best")))
+        best = best.groupBy("id").agg(F.min("best").alias("best")).select(F.col("id").alias("story_id"), (-F.col("best.less")).alias("cosine"), "best.into", "best.other")
+        step = best.filter(F.col("cosine") >= accept).select("story_id", "into", "other")
+        if judge is not None:
+            asked = best.filter(F.col("cosine") < accept).join(singles.select("story_id", "id"), "story_id")
+            step = step.unionByName(asked.join(judge(asked.select("id", "other", "cosine", "into")).select("id"), "id", "left_semi").select("story_id", "into", "other"))
+        step = durable(step)
+        changed = step.join(now, ["story_id", "into"], "left_anti").take(1) or now.join(step, ["story_id", "into"], "left_anti").take(1)
+        now = step
+        if not changed:
+            return now.select("story_id", "into")
+
+
 def apply_merges(rows: DataFrame, merges: DataFrame) -> DataFrame:
     """``rows`` (story_id, ...), such as articles or a bridge of topics, with merged stories renamed; equal rows stay once."""
     to = rows.join(merges, "story_id", "left").withColumn("story_id", F.coalesce("into", "story_id")).drop("into")
