@@ -42,6 +42,8 @@ TARGET = 0.96
 BLOCK = 4096
 CHUNK = 1024
 SLICE = 256
+#: Queries whose lists a task holds before it gives them.
+HELD = 1 << 16
 
 PACKED = "kind string, part int, low long, high long, uids binary, dims int, data binary, ids array<array<long>>"
 FOUND = "query long, uid long, score double, ids array<long>"
@@ -264,23 +266,42 @@ def _packing(curve: Curve, dims: int, wide: int) -> Callable[[Iterator[pa.Record
     return pack
 
 
+def _best(who: np.ndarray, score: np.ndarray, first: np.ndarray, uid: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each ``who``."""
+    order = np.lexsort((uid, first, score, who))
+    sizes = np.bincount(who)
+    return order[np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k]
+
+
 def _ranking(k: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ranks each chunk of queries in each of its blocks; the blocks that meet in one task give one list for each query."""
+
+    def merged(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        for key, (who, uid, score, _, ids) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[who]), pa.array(uid), pa.array(score), ids], ["query", "uid", "score", "ids"])
+        held.clear()
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
         for batch in batches:
             for j in range(batch.num_rows):
                 raw = lambda c, j=j, batch=batch: batch.column(c)[j].as_buffer()
-                dims = batch.column("dims")[j].as_py()
-                q_uids, uids = np.frombuffer(raw("q_uids"), np.int64), np.frombuffer(raw("uids"), np.int64)
+                dims, key = batch.column("dims")[j].as_py(), raw("q_uids").to_pybytes()
+                uids = np.frombuffer(raw("uids"), np.int64)
                 q, x = np.frombuffer(raw("q_data"), kind).reshape(-1, dims), np.frombuffer(raw("data"), kind).reshape(-1, dims)
                 ids = batch.column("ids")[j].values
                 first = ids.values.to_numpy().take(ids.offsets.to_numpy()[:-1])
-                who, what, score = [], [], []
-                for i, (rows, d) in enumerate(nearest(q, x, first, k + 1)):
-                    who.append(np.full(len(rows), q_uids[i]))
-                    what.append(rows)
-                    score.append(d)
-                rows = np.concatenate(what)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(uids[rows]), pa.array(np.concatenate(score)), ids.take(pa.array(rows))], ["query", "uid", "score", "ids"])
+                lists = list(nearest(q, x, first, k + 1))
+                rows = np.concatenate([r for r, _ in lists])
+                found = [np.repeat(np.arange(len(lists)), [len(r) for r, _ in lists]), uids[rows], np.concatenate([d for _, d in lists]), first[rows], ids.take(pa.array(rows))]
+                if key in held:
+                    both = [np.concatenate(c) for c in zip(held[key][:4], found[:4], strict=True)]
+                    keep = _best(both[0], both[2], both[3], both[1], k + 1)
+                    found = [*(c[keep] for c in both), pa.concat_arrays([held[key][4], found[4]]).take(pa.array(keep))]
+                held[key] = found
+                if len(held) * CHUNK > HELD:
+                    yield from merged(held)
+        yield from merged(held)
 
     return rank
 
