@@ -10,8 +10,8 @@ A word lies in at most log2(words) light subtrees, so that is the number of such
 where a moved string is a word (an equality join) or where two light subtrees of a node give the same string (a group of at most as
 many words as the alphabet has letters). Each pair comes up once, at the node where its words part.
 
-Everything is DataFrame code: node sizes are aggregated in the map tasks first, and the joins with nodes near the root, which
-all words share, can be split.
+Everything is DataFrame code: node sizes are aggregated in the map tasks first, and the few nodes near the root, which all
+words share, are broadcast to the words.
 
 Edge cases: null and empty texts have no words; a null doc_id counts as an empty one; repeated rows count each; a run
 of any length is one word; words with no near word stand for themselves; empty tables give no rows; extra columns are ignored.
@@ -30,6 +30,8 @@ TIMES = 2
 STEP = 31
 FACTOR = 10
 END = "$"
+#: Depth up to which nodes are broadcast: 90 letters give 8,191 nodes at most.
+SHALLOW = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +60,11 @@ def light_edges(words: DataFrame) -> DataFrame:
     edges = edges.select("word", "n", F.left("word", F.col("d")).alias("node"), F.substring(F.concat("word", F.lit(END)), F.col("d") + 1, F.lit(1)).alias("letter"))
     children = edges.groupBy("node", "letter").agg(F.count(F.lit(1)).alias("size"))
     heavy = children.groupBy("node").agg(F.max_by("letter", F.struct("size", F.col("letter") != END, "letter")).alias("heavy"), F.count(F.lit(1)).alias("kids")).filter("kids > 1").drop("kids")
-    return edges.join(heavy, "node").filter("letter <> heavy")
+    heavy = materialize(heavy, "heavy")
+    near_root = lambda rows: F.char_length(rows["node"]) <= SHALLOW
+    # all words share the nodes near the root; there are at most as many of these as short strings of letters, so they are sent to the words
+    top = edges.filter(near_root(edges)).join(F.broadcast(heavy.filter(near_root(heavy))), "node")
+    return top.unionByName(edges.filter(~near_root(edges)).join(heavy.filter(~near_root(heavy)), "node")).filter("letter <> heavy")
 
 
 def one_edit_pairs(words: DataFrame) -> DataFrame:
