@@ -124,6 +124,38 @@ def assign_stories(
     return out
 
 
+def assign_asked(vectors: DataFrame, judge: Callable[[DataFrame], DataFrame], accept: float = 0.92, ask: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+    """(id, story): as ``assign_stories``, but where the judge is asked whether a vector belongs to a story, the story is known.
+
+    The judge gets (id, other, cosine, story), one row for each vector whose nearest earlier one is in the band, and returns the rows to
+    join. A round settles the vectors whose nearest ones are settled; rounds follow the depth of the forest, and each vector is asked about once.
+    """
+    long = F.exists("embedding", lambda x: x != 0)
+    rows = vectors.select("id", F.when(long, F.col("embedding")).alias("embedding"))
+    first = rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("first"))
+    whole = durable(rows.join(first, "embedding", "left").select("id", F.coalesce("first", "id").alias("first"), "embedding"))
+    heads = whole.filter("id = first").select("id", "embedding")
+    pairs = nearest(heads, heads, min(ask, accept), earlier=True)
+    settled = heads.select("id", F.col("id").alias("story"))
+    if known is not None:
+        pairs = pairs.join(known.select("id"), "id", "left_anti")
+        settled = settled.join(known.select("id", F.col("story").alias("old")), "id", "left").select("id", F.coalesce("old", "story").alias("story"))
+    pairs = durable(pairs.join(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("ties")), "id"))
+    settled = durable(settled.join(pairs.select("id"), "id", "left_anti"))
+    while pairs.take(1):
+        ready = pairs.join(settled.select(F.col("id").alias("other"), "story"), "other").groupBy("id", "ties", "cosine").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("story", "other")).alias("to"))
+        ready = durable(ready.filter("n = ties").select("id", "to.other", "cosine", "to.story"))
+        band = ready.filter(F.col("cosine") < accept)
+        joined = ready.filter(F.col("cosine") >= accept).select("id", "story").unionByName(band.join(judge(band).select("id"), "id", "left_semi").select("id", "story"))
+        new = ready.select("id").join(joined, "id", "left").select("id", F.coalesce("story", "id").alias("story"))
+        settled = durable(settled.unionByName(new))
+        pairs = durable(pairs.join(ready.select("id"), "id", "left_anti"))
+    out = whole.select("id", "first").join(settled.select(F.col("id").alias("first"), "story"), "first", "left").select("id", F.coalesce("story", "id").alias("story"))
+    if known is not None:
+        out = out.join(known.select("id", F.col("story").alias("old")), "id", "left").select("id", F.coalesce("old", "story").alias("story"))
+    return out
+
+
 def merge_singles(articles: DataFrame, accept: float = 0.92) -> DataFrame:
     """(story_id, into): stories of one article and the story of several articles (story_id, id, embedding) that each joins.
 

@@ -123,19 +123,26 @@ def put_state(state: DataFrame, new: DataFrame) -> DataFrame:
 TRIES = {"browser": ("browser", "archive"), "crawler": ("crawler", "plain"), "default": ("plain", "browser", "archive")}
 
 
-def scrape(pages: DataFrame, blocked: DataFrame) -> DataFrame:
-    """``pages`` (url, plain, browser, archive, crawler: what each way of fetching found, or null) with content and reason.
+def fetched(pages: DataFrame) -> DataFrame:
+    """``pages`` (url, plain, browser, archive, crawler: what each way of fetching found, or null) with found and reason.
 
-    Blocked and skipped pages have no content. Others take the first way of their route that found something; a bad scrape gives no content
-    and its ``reason``, for which the domain is to be blocked (see ``add_blocked``).
+    Skipped pages have nothing. Others take the first way of their route that found something; ``reason`` says why it is a bad scrape.
     """
-    host = blocked.select(F.col("domain").alias("_host")).distinct().withColumn("_blocked", F.lit(True))
     way = route(F.col("url"))
     first = [F.when(way == r, F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ways])) for r, ways in TRIES.items()]
+    return pages.withColumn("found", F.coalesce(*first)).withColumn("reason", bad_scrape(F.col("found")))
+
+
+def scrape(pages: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``pages`` (see ``fetched``) with content and reason.
+
+    Blocked and skipped pages have no content. A bad scrape gives no content and its ``reason``, for which the domain is to be blocked (see ``add_blocked``).
+    """
+    host = blocked.select(F.col("domain").alias("_host")).distinct().withColumn("_blocked", F.lit(True))
     rows = pages.withColumn("_host", domain(F.col("url"))).join(host, "_host", "left")
-    found = rows.withColumn("_found", F.when(F.col("_blocked").isNull(), F.coalesce(*first)))
-    found = found.withColumn("reason", bad_scrape(F.col("_found")))
-    return found.withColumn("content", F.when(F.col("reason").isNull(), F.col("_found"))).select(*pages.columns, "content", "reason")
+    ways = [F.when(F.col("_blocked").isNull(), F.col(c)).alias(c) for c in ("plain", "browser", "archive", "crawler")]
+    got = fetched(rows.select("url", *ways, F.struct(*pages.columns).alias("_page")))
+    return got.select("_page.*", F.when(F.col("reason").isNull(), F.col("found")).alias("content"), "reason")
 
 
 def story_details(stories: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pressfold.functions import html, models
 from pressfold.functions import text as tx
-from pressfold.operators import quality, stories, upkeep
+from pressfold.operators import ingest, quality, stories, upkeep
 from pressfold.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -630,3 +630,52 @@ def summary_sections(spark: SparkSession, d: str) -> DataFrame:
     made = F.when(part == 0, F.concat(F.lit("Intro What's happening: "), text, F.lit(" What's next: end"))).when(part == 1, F.concat(F.lit("What's happening: "), text)).otherwise(text)
     kind = F.when(part == 0, "politics").when(part == 1, "gaming")
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.whats_happening(made).alias("section"), tx.persona(kind).alias("persona"))
+
+
+@query()
+def document_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents that resemble at least two of their outlet's latest, by the texts themselves."""
+    return quality.near_copies(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("text").alias("content")))
+
+
+_SETTLED = """o AS (SELECT o_orderkey AS id, o_custkey % 97 AS outlet, (o_custkey % 97) || '-' || o_orderkey % 11 || '.org' AS domain, o_orderkey % 3 AS has, o_orderpriority AS kind, (o_custkey % 41 = 0)::INT AS bad, o_orderkey % 2 AS given FROM orders),
+i AS (SELECT *, row_number() OVER (PARTITION BY outlet ORDER BY id) AS k, CASE kind WHEN '1-URGENT' THEN 'u' WHEN '2-HIGH' THEN 'h' ELSE '#' || id END AS text FROM o)"""
+
+
+@query(f"""WITH RECURSIVE {_SETTLED},
+s AS (SELECT outlet, 0::BIGINT AS k, []::VARCHAR[] AS latest, []::VARCHAR[] AS hosts, NULL::BIGINT AS id, NULL::BOOLEAN AS taken, NULL::VARCHAR AS reason FROM i GROUP BY outlet
+  UNION ALL
+  SELECT outlet, k, CASE WHEN taken THEN list_append(latest, text)[-10:] WHEN given = 1 THEN list_append(latest, '#given')[-10:] ELSE latest END, CASE WHEN reason IS NOT NULL THEN list_append(hosts, domain) ELSE hosts END, id, taken, reason
+  FROM (SELECT *, able AND NOT flagged AS taken, CASE WHEN flagged AND bad = 1 THEN 'sign' WHEN flagged THEN 'near copies: ' || copies END AS reason
+    FROM (SELECT *, able AND (bad = 1 OR copies >= 2) AS flagged
+      FROM (SELECT i.*, s.latest, s.hosts, i.has > 0 AND NOT list_contains(s.hosts, i.domain) AS able, len(list_filter(s.latest, lambda x: x = i.text)) AS copies FROM s JOIN i ON i.outlet = s.outlet AND i.k = s.k + 1))))
+SELECT id, taken, reason FROM s WHERE k > 0""")
+def settled_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a batch of scraped articles: urgent and high ones get the outlet's wall of that kind, others a text of their own; every domain belongs to one outlet."""
+    o = _t(spark, d, "orders")
+    outlet, key = F.col("o_custkey") % 97, F.col("o_orderkey").cast("string")
+    wall = lambda kind: F.repeat(F.md5(F.concat(F.lit(kind), outlet.cast("string")).cast("binary")), F.lit(6))
+    own = F.concat(*[F.md5(F.concat(key, F.lit(str(i))).cast("binary")) for i in range(6)])
+    text = F.when(F.col("o_orderpriority") == "1-URGENT", wall("u")).when(F.col("o_orderpriority") == "2-HIGH", wall("h")).otherwise(own)
+    batch = o.select(
+        F.col("o_orderkey").alias("id"), outlet.alias("outlet"), F.concat(outlet.cast("string"), F.lit("-"), (F.col("o_orderkey") % 11).cast("string"), F.lit(".org")).alias("domain"),
+        F.when(F.col("o_orderkey") % 3 > 0, text).alias("found"), F.when(F.col("o_custkey") % 41 == 0, "sign").alias("bad"), F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("given "), key)).alias("given"),
+    )
+    none = batch.limit(0).select("id", "outlet", F.lit("").alias("content"))
+    return ingest.settle(batch, none, batch.limit(0).select("domain")).select("id", "taken", "reason")
+
+
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 3 <> 1 THEN vec_id ELSE label + 1000000000 END AS story_id FROM embeddings),
+z AS (SELECT *, count(*) OVER (PARTITION BY story_id) AS n FROM e),
+p AS (SELECT s.story_id, m.story_id AS to_story, m.n, round(list_cosine_similarity(s.e, m.e), 12) AS c FROM z s JOIN z m ON s.n = 1 AND (m.n > 1 OR m.story_id < s.story_id)),
+f AS (SELECT story_id, max(c) FILTER (n > 1) AS c, list({'c': c, 'other': to_story}) FILTER (n = 1 AND c >= 0.35) AS singles FROM p GROUP BY 1),
+g AS (SELECT f.story_id, f.singles, f.c, (SELECT min(to_story) FROM p WHERE p.story_id = f.story_id AND p.n > 1 AND p.c = f.c) AS into_story, row_number() OVER (ORDER BY story_id) AS k FROM f),
+m AS (SELECT 0::BIGINT AS k, MAP {}::MAP(BIGINT, BIGINT) AS moved
+  UNION ALL
+  SELECT g.k, CASE WHEN b.best IS NULL THEN m.moved ELSE map_concat(m.moved, MAP {g.story_id: b.best.into_story}) END
+  FROM m JOIN g ON g.k = m.k + 1, LATERAL (SELECT list_sort(list_filter(list_append(list_transform(coalesce(g.singles, []), lambda x: {'less': -x.c, 'into_story': m.moved[x.other]}), {'less': -g.c, 'into_story': g.into_story}), lambda x: x.into_story IS NOT NULL AND x.less <= -0.35))[1] AS best) AS b)
+SELECT unnest(map_keys(moved)) AS story_id, unnest(map_values(moved)) AS "into" FROM (SELECT moved FROM m ORDER BY k DESC LIMIT 1)""")
+def growing_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Stories of one article join others one after the other, and attract later ones once they have moved: two of three vectors are alone."""
+    e = _t(spark, d, "embeddings").select(F.when(F.col("vec_id") % 3 != 1, F.col("vec_id")).otherwise(F.col("label").cast("long") + 1000000000).alias("story_id"), F.col("vec_id").alias("id"), "embedding")
+    return stories.merge_growing(e, 0.35)

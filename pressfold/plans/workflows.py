@@ -7,26 +7,30 @@ find it later.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressfold.functions import html, models
 from pressfold.functions import text as tx
 from pressfold.functions.models import Provider
-from pressfold.operators import quality, stories, upkeep
+from pressfold.operators import ingest, quality, stories, upkeep
+from pressfold.operators.rows import numbered
 from pressfold.session import durable
 from pressfold.sources import payloads
 
 Store = dict[str, DataFrame]
 
 
-def store_articles(batch: DataFrame, store: Store, as_of: Column, scraped: DataFrame | None = None, embed: Provider | None = None, ask: Provider | None = None, accept: float = 0.92, days: int = 7) -> Store:
+def store_articles(batch: DataFrame, store: Store, as_of: Column, scraped: DataFrame | None = None, embed: Provider | None = None, ask: Provider | None = None, accept: float = 0.92, band: float = 0.8, days: int = 7) -> Store:
     """Store a batch of articles (id, title, content, url, source_name, published_at, image_url).
 
     ids ascend with arrival and are above all stored ones. ``scraped`` (url, plain, browser, archive, crawler) holds what
     was fetched. Rows without title or url, of blocked sources or titles, and repeated ones go. The others get an outlet (made and
-    rated if new), an embedding, a story of the last ``days`` days or a new one (named by its first article's id),
-    the topics that their story has so far, a content (scraped, unless it is bad or nearly that of the outlet's latest stored ones) and a headline for stories of several articles.
+    rated if new), an embedding, a story of the last ``days`` days or a new one (named by its first article's id; from ``band`` up to ``accept`` the model is asked),
+    the topics that their story has so far, a content and a headline for stories of several articles. The content is the scraped one, unless it is bad, nearly that of the outlet's latest
+    (stored or earlier in the batch), or of a domain that is blocked (before, or by an earlier row of the batch); see :mod:`pressfold.operators.ingest`.
     Returns outlets, articles, stories, story_topics, article_topics and scrape_blocklist.
     """
     rows = batch.filter(quality.accepted(F.col("title"), F.col("url"), tx.normalize_url(F.col("url"))))
@@ -40,32 +44,39 @@ def store_articles(batch: DataFrame, store: Store, as_of: Column, scraped: DataF
     outlets = durable(known.unionByName(fresh.select(known.columns)))
 
     rows = rows.withColumn("embedding", models.embedding(F.col("title"), F.col("content"), embed))
-    rows = durable(rows.join(outlets.select(F.col("name").alias("outlet"), F.col("id").alias("outlet_id"), "bias_score"), "outlet"))
+    rows = rows.join(outlets.select(F.col("name").alias("outlet"), F.col("id").alias("outlet_id"), "bias_score"), "outlet")
+    rows = durable(rows.withColumn("given", html.scraped_content(F.lit(None).cast("string"), F.col("content"))))
+
+    blocked = store["scrape_blocklist"]
+    if scraped is None:
+        rows, bad = rows.withColumn("final", F.col("given")), None
+    else:
+        got = upkeep.fetched(scraped.withColumn("url", tx.normalize_url(F.col("url")))).groupBy("url").agg(F.max("found").alias("found"), F.max("reason").alias("bad"))
+        pages = durable(rows.select("id", "url", F.col("outlet_id").alias("outlet"), tx.domain(F.col("url")).alias("domain"), "given").join(got, "url", "left"))
+        settled = durable(ingest.settle(pages, store["articles"].select("id", F.col("outlet_id").alias("outlet"), "content"), blocked))
+        rows = durable(rows.join(settled.select("id", F.col("content").alias("final")), "id"))
+        bad = settled.filter("reason IS NOT NULL").join(pages.select("id", "domain"), "id").select("domain", "reason", F.col("id").alias("ord"))
+
     recent = payloads.recent(store["stories"], "created_at", as_of, days).select(F.col("id").alias("story_id"))
     members = store["articles"].join(recent, "story_id", "left_semi").filter("embedding IS NOT NULL")
     vectors = members.select("id", "embedding").unionByName(rows.select("id", "embedding"))
-    found = stories.assign_stories(vectors, accept, known=members.select("id", F.col("story_id").alias("story")))
+    known = members.select("id", F.col("story_id").alias("story"))
+    if ask is None:
+        found = stories.assign_stories(vectors, accept, known=known)
+    else:
+        new_titles = rows.select("id", tx.clean_title(F.col("title")).alias("title"), F.col("final").alias("content"))
+        judge = _judge(rows.select("id", "title", "content"), store["stories"].select("id", "title").unionByName(new_titles.select("id", "title")), store["articles"].select("story_id", "id", "content").unionByName(new_titles.select(F.col("id").alias("story_id"), "id", "content")), ask)
+        found = stories.assign_asked(vectors, judge, accept, band, known)
     rows = durable(rows.join(found.select("id", F.col("story").alias("story_id")), "id"))
     made = rows.filter("id = story_id").join(store["stories"].select("id"), "id", "left_anti")
-    new_stories = made.select("id", "title", *[F.lit(None).cast("string").alias(c) for c in ("headline", "summary", "deep_report")], F.lit(None).cast("double").alias("headline_score"), as_of.alias("created_at"))
+    new_stories = made.select("id", tx.clean_title(F.col("title")).alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("headline", "summary", "deep_report")], F.lit(None).cast("double").alias("headline_score"), as_of.alias("created_at"))
 
-    labels = rows.select("id", F.explode(models.topics(F.col("title"), F.col("content"), ask)).alias("topic"))
-    labels = durable(labels)
+    labels = durable(rows.select("id", F.explode(models.topics(F.col("title"), F.col("content"), ask)).alias("topic")))
     article_topics = upkeep.topics_so_far(rows.select("story_id", "id"), labels, store["story_topics"]).select(F.col("id").alias("article_id"), "topic")
     story_topics = stories.merge_topics(store["story_topics"], rows.join(labels, "id").select("story_id", "topic"))
 
-    blocked = store["scrape_blocklist"]
-    if scraped is None:
-        rows, bad = rows.withColumn("scraped", F.lit(None).cast("string")), None
-    else:
-        got = upkeep.scrape(scraped.select(tx.normalize_url(F.col("url")).alias("url"), *[c for c in scraped.columns if c != "url"]), blocked)
-        rows = rows.join(got.groupBy("url").agg(F.max("content").alias("scraped"), F.max("reason").alias("reason")), "url", "left")
-        copies = quality.near_copies(rows.select("id", F.col("outlet_id").alias("outlet"), F.col("scraped").alias("content")), store["articles"].select("id", F.col("outlet_id").alias("outlet"), "content"))
-        rows = rows.join(copies, "id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("copies").isNotNull(), F.concat(F.lit("near copies: "), F.col("copies").cast("string")))))
-        rows = durable(rows.withColumn("scraped", F.when(F.col("reason").isNull(), F.col("scraped"))))
-        bad = rows.filter("reason IS NOT NULL").select(tx.domain(F.col("url")).alias("domain"), "reason", F.col("id").alias("ord"))
     new = rows.select(
-        "id", "title", html.scraped_content(F.col("scraped"), F.col("content")).alias("content"), F.col("outlet").alias("source"), "url", "outlet_id", "story_id", F.coalesce("published_at", as_of).alias("date"),
+        "id", "title", F.col("final").alias("content"), F.col("outlet").alias("source"), "url", "outlet_id", "story_id", F.coalesce("published_at", as_of).alias("date"),
         as_of.alias("fetched_at"), "bias_score", "image_url", "embedding", F.lit(None).cast("string").alias("summary"),
     )
     articles = durable(store["articles"].unionByName(new))
@@ -78,6 +89,18 @@ def store_articles(batch: DataFrame, store: Store, as_of: Column, scraped: DataF
     }
 
 
+def _judge(asking: DataFrame, titles: DataFrame, contents: DataFrame, ask: Provider) -> Callable[[DataFrame], DataFrame]:
+    """Asks whether the articles ``asking`` (id, title, content) belong to stories, by the stories' ``titles`` (id, title) and the first of their ``contents`` (story_id, id, content)."""
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        story = pairs.select("id", F.col("story" if "story" in pairs.columns else "into").alias("story_id"))
+        first = contents.join(story.select("story_id").distinct(), "story_id", "left_semi").groupBy("story_id").agg(F.min_by("content", "id").alias("story_content"))
+        rows = story.join(asking, "id").join(titles.select(F.col("id").alias("story_id"), F.col("title").alias("story_title")), "story_id", "left").join(first, "story_id", "left")
+        return rows.filter(models.same_story(F.col("title"), F.col("content"), F.col("story_title"), F.col("story_content"), ask)).select("id")
+
+    return judge
+
+
 def _headlines(all_stories: DataFrame, articles: DataFrame, ask: Provider | None) -> DataFrame:
     """Headlines for the stories of several ``articles``."""
     context = stories.title_context(articles.join(upkeep.several(articles).withColumnRenamed("id", "story_id"), "story_id", "left_semi"))
@@ -133,14 +156,16 @@ def audit(store: Store, as_of: Column) -> Store:
     return {"articles": upkeep.clear_content(store["articles"], cleared), "scrape_blocklist": _with_blocked(store["scrape_blocklist"], found, as_of)}
 
 
-def merge_singles(store: Store, accept: float = 0.92) -> Store:
-    """Stories of one article join similar ones of several."""
-    merges = durable(stories.merge_singles(store["articles"].filter("embedding IS NOT NULL").select("story_id", "id", "embedding"), accept))
-    return {
-        "articles": store["articles"].join(merges, "story_id", "left").withColumn("story_id", F.coalesce("into", "story_id")).select(store["articles"].columns),
-        "story_topics": stories.apply_merges(store["story_topics"], merges),
-        "stories": upkeep.without(store["stories"], merges.select(F.col("story_id").alias("id")), "id"),
-    }
+def merge_singles(store: Store, as_of: Column, ask: Provider | None = None, accept: float = 0.92, days: int = 7) -> Store:
+    """Stories of one article join similar ones of several, among those of the last ``days`` days; what has moved attracts others."""
+    recent = payloads.recent(store["stories"], "created_at", as_of, days).select(F.col("id").alias("story_id"))
+    articles = durable(store["articles"].join(recent, "story_id", "left_semi"))
+    judge = None if ask is None else _judge(articles.select("id", "title", "content"), store["stories"].select("id", "title"), articles.select("story_id", "id", "content"), ask)
+    merges = durable(stories.merge_growing(articles.select("story_id", "id", "embedding"), accept, judge=judge))
+    moved = store["articles"].join(merges, "story_id", "left").withColumn("story_id", F.coalesce("into", "story_id")).select(store["articles"].columns)
+    kept = upkeep.without(store["stories"], merges.select(F.col("story_id").alias("id")), "id")
+    grown = moved.join(merges.select(F.col("into").alias("story_id")).distinct(), "story_id", "left_semi")
+    return {"articles": moved, "story_topics": stories.apply_merges(store["story_topics"], merges), "stories": _headlines(kept, grown, ask)}
 
 
 def catch_up(store: Store, as_of: Column, embed: Provider | None = None, ask: Provider | None = None) -> Store:
@@ -149,7 +174,7 @@ def catch_up(store: Store, as_of: Column, embed: Provider | None = None, ask: Pr
     store |= audit(store, as_of)
     store |= embed_missing(store, embed)
     store["stories"] = _headlines(store["stories"], store["articles"].join(upkeep.missing_headlines(store["stories"], store["articles"]).select(F.col("id").alias("story_id")), "story_id", "left_semi"), ask)
-    store |= merge_singles(store)
+    store |= merge_singles(store, as_of, ask)
     store |= rate_outlets(store, ask)
     return store | summarize(store, ask)
 
@@ -159,8 +184,7 @@ def fetch(payload_rows: DataFrame, store: Store, as_of: Column, **providers) ->
     store = store | rate_outlets(store, providers.get("ask"))
     top = store["articles"].agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
     batch = payloads.articles(payload_rows, as_of)
-    base = batch.agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
-    batch = batch.withColumn("id", F.lit(top + 1) + (F.col("id") - base) * 1000 + F.col("pos")).drop("pos")  # sources give pages of 100 at most
+    batch = numbered(batch, ["id", "pos"], "_n").withColumn("id", F.lit(top + 1) + F.col("_n")).drop("_n", "pos")
     store = store | store_articles(batch, store, as_of, **providers)
     store = store | summarize(store, providers.get("ask"))
     return store | {"raw_article_payloads": payloads.retained(store["raw_article_payloads"].unionByName(payload_rows), as_of)}

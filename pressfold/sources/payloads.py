@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from pressfold.functions.text import blank_to_null, normalize_url
 from pressfold.operators.stories import dedup_keys, first_wins
 
-ARTICLES = "articles array<struct<title: string, content: string, description: string, url: string, source: struct<name: string>, publishedAt: string, urlToImage: string, image: string>>"
+ARTICLES = "articles array<struct<title: string, content: string, description: string, url: string, source: map<string, string>, publishedAt: string, urlToImage: string, image: string>>"
+
+
+def utc_time(stamp: Column) -> Column:
+    """The time in UTC of an ISO date or date and time, whatever the session's zone; without a zone of its own it is taken as UTC. Null for anything else."""
+    whole = F.when(stamp.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(stamp, F.lit("T00:00:00Z"))).when(stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
+    seconds = F.unix_micros(F.try_to_timestamp(whole)).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def articles(payloads: DataFrame, as_of: Column) -> DataFrame:
-    """One row for each article of ``payloads`` (id, source, payload); broken JSON and empty lists give none."""
+    """One row for each article of ``payloads`` (id, source, payload); broken JSON and empty lists give none.
+
+    The outlet is Unknown only where no name is given; an explicit null stays null.
+    """
     parsed = payloads.select("id", "source", F.posexplode(F.from_json("payload", ARTICLES)["articles"]).alias("pos", "a"))
     second = F.col("source") == "gnews"
     content = F.when(second, F.coalesce(F.nullif("a.content", F.lit("")), F.nullif("a.description", F.lit("")), F.lit(""))).otherwise(F.coalesce("a.content", F.lit("")))
     return parsed.select(
         "id", "pos", F.col("a.title").alias("title"), content.alias("content"), F.col("a.url").alias("url"),
-        F.coalesce("a.source.name", F.lit("Unknown")).alias("source_name"),
-        F.coalesce(F.try_to_timestamp("a.publishedAt").cast("timestamp_ntz"), as_of).alias("published_at"),
+        F.when(F.coalesce(F.map_contains_key("a.source", "name"), F.lit(False)), F.col("a.source")["name"]).otherwise("Unknown").alias("source_name"),
+        F.coalesce(utc_time(F.col("a.publishedAt")), as_of).alias("published_at"),
         F.when(second, F.col("a.image")).otherwise(F.col("a.urlToImage")).alias("image_url"),
     )
 
