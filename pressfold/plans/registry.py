@@ -7,6 +7,8 @@ text (source the outlet, the first line the title), conversations model response
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from pressfold.functions import html, models
 from pressfold.functions import text as tx
-from pressfold.operators import ingest, quality, stories, upkeep
+from pressfold.operators import feed, ingest, quality, stories, upkeep
+from pressfold.session import shared_dir
 from pressfold.sources import payloads
+from pressfold.sources.store import Append, DropDays, ReplaceDays, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -679,3 +683,34 @@ def growing_merges(spark: SparkSession, d: str) -> DataFrame:
     """Stories of one article join others one after the other, and attract later ones once they have moved: two of three vectors are alone."""
     e = _t(spark, d, "embeddings").select(F.when(F.col("vec_id") % 3 != 1, F.col("vec_id")).otherwise(F.col("label").cast("long") + 1000000000).alias("story_id"), F.col("vec_id").alias("id"), "embedding")
     return stories.merge_growing(e, 0.35)
+
+
+@query("""SELECT event_id AS id, event_type AS source, CASE WHEN ts::DATE = DATE '2024-01-20' THEN 'again' ELSE props END AS payload, ts AS fetched_at FROM events
+WHERE ts::DATE >= DATE '2024-01-15' AND (ts::DATE <> DATE '2024-01-20' OR event_id % 2 = 0)""")
+def stored_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Events through the versioned store: two appends, one day replaced, days past their time dropped."""
+    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.lit(None).cast("string").alias("topic_name"), F.col("props").alias("payload"), F.col("ts").alias("fetched_at"))
+    t = Tables(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    t.commit({"raw_article_payloads": e.filter("id % 3 = 0")})
+    t.commit({"raw_article_payloads": Append(e.filter("id % 3 <> 0"))})
+    day = t.table("raw_article_payloads").filter((F.to_date("fetched_at") == "2024-01-20") & (F.col("id") % 2 == 0))
+    t.commit({"raw_article_payloads": ReplaceDays(day.withColumn("payload", F.lit("again")), days=("2024-01-20",))})
+    t.commit({"raw_article_payloads": DropDays("2024-01-15")})
+    t.vacuum(keep=1)
+    return t.table("raw_article_payloads").drop("topic_name")
+
+
+@query("SELECT l_orderkey AS story_id, count(*) AS articles, max(l_shipdate) AS latest FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
+def maintained_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The feed kept up through three batches: the first lines of each order, the others, and the removal of what was returned."""
+    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("story_id"), F.col("l_shipdate").alias("date"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"))
+    first, rest, gone = a.filter("n <= 3"), a.filter("n > 3"), a.filter("flag = 'R'")
+    state = feed.feed_after(feed.feed_state(first), rest, gone.limit(0), a)
+    return feed.feed_after(state, rest.limit(0), gone, a.filter("flag <> 'R'"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS story_id, count(*) AS articles, max(l_shipdate) AS latest FROM lineitem GROUP BY 1 HAVING count(*) > 1)
+SELECT * FROM f WHERE latest < TIMESTAMP '1998-01-01' OR (latest = TIMESTAMP '1998-01-01' AND story_id > 50) ORDER BY latest DESC, story_id LIMIT 25""")
+def feed_next_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page that follows a given story, by key."""
+    return feed.next_page(feed.feed_state(_articles(spark, d)), (datetime.datetime(1998, 1, 1), 50), least=2)

@@ -7,6 +7,7 @@ find it later.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pressfold.operators import ingest, quality, stories, upkeep
 from pressfold.operators.rows import numbered
 from pressfold.session import durable
 from pressfold.sources import payloads
+from pressfold.sources.store import Append, Change, DropDays, ReplaceDays, Tables
 
 Store = dict[str, DataFrame]
 
@@ -190,6 +192,37 @@ def fetch(payload_rows: DataFrame, store: Store, as_of: Column, **providers) ->
     return store | {"raw_article_payloads": payloads.retained(store["raw_article_payloads"].unionByName(payload_rows), as_of)}
 
 
+def commit_fetch(tables: Tables, payload_rows: DataFrame, as_of: datetime.datetime, days: int = 7, keep: int = 30, **providers) -> int:
+    """``fetch`` over stored tables, committed as their next version.
+
+    New articles and topics are appended and only the days of recent stories are written anew, so a run writes what it changes; payloads past
+    their time go by whole days. Raises Conflict if another run has committed meanwhile: then the run is to be repeated on the new version.
+    """
+    base = tables.version()
+    store, now = tables.read(base), F.lit(as_of).cast("timestamp_ntz")
+    top = store["articles"].agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    known = store["article_topics"]
+    out = fetch(payload_rows, store, now, **providers)
+    rerated = out["articles"].filter(F.col("id") <= top).join(store["articles"].select("id", F.col("bias_score").alias("_old")), "id").filter(~F.col("bias_score").eqNullSafe(F.col("_old"))).take(1)
+    since = (as_of - datetime.timedelta(days=days)).date().isoformat()
+    recent = out["stories"].filter(F.date_format("created_at", "yyyy-MM-dd") >= since)
+    old_changed = out["stories"].filter(F.coalesce(F.date_format("created_at", "yyyy-MM-dd") < since, F.lit(True))).exceptAll(store["stories"].filter(F.coalesce(F.date_format("created_at", "yyyy-MM-dd") < since, F.lit(True)))).take(1)
+    changes: dict[str, Change] = {
+        "outlets": out["outlets"],
+        "articles": out["articles"] if rerated else Append(out["articles"].filter(F.col("id") > top)),
+        "stories": out["stories"] if old_changed else ReplaceDays(recent),
+        "story_topics": out["story_topics"],
+        "article_topics": Append(out["article_topics"].join(known, ["article_id", "topic"], "left_anti")),
+        "scrape_blocklist": out["scrape_blocklist"],
+        "raw_article_payloads": Append(payload_rows),
+    }
+    version = tables.commit(changes, base)
+    limit = (as_of - datetime.timedelta(days=keep)).date().isoformat()
+    if any(p["day"] and p["day"] < limit for p in tables.manifest(version)["raw_article_payloads"]):
+        version = tables.commit({"raw_article_payloads": DropDays(limit)}, version)
+    return version
+
+
 def regroup(store: Store, as_of: Column, embed: Provider | None = None, ask: Provider | None = None, accept: float = 0.92) -> Store:
     """All embeddings, stories, topics and headlines anew, in the order of ids."""
     a = upkeep.set_if_produced(store["articles"], store["articles"].select("id", models.embedding(F.col("title"), F.col("content"), embed).alias("embedding")), "id", "embedding")
