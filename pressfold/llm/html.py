@@ -8,10 +8,11 @@
 3. Every page is read again: the best container at its host's path is the article, or the page's own best
    where it has none there, with what surrounds it: the article or main that it is in, or else the outermost container
    with prose besides (at body: prose in no other container, or in one of the same path). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-   reader comments inside are left out; what remains is split at block elements.
+   reader comments inside are left out; what remains is split at block elements. A box that only its class or id casts doubt on stays if it holds
+prose, and so does a form that holds most of the page's.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; a null or
-malformed url counts as a host of its own name ''; markup that is cut off or never closed ends with the page;
+malformed url counts as a host of its own name ''; markup that is cut off or never closed ends with the page, and a ``<`` that no ``>`` follows is text; work grows with a page's length whatever it holds;
 repeated rows are extracted each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -31,7 +32,10 @@ from pressfold.llm.common import bounded_batches, table
 #: Paths (about 100 bytes each) that may be broadcast; beyond that pages and paths are shuffled by host.
 BROADCAST_HOSTS = 100_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|noscript|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+STOP = re.compile(r"[>\"']")
+#: Elements whose content is no markup, and where it ends.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "svg", "noscript", "textarea", "title")}
 ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -46,14 +50,23 @@ BARRIERS = CONTAINERS | {"table", "ul", "ol", "dl"}
 LONG_PATH = 1000
 
 #: Elements that never belong to an article's text.
-LEFT_OUT = frozenset("nav footer aside form button select option input iframe object menu dialog head script style noscript template svg canvas audio video label".split())
+LEFT_OUT = frozenset("nav footer aside button select option input iframe object menu dialog head script style noscript template svg canvas audio video label".split())
 
-#: Words in class and id that mark what does not belong to an article.
+#: Words in class and id that mark what does not belong to an article, whatever it holds.
 MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail aside footer header masthead topbar toolbar share sharing "
-    "social related recommended recommendations comment comments commentlist discussion disqus respond reply replies widget pagination pager login search hidden skip".split()
+    "adv advert adverts advertisement advertising sponsor sponsored promoted cookie cookies consent gdpr popup modal overlay newsletter subscribe signup paywall nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar aside masthead topbar toolbar sharing recommended recommendations comment comments commentlist disqus respond reply replies pagination pager".split()
 )
+#: Words that mark such a box only together with words of page layout, and only if its text is short or holds links.
+DOUBTED = frozenset("ad ads promo promotion banner notice notices alert subscription side rail footer header share social related discussion widget login search hidden skip".split())
+LAYOUT = frozenset(
+    "area article articles bar block bottom box button buttons col column container content entries entry extra follow footer form group header holder icon icons inner item items js left link links list main media module "
+    "more news outer page pages panel post posts primary read right row secondary section site small sticky stories story strip tags text title top topics unit us video videos wrap wrapper zone".split()
+)
+#: A doubted box stays if it has so many characters besides links, and links make up no more than this share of its text.
+PROSE = 200
+LINKED = 0.1
+
 #: Elements whose id counts for that; of others, such as headings and paragraphs, it is the target of a link.
 BOXES = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer header main nav ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -66,28 +79,78 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 
 
 class Element:
-    __slots__ = ("children", "links", "out", "own", "path", "tag")
+    __slots__ = ("children", "doubted", "links", "out", "own", "path", "tag")
 
-    def __init__(self, tag: str, path: str, out: bool):
-        self.tag, self.path, self.out = tag, path, out
+    def __init__(self, tag: str, path: str, out: bool, doubted: bool = False):
+        self.tag, self.path, self.out, self.doubted = tag, path, out, doubted
         self.own, self.links = 0, 0  # characters of text, and of those in links
         self.children: list = []  # pieces of text, elements
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of tags; comments, declarations and raw content have no tag.
+
+    Every character is looked at a bounded number of times: where no ``>``, quote or end of raw content is left that is known, and once a quote
+    has turned out to be never closed tags end at the first ``>``.
+    """
+    last, quotes = html.rfind(">"), {q: html.rfind(q) for q in "\"'"}
+    at, broken = 0, False
+    while 0 <= (start := html.find("<", at)) < last:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, False, "", ""
+            continue
+        name = NAME.match(html, start + 1)
+        if not name:
+            if html[start + 1] in "!?/":
+                at = html.find(">", start) + 1
+                yield start, at, False, "", ""
+            else:
+                at = start + 1
+            continue
+        end = name.end()
+        while not broken:
+            stop = STOP.search(html, end)
+            if stop is None or (stop[0] != ">" and stop.start() >= quotes[stop[0]]):
+                broken = True
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            else:
+                end = html.index(stop[0], stop.end()) + 1
+        if broken:
+            end = html.find(">", name.end())
+        at, tag = end + 1, name[2].lower()
+        if tag in RAW and not name[1]:
+            closed = RAW[tag].search(html, at)
+            at = closed.end() if closed else len(html)
+            yield start, at, False, "", ""
+        else:
+            yield start, at, bool(name[1]), tag, html[name.end() : end]
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _marked(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+def _marked(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether that is to be judged by what it holds."""
     if tag in LEFT_OUT or (tag == "header" and not inside):
-        return True
+        return True, False
+    if tag == "form":
+        return False, True
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    words = {w.lower() for name in ("class", "id") if name == "class" or tag in BOXES for w in PARTS.findall(attrs.get(name, ""))}
-    words -= STYLES if tag in HEADINGS else frozenset()
-    return bool(words & MARKED) and not (words & {"article", "entry", "story", "post"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "related", "footer", "share", "nav", "menu", "respond"})
+        return True, False
+    names = [{w.lower() for w in PARTS.findall(t)} for name in ("class", "id") if name == "class" or tag in BOXES for t in attrs.get(name, "").split()]
+    names = [n - STYLES for n in names] if tag in HEADINGS else names
+    words = set().union(*names)
+    if words & {"article", "entry", "story", "post"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "related", "footer", "share", "nav", "menu", "respond"}:
+        return False, False
+    doubted = any(n & DOUBTED and all(w in DOUBTED or w in LAYOUT or w.isdigit() for w in n) for n in names)
+    return bool(words & MARKED) or (doubted and tag not in BLOCKS), doubted
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -122,30 +185,32 @@ def parse(html: str) -> Element:
             if e is held[-1]:
                 held.pop()
             in_link -= e.tag == "a"
-            in_article -= e.tag == "article"
+            in_article -= e.tag in ("article", "main")
         del stack[n:]
         while fences[-1] >= n:
             fences.pop()
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    any_doubted = False
+    for start, end, closing, tag, raw in tokens(html):
+        if start > at:
+            text(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if closing:
             if opened.get(tag):
                 close(opened[tag][-1])
             continue
         for ended in ENDS.get(tag, ()):
             if opened.get(ended) and opened[ended][-1] >= fences[-1]:
                 close(opened[ended][-1])
-        attrs = _attributes(m[4])
+        attrs = _attributes(raw)
         top = stack[-1]
-        element = Element(tag, f"{_short(top.path)}>{_step(tag, attrs)}" if tag in BLOCKS else top.path, top.out or _marked(tag, attrs, in_article > 0))
+        out, judged = _marked(tag, attrs, in_article > 0)
+        element = Element(tag, f"{_short(top.path)}>{_step(tag, attrs)}" if tag in BLOCKS else top.path, top.out or out, judged and not out)
+        any_doubted |= element.doubted and not element.out
         top.children.append(element)
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID and not raw.endswith("/"):
             opened.setdefault(tag, []).append(len(stack))
             if tag in BARRIERS:
                 fences.append(len(stack))
@@ -153,12 +218,33 @@ def parse(html: str) -> Element:
                 held.append(element)
             stack.append(element)
             in_link += tag == "a"
-            in_article += tag == "article"
+            in_article += tag in ("article", "main")
     if at < len(html):
         text(html[at:])
+    if any_doubted:
+        _judge(root)
     return root
 
 
+def _judge(root: Element) -> None:
+    """Leave out the doubted boxes that hold no prose, and the forms that do not hold most of the page's."""
+    order = walk(root)
+    for forms in (False, True):
+        own, links = [e.own for e, _ in order], [e.links for e, _ in order]
+        for n in range(len(order) - 1, -1, -1):  # children before their parents
+            e, up = order[n]
+            if e.doubted and not forms and e.tag != "form" and (own[n] - links[n] < PROSE or links[n] > LINKED * own[n]):
+                e.out = True
+            if e.out:
+                own[n] = links[n] = 0
+            if up >= 0:
+                own[up] += own[n]
+                links[up] += links[n]
+        for n, (e, _) in enumerate(order):
+            if forms and e.tag == "form" and (own[n] - links[n] < PROSE or 2 * (own[n] - links[n]) < own[0] - links[0]):
+                e.out = True
+
+
 def walk(root: Element) -> list[tuple[Element, int]]:
     """(element, place of its parent) in page order, without what is left out."""
     order: list[tuple[Element, int]] = []

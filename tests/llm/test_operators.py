@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -492,3 +493,22 @@ def test_topk_of_huge_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).collect()}
     assert got == {(0, 1): (1, 2**63 - 1), (0, 2): (3, 2**63 - 1), (0, 3): (2, -(2**63))}
+
+
+@pytest.mark.parametrize("page", ["<script " * 100_000, "<a " * 100_000, "a<" * 100_000, '<a "' * 100_001 + ">", "<x y='>' " * 50_000 + "'>", "</script" * 100_000 + ">", "<!--" * 100_000])
+def test_html_of_broken_tags_is_linear(page):
+    began = time.perf_counter()
+    html.extract(page, None)
+    assert time.perf_counter() - began < 5
+
+
+def test_html_judges_marked_boxes_by_what_they_hold():
+    prose = "A sentence of the article that is long enough to count as prose here. " * 4
+    line = prose.strip()
+    read = lambda body: html.extract(f"<html><body>{body}</body></html>", None).split("\n")
+    assert read(f"<form id='aspnetForm'><div><p>{prose}</p></div><select><option>x</option></select><input name=q></form>") == [line]
+    assert read(f"<article><p>{prose}</p><form action=/s><p>Search the site</p></form></article>") == [line]
+    kept = f"<section id='discussion'><h2>Discussion</h2><p>{prose}</p></section><section id='related-work'><p>Short.</p></section><p class='login'>{prose}</p><div class='social-science'>One</div><div class='hidden-figures'>Two</div>"
+    gone = f"<div class='notice'>Our terms have changed</div><div class='related'><a href=/>Other story</a> today</div><div class='share-buttons'>Share</div><div class='comments'><p>{prose}</p></div>"
+    assert read(f"<article><p>{prose}</p>{kept}{gone}</article>") == [line, "Discussion", line, "Short.", line, "One", "Two"]
+    assert read(f"<header><h1>Site</h1></header><main><header><h1>Headline</h1></header><p>{prose}</p></main>") == ["Headline", line]
