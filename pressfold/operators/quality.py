@@ -93,7 +93,8 @@ def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10,
         return texts.withColumn("counts", char_counts(F.col("text")))
 
     text, pool = cut(rows), cut(rows if stored is None else stored)
-    newest = pool.withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id")))).filter(F.col("n") <= last + 1)
+    # written, so that the join below may send it whole or split a large outlet
+    newest = durable(pool.withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id")))).filter(F.col("n") <= last + 1))
     pairs = text.filter(F.length("text") >= short).alias("x").join(newest.alias("y"), "outlet").filter("x.id <> y.id")
     # the row itself takes one place among the newest, if it is one of them
     own = newest.select(F.col("id").alias("own_id"), F.col("n").alias("own_n"))

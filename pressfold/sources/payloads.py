@@ -11,11 +11,16 @@ from pressfold.operators.stories import dedup_keys, first_wins
 ARTICLES = "articles array<struct<title: string, content: string, description: string, url: string, source: map<string, string>, publishedAt: string, urlToImage: string, image: string>>"
 
 
+def utc_moment(instant: Column) -> Column:
+    """An instant as the time in UTC, without a zone; the session's zone plays no part."""
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def utc_time(stamp: Column) -> Column:
     """The time in UTC of an ISO date or date and time, whatever the session's zone; without a zone of its own it is taken as UTC. Null for anything else."""
     whole = F.when(stamp.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(stamp, F.lit("T00:00:00Z"))).when(stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
-    seconds = F.unix_micros(F.try_to_timestamp(whole)).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
-    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return utc_moment(F.try_to_timestamp(whole))
 
 
 def articles(payloads: DataFrame, as_of: Column) -> DataFrame:
