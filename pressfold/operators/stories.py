@@ -207,19 +207,37 @@ def apply_merges(rows: DataFrame, merges: DataFrame) -> DataFrame:
     return to.select(rows.columns).distinct()
 
 
-def keyword_candidates(articles: DataFrame, stories: DataFrame, most: int = 5, longer_than: int = 3) -> DataFrame:
+def keyword_candidates(articles: DataFrame, stories: DataFrame, most: int = 5, longer_than: int = 3, hot: int = 1000) -> DataFrame:
     """(id, story_id, overlap, position): the stories (story_id, title) that share most words with an article's title (id, title).
 
-    Words are lower-cased and longer than ``longer_than``; ties go to the smaller story_id.
+    Words are lower-cased and longer than ``longer_than``; ties go to the smaller story_id. Only words of up to ``hot`` stories are joined, so an article meets
+    at most ``hot`` stories a word; hot words are counted on the pairs so found. A story that shares nothing but hot words can only be among the first if it is
+    among the first by hot words alone. For that equal sets of hot words count once on both sides, with the ``most`` smallest stories of each. The result is exact.
     """
 
     def words(rows: DataFrame, key: str) -> DataFrame:
         split = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > longer_than))
-        return rows.select(key, F.explode(split).alias("word"))
-
-    shared = words(articles, "id").join(words(stories, "story_id"), "word").groupBy("id", "story_id").agg(F.count(F.lit(1)).alias("overlap"))
-    order = Window.partitionBy("id").orderBy(F.desc("overlap"), "story_id")
-    return shared.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)
+        return rows.select(key, F.explode(split).alias("word")).distinct()
+
+    def sets(rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(common, "word", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("word")).alias("set"))
+
+    def firsts(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
+        return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("position") <= most)
+
+    asked, offered = durable(words(articles, "id")), durable(words(stories, "story_id"))
+    common = durable(offered.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("word"))
+    pairs = asked.join(offered.join(common, "word", "left_anti"), "word").groupBy("id", "story_id").agg(F.count(F.lit(1)).alias("overlap"))
+    if common.take(1):
+        mine, theirs = durable(sets(asked, "id")), durable(sets(offered, "story_id"))
+        both = F.coalesce(F.size(F.array_intersect("set", "other")), F.lit(0))
+        pairs = pairs.join(mine, "id", "left").join(theirs.withColumnRenamed("set", "other"), "story_id", "left").select("id", "story_id", (F.col("overlap") + both).alias("overlap"))
+        few = firsts(theirs, "set", "story_id").groupBy(F.col("set").alias("other")).agg(F.collect_list("story_id").alias("stories"))
+        met = mine.select("set", F.explode("set").alias("word")).distinct().join(few.select("other", "stories", F.explode("other").alias("word")), "word")
+        met = met.groupBy("set", "other", "stories").agg(F.count(F.lit(1)).alias("overlap")).select("set", "overlap", F.explode("stories").alias("story_id"))
+        best = firsts(met, "set", F.desc("overlap"), "story_id")
+        pairs = pairs.unionByName(mine.join(best, "set").select("id", "story_id", "overlap")).groupBy("id", "story_id").agg(F.max("overlap").alias("overlap"))
+    return firsts(pairs, "id", F.desc("overlap"), "story_id").select("id", "story_id", "overlap", "position")
 
 
 def rank_stories(articles: DataFrame, as_of: Column, half_life_hours: float = 24.0, outlets_weight: float = 0.67, top: int = 20) -> DataFrame:

@@ -67,3 +67,19 @@ def test_growing_merges_equal_the_scan(spark, seed):
         judge = (lambda p: p.filter("(id + other) % 3 <> 0")) if judged else None
         got = stories.merge_growing(spark.createDataFrame(rows, "story_id long, id long, embedding array<float>"), accept, ask, judge)
         assert {r["story_id"]: r["into"] for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize("hot", [0, 2, 12, 1000])
+def test_keyword_candidates_equal_all_pairs(spark, hot):
+    rnd = random.Random(hot)
+    words = [f"word{k}" for k in range(60)]
+    title = lambda n: " ".join(rnd.choice(words[: rnd.choice([3, 12, 60])]) for _ in range(rnd.randrange(n)))
+    articles = [(i, title(9)) for i in range(80)] + [(90, None), (91, "a an the"), (92, "unknownword")]
+    items = [(i, title(7).upper()) for i in range(70)] + [(80, None)]
+    split = lambda t: {w for w in (t or "").lower().split() if len(w) > 3}
+    want = set()
+    for i, t in articles:
+        best = sorted((-n, k) for k, s in items if (n := len(split(t) & split(s))))[:5]
+        want |= {(i, k, -n, p + 1) for p, (n, k) in enumerate(best)}
+    got = stories.keyword_candidates(spark.createDataFrame(articles, "id long, title string"), spark.createDataFrame(items, "story_id long, title string"), hot=hot)
+    assert set(map(tuple, got.collect())) == want
