@@ -6,8 +6,8 @@ earlier rows of the batch have got by then), is thrown away and blocks its domai
 by the content that came with the article.
 
 A verdict rests on earlier rows only. So repeating the rule for all rows at once, until nothing changes, gives the verdicts of
-the ordered scan; rounds follow the longest chain of rows that decide on each other. Each pair of texts is compared once, in whichever
-round it first comes up.
+the ordered scan; rounds follow the longest chain of rows that decide on each other, and judge only what comes after a change. Each pair of
+texts is compared once, in whichever round it first comes up.
 """
 
 from __future__ import annotations
@@ -56,28 +56,36 @@ def settle(batch: DataFrame, stored: DataFrame, blocked: DataFrame, last: int =
         close = close_ratio(F.when(F.col("able"), F.col("x")), F.when(F.col("able"), F.col("y")), least).isNotNull()
         return durable(both.select("id", "other", "version", close.alias("close")))
 
-    now = durable(rows.withColumns({"flagged": F.col("able") & F.col("bad"), "taken": F.col("able") & ~F.col("bad"), "copies": F.lit(0)}))
+    now = durable(rows.withColumns({"flagged": F.col("able") & F.col("bad"), "taken": F.col("able") & ~F.col("bad"), "copies": F.lit(0), "todo": F.lit(True)}))
     seen = None
     while True:
         # which contents each row looks back on
-        state = now.withColumn("present", F.col("taken") | F.col("fallback"))
+        state = now.join(now.filter("todo").select("outlet").distinct(), "outlet", "left_semi").withColumn("present", F.col("taken") | F.col("fallback"))
         state = durable(marked_before(state, "outlet", "id", "present", "before"))
         new = state.filter("present").select("outlet", (F.col("before") + 1).alias("place"), F.col("id").alias("other"), F.when(F.col("taken"), "found").otherwise("given").alias("version"))
-        asks = state.filter("able AND NOT bad").select("id", "outlet", F.explode(F.sequence(F.col("before") - (last - 1), F.col("before"))).alias("place"))
+        asks = state.filter("todo AND able AND NOT bad").select("id", "outlet", F.explode(F.sequence(F.col("before") - (last - 1), F.col("before"))).alias("place"))
         views = durable(asks.join(old.unionByName(new), ["outlet", "place"]).select("id", "other", "version"))
         fresh = compared(views if seen is None else views.join(seen, ["id", "other", "version"], "left_anti"))
         seen = fresh if seen is None else durable(seen.unionByName(fresh))
         copies = views.join(seen.filter("close"), ["id", "other", "version"]).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("found_copies"))
         # an earlier flagged row of the domain keeps the page from being fetched
         first = now.filter("flagged AND domain <> ''").groupBy("domain").agg(F.min("id").alias("first"))
-        step = now.withColumnsRenamed({"flagged": "was_flagged", "taken": "was_taken"}).drop("copies").join(copies, "id", "left").join(first, "domain", "left")
+        step = now.withColumnsRenamed({"flagged": "was_flagged", "taken": "was_taken", "copies": "had"}).join(copies, "id", "left").join(first, "domain", "left")
         fetched = F.col("able") & ~F.coalesce(F.col("first") < F.col("id"), F.lit(False))
         wrong = F.col("bad") | (F.coalesce("found_copies", F.lit(0)) >= needed)
-        step = step.withColumns({"flagged": fetched & wrong, "taken": fetched & ~wrong, "copies": F.when(fetched & ~F.col("bad"), F.coalesce("found_copies", F.lit(0))).otherwise(0)})
-        step = durable(step)
-        now = step.drop("was_flagged", "was_taken", "found_copies", "first")
-        if not step.filter("flagged <> was_flagged OR taken <> was_taken").take(1):
+        count = F.when(fetched & ~F.col("bad"), F.coalesce("found_copies", F.lit(0))).otherwise(0)
+        again = lambda new, old: F.when(F.col("todo"), new).otherwise(F.col(old))
+        step = durable(step.withColumns({"flagged": again(fetched & wrong, "was_flagged"), "taken": again(fetched & ~wrong, "was_taken"), "copies": again(count, "had")}))
+        changed = step.filter("flagged <> was_flagged OR taken <> was_taken")
+        if not changed.take(1):
+            now = step
             break
+        # only what comes after a change, in its outlet or (where it blocks) in its domain, is judged again
+        outlets = changed.groupBy("outlet").agg(F.min("id").alias("after_outlet"))
+        hosts = changed.filter("flagged <> was_flagged AND domain <> ''").groupBy("domain").agg(F.min("id").alias("after_host"))
+        step = step.select("id", "outlet", "domain", "able", "bad", "fallback", "part", "flagged", "taken", "copies").join(outlets, "outlet", "left").join(hosts, "domain", "left")
+        todo = F.coalesce(F.col("id") > F.col("after_outlet"), F.lit(False)) | F.coalesce(F.col("id") > F.col("after_host"), F.lit(False))
+        now = durable(step.withColumn("todo", todo).drop("after_outlet", "after_host"))
     reason = F.when(F.col("flagged"), F.coalesce(F.col("why"), F.concat(F.lit("near copies: "), F.col("copies").cast("string"))))
     out = now.join(batch.select("id", "found", "given", F.col("bad").alias("why")), "id")
     return out.select("id", F.when(F.col("taken"), F.col("found")).otherwise(F.col("given")).alias("content"), "taken", reason.alias("reason"), F.when(F.col("bad"), 0).otherwise(F.col("copies")).cast("int").alias("copies"))
