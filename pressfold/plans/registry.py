@@ -11,6 +11,7 @@ import datetime
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -728,3 +729,24 @@ def feed_articles(spark: SparkSession, d: str) -> DataFrame:
     items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "\n")
     rss = p.groupBy("host").agg(items.alias("items")).select(F.lit(0).alias("id"), F.lit("rss").alias("source"), F.concat(F.lit("<rss><channel><title>"), F.col("host"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>")).alias("payload"))
     return feeds.feed_items(rss)[0].select("pos", "title", "content", "url", "source_name", "published_at")
+
+
+def _answers(prompts: pd.Series) -> pd.Series:
+    """A stand-in for a model that answers by the letters of the text in the prompt."""
+    texts = prompts.str.split("\nText: ", n=1).str[1]
+    rating = texts.map(lambda t: str(t.count("a") % 7))
+    labels = texts.map(lambda t: f"- {tx.TOPICS[len(t) % 6].upper()}\nand {tx.TOPICS[t.count('e') % 6]}")
+    return rating.where(prompts.str.startswith("Rate"), labels)
+
+
+_NAMES = ", ".join(f"'{t}'" for t in tx.TOPICS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, left(coalesce(text, ''), 200) AS s, left(coalesce(text, ''), 600) AS l FROM documents),
+n AS (SELECT doc_id, (length(l) - length(replace(l, 'a', ''))) % 7 AS a, [{_NAMES}][length(s) % 6 + 1] AS x, [{_NAMES}][(length(s) - length(replace(s, 'e', ''))) % 6 + 1] AS y FROM t)
+SELECT doc_id, CASE WHEN a BETWEEN 1 AND 5 THEN a END::INT AS bias,
+  CASE WHEN x = 'Other' AND y = 'Other' THEN ['Other'] WHEN x = 'Other' THEN [y] WHEN y = 'Other' OR x = y THEN [x] ELSE [x, y] END AS topics FROM n""")
+def answered_models(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings and topics of every document from a provider, through prompts and parsers."""
+    t = _t(spark, d, "documents")
+    return t.select("doc_id", models.article_bias(F.lit(""), F.col("text"), _answers).alias("bias"), models.topics(F.lit(""), F.col("text"), _answers).alias("topics"))
