@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ BROADCAST_HOSTS = 100_000
 
 NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
 STOP = re.compile(r"[>\"']")
+#: A tag in order, without < or > inside; it is read no farther than to the next of these.
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)([^>\"'<]*(?:\"[^\"<>]*\"[^>\"'<]*|'[^'<>]*'[^>\"'<]*)*+)>")
 #: Elements whose content is no markup, and where it ends.
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "svg", "noscript", "textarea", "title")}
 ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -96,38 +99,42 @@ def tokens(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
     last, quotes = html.rfind(">"), {q: html.rfind(q) for q in "\"'"}
     at, broken = 0, False
     while 0 <= (start := html.find("<", at)) < last:
-        if html.startswith("<!--", start):
+        name = TAG.match(html, start)
+        if name:
+            end = name.end(3)
+        elif html.startswith("<!--", start):
             end = html.find("-->", start + 4)
             at = len(html) if end < 0 else end + 3
             yield start, at, False, "", ""
             continue
-        name = NAME.match(html, start + 1)
-        if not name:
-            if html[start + 1] in "!?/":
-                at = html.find(">", start) + 1
-                yield start, at, False, "", ""
-            else:
-                at = start + 1
-            continue
-        end = name.end()
-        while not broken:
-            stop = STOP.search(html, end)
-            if stop is None or (stop[0] != ">" and stop.start() >= quotes[stop[0]]):
-                broken = True
-            elif stop[0] == ">":
-                end = stop.start()
-                break
-            else:
-                end = html.index(stop[0], stop.end()) + 1
-        if broken:
-            end = html.find(">", name.end())
+        else:
+            name = NAME.match(html, start + 1)
+            if not name:
+                if html[start + 1] in "!?/":
+                    at = html.find(">", start) + 1
+                    yield start, at, False, "", ""
+                else:
+                    at = start + 1
+                continue
+            end = name.end()
+            while not broken:
+                stop = STOP.search(html, end)
+                if stop is None or (stop[0] != ">" and stop.start() >= quotes[stop[0]]):
+                    broken = True
+                elif stop[0] == ">":
+                    end = stop.start()
+                    break
+                else:
+                    end = html.index(stop[0], stop.end()) + 1
+            if broken:
+                end = html.find(">", name.end())
         at, tag = end + 1, name[2].lower()
         if tag in RAW and not name[1]:
             closed = RAW[tag].search(html, at)
             at = closed.end() if closed else len(html)
             yield start, at, False, "", ""
         else:
-            yield start, at, bool(name[1]), tag, html[name.end() : end]
+            yield start, at, bool(name[1]), tag, html[name.end(2) : end]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -144,7 +151,13 @@ def _marked(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
         return False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True, False
-    names = [{w.lower() for w in PARTS.findall(t)} for name in ("class", "id") if name == "class" or tag in BOXES for t in attrs.get(name, "").split()]
+    return _named(tag, attrs.get("class", ""), attrs.get("id", "") if tag in BOXES else "")
+
+
+@lru_cache(maxsize=4096)
+def _named(tag: str, classes: str, ident: str) -> tuple[bool, bool]:
+    """What class and id say."""
+    names = [{w.lower() for w in PARTS.findall(t)} for t in [*classes.split(), *ident.split()]]
     names = [n - STYLES for n in names] if tag in HEADINGS else names
     words = set().union(*names)
     if words & {"article", "entry", "story", "post"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "related", "footer", "share", "nav", "menu", "respond"}:
@@ -153,8 +166,9 @@ def _marked(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
     return bool(words & MARKED) or (doubted and tag not in BLOCKS), doubted
 
 
-def _step(tag: str, attrs: dict[str, str]) -> str:
-    names = sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split())
+@lru_cache(maxsize=4096)
+def _step(tag: str, classes: str) -> str:
+    names = sorted(re.sub(r"\d+", "#", c) for c in classes.split())
     return ".".join([tag, *names])
 
 
@@ -207,7 +221,7 @@ def parse(html: str) -> Element:
         attrs = _attributes(raw)
         top = stack[-1]
         out, judged = _marked(tag, attrs, in_article > 0)
-        element = Element(tag, f"{_short(top.path)}>{_step(tag, attrs)}" if tag in BLOCKS else top.path, top.out or out, judged and not out)
+        element = Element(tag, f"{_short(top.path)}>{_step(tag, attrs.get("class", ""))}" if tag in BLOCKS else top.path, top.out or out, judged and not out)
         any_doubted |= element.doubted and not element.out
         top.children.append(element)
         if tag not in VOID and not raw.endswith("/"):
