@@ -68,14 +68,16 @@ def settle(batch: DataFrame, stored: DataFrame, blocked: DataFrame, last: int =
         fresh = compared(views if seen is None else views.join(seen, ["id", "other", "version"], "left_anti"))
         seen = fresh if seen is None else durable(seen.unionByName(fresh))
         copies = views.join(seen.filter("close"), ["id", "other", "version"]).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("found_copies"))
-        # an earlier flagged row of the domain keeps the page from being fetched
-        first = now.filter("flagged AND domain <> ''").groupBy("domain").agg(F.min("id").alias("first"))
-        step = now.withColumnsRenamed({"flagged": "was_flagged", "taken": "was_taken", "copies": "had"}).join(copies, "id", "left").join(first, "domain", "left")
+        wrong = F.col("able") & (F.col("bad") | (F.coalesce("found_copies", F.lit(0)) >= needed))
+        judged = now.withColumnsRenamed({"flagged": "was_flagged", "taken": "was_taken", "copies": "had"}).join(copies, "id", "left")
+        judged = durable(judged.withColumn("wrong", F.when(F.col("todo"), wrong).otherwise(F.col("was_flagged"))))
+        # the first wrong row of a domain is flagged for sure, and keeps later pages from being fetched
+        first = judged.filter("wrong AND domain <> ''").groupBy("domain").agg(F.min("id").alias("first"))
         fetched = F.col("able") & ~F.coalesce(F.col("first") < F.col("id"), F.lit(False))
-        wrong = F.col("bad") | (F.coalesce("found_copies", F.lit(0)) >= needed)
         count = F.when(fetched & ~F.col("bad"), F.coalesce("found_copies", F.lit(0))).otherwise(0)
         again = lambda new, old: F.when(F.col("todo"), new).otherwise(F.col(old))
-        step = durable(step.withColumns({"flagged": again(fetched & wrong, "was_flagged"), "taken": again(fetched & ~wrong, "was_taken"), "copies": again(count, "had")}))
+        step = judged.join(first, "domain", "left")
+        step = durable(step.withColumns({"flagged": again(fetched & F.col("wrong"), "was_flagged"), "taken": again(fetched & ~F.col("wrong"), "was_taken"), "copies": again(count, "had")}))
         changed = step.filter("flagged <> was_flagged OR taken <> was_taken")
         if not changed.take(1):
             now = step
