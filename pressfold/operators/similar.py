@@ -124,6 +124,20 @@ def _radii(placed: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def plain_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Vectors (id, embedding) in blocks of one cell, for ``nearest`` with few candidates or many rounds over the same queries."""
+    long = F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
+    rows = vectors.filter(F.col("id").isNotNull() & long).select("id", F.col("embedding").alias("v"), F.lit(0).alias("cell"), F.lit(0.0).cast("double").alias("angle"))
+    return _packed(rows, block)
+
+
+def _ordered_pairs(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
+    """All pairs of blocks, but those in which no candidate is earlier."""
+    y = b.select(F.col("part").alias("part_y"), F.col("seq").alias("seq_y"), "cell", F.col("low").alias("low_y"))
+    pairs = a.select("part", "seq", "cell", "high").join(y, "cell")
+    return (pairs.filter("low_y < high") if earlier else pairs).select("part", "seq", "part_y", "seq_y")
+
+
 def block_pairs(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = BLOCK, cells: int = CELLS, per_cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of blocks that can hold cosines of at least ``least``, blocks of queries, blocks of candidates)."""
     spark, same = queries.sparkSession, candidates is queries
@@ -160,13 +174,17 @@ def block_pairs(queries: DataFrame, candidates: DataFrame, least: float, earlier
     return pairs.select("part", "seq", "part_y", "seq_y"), a, b
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = BLOCK, blocks: DataFrame | None = None) -> DataFrame:
     """(id, other, cosine): each query's most similar candidates (all of equals) with a cosine of at least ``least`` and above 0.
 
     Cosines are rounded to 12 digits. With ``earlier`` only candidates of a smaller id count. Vectors (id, embedding) that are null or without length
-    are near to nothing; shorter ones count as filled up with zeros.
+    are near to nothing; shorter ones count as filled up with zeros. Candidates of one block or less meet ``blocks``, the queries' ``plain_blocks``, if these are given.
     """
-    pairs, a, b = block_pairs(queries, candidates, least, earlier, block)
+    if blocks is not None and len(candidates.select("id").head(block + 1)) <= block:
+        a, b = blocks, plain_blocks(candidates, block)
+        pairs = _ordered_pairs(a, b, earlier)
+    else:
+        pairs, a, b = block_pairs(queries, candidates, least, earlier, block)
     other = b.select(F.col("part").alias("part_y"), F.col("seq").alias("seq_y"), F.col("ids").alias("ids_y"), F.col("dims").alias("dims_y"), F.col("m").alias("m_y"))
     both = pairs.join(a.select("part", "seq", "ids", "dims", "m"), ["part", "seq"]).join(other, ["part_y", "seq_y"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressfold.functions.text import bias_bucket, strip, strip_html
-from pressfold.operators.similar import nearest
+from pressfold.operators.similar import nearest, plain_blocks
 from pressfold.session import durable
 
 AGGREGATORS = ("Yahoo News", "Google News", "MSN", "AOL", "Startups")  # fixed names
@@ -179,6 +179,7 @@ def merge_growing(articles: DataFrame, accept: float = 0.92, ask: float = 0.8, j
     sized = articles.filter("embedding IS NOT NULL").join(articles.groupBy("story_id").agg(F.count(F.lit(1)).alias("_n")), "story_id")
     singles, others = durable(sized.filter("_n = 1").select("story_id", "id", "embedding")), durable(sized.filter("_n > 1").select("story_id", "id", "embedding"))
     queries = singles.select(F.col("story_id").alias("id"), "embedding")
+    blocks = plain_blocks(queries)
     first = nearest(queries, others.select("id", "embedding"), least).join(others.select(F.col("id").alias("other"), F.col("story_id").alias("into")), "other")
     static = durable(first.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", "other")).alias("best")))
     now = durable(singles.select("story_id").limit(0).withColumns({"into": F.lit(None).cast("long"), "other": F.lit(None).cast("long")}))
@@ -187,7 +188,7 @@ def merge_growing(articles: DataFrame, accept: float = 0.92, ask: float = 0.8, j
         heads = durable(heads.select("embedding", "h.story_id", "h.into", F.col("h.id").alias("article")))
         best = static
         if heads.take(1):
-            grown = nearest(queries, heads.select(F.col("story_id").alias("id"), "embedding"), least, earlier=True).join(heads.select(F.col("story_id").alias("other"), "into", "article"), "other")
+            grown = nearest(queries, heads.select(F.col("story_id").alias("id"), "embedding"), least, earlier=True, blocks=blocks).join(heads.select(F.col("story_id").alias("other"), "into", "article"), "other")
             best = best.unionByName(grown.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", F.col("article").alias("other"))).alias("best")))
         best = best.groupBy("id").agg(F.min("best").alias("best")).select(F.col("id").alias("story_id"), (-F.col("best.less")).alias("cosine"), "best.into", "best.other")
         step = best.filter(F.col("cosine") >= accept).select("story_id", "into", "other")
