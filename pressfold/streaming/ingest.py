@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pressfold.functions.text import normalize_url
 from pressfold.sources.payloads import new_articles
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,13 +29,12 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, prepare: Callable[[Da
 
     def one(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(store)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        others = [f"{store}/{n}" for n in names if n.startswith("batch=") and n != f"batch={number}"]
+        stored = spark.read.schema(empty.schema).parquet(*others) if others else empty
         path = f"{store}/batch={number}"
-        try:
-            stored = spark.read.parquet(store).filter(f"batch <> {number}").drop("batch")
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = empty
         new_articles(prepare(batch), stored).write.mode("overwrite").parquet(path)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -76,7 +76,7 @@ def keep_up(stream: DataFrame, store: str, checkpoint: str, prepare: Callable[[D
     writes its own folder anew, so rows are never doubled.
     """
     spark: SparkSession = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # keyed state needs it
+    provider = spark.conf.get(PROVIDER)
     rows = prepare(stream)
     schema, empty = rows.schema, spark.createDataFrame([], rows.schema)
     at = spark._jvm.org.apache.hadoop.fs.Path(store)
@@ -99,7 +99,11 @@ def keep_up(stream: DataFrame, store: str, checkpoint: str, prepare: Callable[[D
         finally:
             batch.unpersist()
 
-    query = judged.writeStream.foreachBatch(one).outputMode("append").option("checkpointLocation", checkpoint).start()
+    spark.conf.set(PROVIDER, ROCKSDB)  # keyed state needs it
+    try:
+        query = judged.writeStream.foreachBatch(one).outputMode("append").option("checkpointLocation", checkpoint).start()
+    finally:
+        spark.conf.set(PROVIDER, provider)
     try:
         query.processAllAvailable()
     finally:
