@@ -42,6 +42,14 @@ def without_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, "<[^>]+>", " "))
 
 
+def without_tags_first(c: Column, n: int) -> Column:
+    """The first ``n`` characters of ``without_tags``. The text's beginning is read alone where that decides: it gives enough, and no tag is open at its end."""
+    head = F.left(c, F.lit(2 * n))
+    start = without_tags(head)
+    enough = (F.length(start) >= n) & ~F.contains(F.substring_index(head, ">", -1), F.lit("<"))
+    return F.left(F.when(enough, start).otherwise(without_tags(c)), F.lit(n))
+
+
 def strip_html(c: Column) -> Column:
     """Text without tags; six references are decoded, ``&amp;`` first, so ``&amp;lt;`` ends as ``<``."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")

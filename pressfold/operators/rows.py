@@ -29,10 +29,11 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_seq")).drop("_part", "_seq", "_start")
 
 
-def marked_before(ranges: DataFrame, by: str, order: str, mark: str, name: str) -> DataFrame:
+def marked_before(ranges: DataFrame, by: str, order: str, mark: str, name: str, small: bool = False) -> DataFrame:
     """``ranges`` (``placed`` by ``by`` and ``order``) with the number of earlier rows of the same ``by`` that have the boolean ``mark``.
 
     A running sum within each range and group, and the sums of the group's earlier ranges: no window holds more than one range of a group.
+    The sums are not sent whole unless ``ranges`` is known to be ``small``.
     """
     n = F.col(mark).cast("long")
     inside = F.sum(n).over(Window.partitionBy("part", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
@@ -40,5 +41,6 @@ def marked_before(ranges: DataFrame, by: str, order: str, mark: str, name: str)
     ahead = F.sum("_n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).select(F.col("part").alias("_part"), F.col(by).alias("_by"), "_ahead")
     rows = ranges.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-    rows = rows.join(sums, (F.col("part") == F.col("_part")) & F.col(by).eqNullSafe(F.col("_by")))
+    # ranges that were written compress well, and their size on disk would have large sums sent whole
+    rows = rows.join(sums if small else sums.hint("merge"), (F.col("part") == F.col("_part")) & F.col(by).eqNullSafe(F.col("_by")))
     return rows.withColumn(name, F.col("_inside") + F.col("_ahead")).drop("_inside", "_ahead", "_part", "_by")
