@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pressfold.functions import html, models
 from pressfold.functions import text as tx
 from pressfold.operators import feed, ingest, quality, stories, upkeep
+from pressfold.operators.rows import marked_before, placed
 from pressfold.session import shared_dir
 from pressfold.sources import feeds, payloads
 from pressfold.sources.store import Append, DropDays, ReplaceDays, Tables
@@ -717,18 +718,22 @@ def feed_next_page(spark: SparkSession, d: str) -> DataFrame:
     return feed.next_page(feed.feed_state(_articles(spark, d)), (datetime.datetime(1998, 1, 1), 50), least=2)
 
 
+_FEED = 500  # items
+
+
 @query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages),
 n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS pos FROM p)
 SELECT pos::INT AS pos, 'Page & ' || page_id AS title, '<p>' || page_id || '</p>' AS content, url, host AS source_name, TIMESTAMP '2024-01-31 19:00:00' + to_minutes(page_id % 60) AS published_at FROM n WHERE page_id % 10 <> 3""")
 def feed_articles(spark: SparkSession, d: str) -> DataFrame:
-    """Articles out of one feed for each host of the pages; every tenth item is broken."""
-    p = _t(spark, d, "pages").withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
+    """Articles out of feeds for each host of the pages, up to ``_FEED`` items in a feed; every tenth item is broken."""
+    p = _t(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.lit(True).alias("one"))
+    p = marked_before(placed(p, ["host", "page_id"]), "host", "page_id", "one", "n").withColumn("id", F.floor(F.col("n") / _FEED).cast("long"))
     amp = F.when(F.col("page_id") % 10 == 3, "&").otherwise("&amp;")
     date = F.concat(F.lit("Wed, 31 Jan 2024 14:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(":00 EST"))
     item = F.concat(F.lit("<item><title>Page "), amp, F.lit(" "), F.col("page_id"), F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><description><![CDATA[<p>"), F.col("page_id"), F.lit("</p>]]></description><pubDate>"), date, F.lit("</pubDate></item>"))
     items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "\n")
-    rss = p.groupBy("host").agg(items.alias("items")).select(F.lit(0).alias("id"), F.lit("rss").alias("source"), F.concat(F.lit("<rss><channel><title>"), F.col("host"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>")).alias("payload"))
-    return feeds.feed_items(rss)[0].select("pos", "title", "content", "url", "source_name", "published_at")
+    rss = p.groupBy("host", "id").agg(items.alias("items")).select("id", F.lit("rss").alias("source"), F.concat(F.lit("<rss><channel><title>"), F.col("host"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>")).alias("payload"))
+    return feeds.feed_items(rss)[0].select((F.col("pos") + F.col("id") * _FEED).cast("int").alias("pos"), "title", "content", "url", "source_name", "published_at")
 
 
 def _answers(prompts: pd.Series) -> pd.Series:

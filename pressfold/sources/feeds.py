@@ -28,11 +28,13 @@ def feed_items(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The outlet is the feed's own title, else ``source``. Feeds that are null or hold no items give no rows.
     """
-    head = F.split("payload", r"<item\b|<entry\b", 2)[0]
-    cut = feeds.select("id", "source", F.regexp_extract(head, r"<title[^>]*>(?:<!\[CDATA\[)?([^<\]]*)", 1).alias("name"), F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<item\b.*?</item>|<entry\b.*?</entry>"), F.lit(0))).alias("pos", "item"))
+    # a feed's name is read before its items are cut out, once for the feed; each item is read once, and judged by what was read
+    named = feeds.select("id", "source", "payload", F.regexp_extract(F.split("payload", r"<item\b|<entry\b", 2)[0], r"<title[^>]*>(?:<!\[CDATA\[)?([^<\]]*)", 1).alias("name"))
+    cut = named.select("id", "source", "name", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<item\b.*?</item>|<entry\b.*?</entry>"), F.lit(0))).alias("pos", "item"))
     options = {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "attributePrefix": "_", "ignoreNamespace": "true"}
     rss = F.col("item").startswith("<item")
-    read = cut.withColumns({"i": F.when(rss, F.from_xml("item", ITEM, options)), "e": F.when(~rss, F.from_xml("item", ENTRY, options))})
+    one = F.struct(F.when(rss, F.from_xml("item", ITEM, options)).alias("i"), F.when(~rss, F.from_xml("item", ENTRY, options)).alias("e"))
+    read = cut.select("*", F.inline(F.array(one)))
     bad = F.coalesce(F.col("i._broken"), F.col("e._broken")).isNotNull() | (F.col("i").isNull() & F.col("e").isNull())
     link = F.coalesce(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")[0]["_href"], F.col("e.link")[0]["_href"])
     articles = read.filter(~bad).select(

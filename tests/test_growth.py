@@ -33,6 +33,14 @@ def test_a_batch_in_spans_equals_the_scan(spark):
     assert {r["id"]: (r["content"], r["taken"], r["reason"], r["copies"]) for r in got.collect()} == scan(batch, stored, set())
 
 
+def test_a_feed_is_not_carried_by_its_items(spark):
+    feed = "<rss><channel><title>N</title>" + "<item><title>t</title></item>" * 3 + "</channel></rss>"
+    rows, _ = feeds.feed_items(spark.createDataFrame([(1, "s", feed)], "id long, source string, payload string"))
+    kept = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\]", plan(rows))
+    assert kept and "payload" not in kept[0] and plan(rows).count("from_xml") <= 2
+    assert [r["source_name"] for r in rows.collect()] == ["N"] * 3
+
+
 def test_the_beginning_without_tags(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice(["<b>", "<", ">", " ", "\n", " ", "ab", "c"]) for _ in range(rnd.randrange(120))) for _ in range(400)] + [None, "", "a" * 30 + "<" + "b" * 50 + ">c", " " * 90 + "x"]
