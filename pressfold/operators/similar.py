@@ -6,7 +6,8 @@ and that angle. Within a cell vectors are packed into blocks in the order of ids
 blocks; where only earlier candidates count, half of the pairs go at once. If cells rule out less than half of their pairs, as for vectors
 without clusters, there is one cell only and ids alone decide.
 
-Only those candidates (``CELLS`` * ``PER_PIVOT``), radii and the pairs of cells (at most ``CELLS`` ** 2) reach the driver. Each pair of blocks is multiplied in a row of its own.
+Only those candidates (``CELLS`` * ``PER_PIVOT``), radii and the pairs of cells (at most ``CELLS`` ** 2) reach the driver. Each pair of blocks is multiplied in a row of its own,
+a strip of it at a time, so a task holds two blocks and ``CELLS_OF_PRODUCT`` cosines whatever the table's size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,14 @@ from pyspark.sql import functions as F
 
 from pressfold.session import durable
 
-BLOCK = 4096
+#: About so many blocks of a table, and the fewest and most vectors of one. What is sent is a multiple of the table by the number of its blocks.
+SPLIT = 16
+LEAST_BLOCK = 1024
+MOST_BLOCK = 65536
+#: Candidates that meet ready-made blocks of queries, at most.
+FEW = 4096
+#: Cosines that a task holds at once.
+CELLS_OF_PRODUCT = 1 << 22
 CELLS = 256
 #: Candidates of a cell, about, and vectors that each pivot is chosen from.
 CELL = 512
@@ -29,22 +37,33 @@ PER_PIVOT = 8
 DIGITS = 12
 SLACK = 1e-6  # radians, far above what rounding changes
 
-BLOCKS = "part int, seq int, cell int, low long, high long, near double, far double, ids binary, dims int, m binary"
+BLOCKS = "part int, seq int, cell int, low long, high long, near double, far double, ids binary, wide boolean, m binary"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """The vectors of a list column as unit rows; shorter ones are filled up with zeros, and nulls count 0."""
+def _raw(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows of its own kind of numbers; shorter ones are filled up with zeros, and nulls are no numbers."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = np.diff(column.offsets.to_numpy())
-    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-    x = np.zeros((len(size), int(size.max(initial=0))))
-    x[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = flat
+    flat = column.flatten()
+    kind = np.float32 if pa.types.is_float32(flat.type) else np.float64
+    x = np.zeros((len(size), int(size.max(initial=0))), kind)
+    x[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = flat.to_numpy(zero_copy_only=False).astype(kind)
+    return x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; what is no number counts 0."""
+    x = np.nan_to_num(x.astype(np.float64))
     scale = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
     x /= np.where(scale > 0, scale, 1)
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(length > 0, length, 1)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _unit(_raw(column))
+
+
 def _padded(x: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, max(0, dims - x.shape[1]))))
 
@@ -69,8 +88,8 @@ def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return durable(vectors.select("id", "v").filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(assign, f"id long, v {kind}, cell int, angle double"))
 
 
-def _packed(placed: DataFrame, block: int) -> DataFrame:
-    """Blocks of up to ``block`` vectors of one cell, consecutive in ids."""
+def _packed(placed: DataFrame, block: int, parts: int) -> DataFrame:
+    """Blocks of up to ``block`` vectors of one cell, consecutive in ids, out of ``parts`` ranges. They hold vectors as they came."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -78,10 +97,10 @@ def _packed(placed: DataFrame, block: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            ids, angle, m = t.column("id").to_numpy(), t.column("angle").to_numpy(), _matrix(t.column("v"))
-            row = [t.column("part")[0].as_py(), seq, t.column("cell")[0].as_py(), int(ids.min()), int(ids.max()), float(angle.min()), float(angle.max()), ids.astype(np.int64).tobytes(), m.shape[1], m.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "cell", "low", "high", "near", "far", "ids", "dims", "m"])
+            ids, angle, m = t.column("id").to_numpy(), t.column("angle").to_numpy(), _raw(t.column("v"))
+            row = [t.column("part")[0].as_py(), seq, t.column("cell")[0].as_py(), int(ids.min()), int(ids.max()), float(angle.min()), float(angle.max()), ids.astype(np.int64).tobytes(), m.dtype == np.float64, m.tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.bool_(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "cell", "low", "high", "near", "far", "ids", "wide", "m"])
 
         for batch in batches:
             cells = batch.column("cell").to_numpy()
@@ -97,7 +116,7 @@ def _packed(placed: DataFrame, block: int) -> DataFrame:
         if held:
             yield flush()
 
-    ordered = placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").withColumn("part", F.spark_partition_id())
+    ordered = placed.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id").withColumn("part", F.spark_partition_id())
     return durable(ordered.mapInArrow(pack, BLOCKS))
 
 
@@ -124,11 +143,17 @@ def _radii(placed: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def plain_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+def _sizes(count: int, block: int | None) -> tuple[int, int]:
+    """(vectors of a block at most, ranges) for ``count`` vectors; ranges are not quite even."""
+    block = block or min(MOST_BLOCK, max(LEAST_BLOCK, -(-count // SPLIT)))
+    return block + block // 4, max(1, -(-count // block))
+
+
+def plain_blocks(vectors: DataFrame, block: int | None = None) -> DataFrame:
     """Vectors (id, embedding) in blocks of one cell, for ``nearest`` with few candidates or many rounds over the same queries."""
     long = F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
     rows = vectors.filter(F.col("id").isNotNull() & long).select("id", F.col("embedding").alias("v"), F.lit(0).alias("cell"), F.lit(0.0).cast("double").alias("angle"))
-    return _packed(rows, block)
+    return _packed(rows, *_sizes(rows.count(), block))
 
 
 def _ordered_pairs(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
@@ -138,7 +163,7 @@ def _ordered_pairs(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
     return (pairs.filter("low_y < high") if earlier else pairs).select("part", "seq", "part_y", "seq_y")
 
 
-def block_pairs(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = BLOCK, cells: int = CELLS, per_cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+def block_pairs(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int | None = None, cells: int = CELLS, per_cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of blocks that can hold cosines of at least ``least``, blocks of queries, blocks of candidates)."""
     spark, same = queries.sparkSession, candidates is queries
     queries = queries.select("id", F.col("embedding").alias("v"))
@@ -159,8 +184,8 @@ def block_pairs(queries: DataFrame, candidates: DataFrame, least: float, earlier
         bounded = False
     else:
         bounded = True
-    a, b = _packed(left, block), None
-    b = a if same else _packed(right, block)
+    a, b = _packed(left, *_sizes(count if same else left.count(), block)), None
+    b = a if same else _packed(right, *_sizes(count, block))
     links = F.broadcast(spark.createDataFrame(near, "cell int, other int, apart double"))
     x = a.select("part", "seq", "cell", "low", "high", "near", "far").join(links, "cell")
     y = b.select(F.col("part").alias("part_y"), F.col("seq").alias("seq_y"), F.col("cell").alias("other"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("near").alias("near_y"), F.col("far").alias("far_y"))
@@ -174,34 +199,44 @@ def block_pairs(queries: DataFrame, candidates: DataFrame, least: float, earlier
     return pairs.select("part", "seq", "part_y", "seq_y"), a, b
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int = BLOCK, blocks: DataFrame | None = None) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, least: float, earlier: bool = False, block: int | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """(id, other, cosine): each query's most similar candidates (all of equals) with a cosine of at least ``least`` and above 0.
 
     Cosines are rounded to 12 digits. With ``earlier`` only candidates of a smaller id count. Vectors (id, embedding) that are null or without length
-    are near to nothing; shorter ones count as filled up with zeros. Candidates of one block or less meet ``blocks``, the queries' ``plain_blocks``, if these are given.
+    are near to nothing; shorter ones count as filled up with zeros. Up to ``FEW`` candidates meet ``blocks``, the queries' ``plain_blocks``, if these are given.
     """
-    if blocks is not None and len(candidates.select("id").head(block + 1)) <= block:
-        a, b = blocks, plain_blocks(candidates, block)
+    if blocks is not None and len(candidates.select("id").head(FEW + 1)) <= FEW:
+        a, b = blocks, plain_blocks(candidates, block or FEW)
         pairs = _ordered_pairs(a, b, earlier)
     else:
         pairs, a, b = block_pairs(queries, candidates, least, earlier, block)
-    other = b.select(F.col("part").alias("part_y"), F.col("seq").alias("seq_y"), F.col("ids").alias("ids_y"), F.col("dims").alias("dims_y"), F.col("m").alias("m_y"))
-    both = pairs.join(a.select("part", "seq", "ids", "dims", "m"), ["part", "seq"]).join(other, ["part_y", "seq_y"])
+    other = b.select(F.col("part").alias("part_y"), F.col("seq").alias("seq_y"), F.col("ids").alias("ids_y"), F.col("wide").alias("wide_y"), F.col("m").alias("m_y"))
+    both = pairs.join(a.select("part", "seq", "ids", "wide", "m"), ["part", "seq"]).join(other, ["part_y", "seq_y"])
+    both = both.repartition("part", "seq", "part_y", "seq_y")  # else all pairs of one block meet in a task
+
+    def vectors(batch: pa.RecordBatch, k: int, ids: str, wide: str, m: str) -> tuple[np.ndarray, np.ndarray]:
+        i = np.frombuffer(batch.column(ids)[k].as_buffer(), np.int64)
+        return i, _unit(np.frombuffer(batch.column(m)[k].as_buffer(), np.float64 if batch.column(wide)[k].as_py() else np.float32).reshape(len(i), -1))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                raw = lambda c, t, k=k, batch=batch: np.frombuffer(batch.column(c)[k].as_buffer(), t)
-                i_a, i_b = raw("ids", np.int64), raw("ids_y", np.int64)
-                p, q = raw("m", np.float64).reshape(len(i_a), -1), raw("m_y", np.float64).reshape(len(i_b), -1)
+                i_a, p = vectors(batch, k, "ids", "wide", "m")
+                i_b, q = vectors(batch, k, "ids_y", "wide_y", "m_y")
                 dims = max(p.shape[1], q.shape[1])
-                s = np.round(_padded(p, dims) @ _padded(q, dims).T, DIGITS)
-                if earlier:
-                    s = np.where(i_b[None, :] < i_a[:, None], s, -1.0)
-                top = s.max(axis=1, initial=-1.0)
-                i, j = np.nonzero((s == top[:, None]) & (s >= least) & (s > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(i_a[i]), pa.array(i_b[j]), pa.array(s[i, j])], ["id", "other", "cosine"])
-
-    found = durable(both.select("ids", "m", "ids_y", "m_y").mapInArrow(one, "id long, other long, cosine double"))
+                p, q = _padded(p, dims), _padded(q, dims).T
+                step = max(1, CELLS_OF_PRODUCT // max(1, len(i_b)))
+                for at in range(0, len(i_a), step):
+                    i_s, s = i_a[at : at + step], p[at : at + step] @ q
+                    if earlier and i_b.max() >= i_s.min():
+                        s[i_b[None, :] >= i_s[:, None]] = -1.0
+                    # rounding keeps the order, so only what is as near as the top can be equal to it
+                    top = s.max(axis=1, initial=-1.0)
+                    i, j = np.nonzero(s >= np.maximum(top, least)[:, None] - 10.0 ** (1 - DIGITS))
+                    found = np.round(s[i, j], DIGITS)
+                    kept = (found == np.round(top, DIGITS)[i]) & (found >= least) & (found > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(i_s[i[kept]]), pa.array(i_b[j[kept]]), pa.array(found[kept])], ["id", "other", "cosine"])
+
+    found = durable(both.select("ids", "wide", "m", "ids_y", "wide_y", "m_y").mapInArrow(one, "id long, other long, cosine double"))
     top = found.groupBy("id").agg(F.max("cosine").alias("top"))
     return found.join(top, "id").filter("cosine = top").drop("top")

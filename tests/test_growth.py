@@ -41,6 +41,15 @@ def test_a_feed_is_not_carried_by_its_items(spark):
     assert [r["source_name"] for r in rows.collect()] == ["N"] * 3
 
 
+def test_blocks_are_few_and_hold_vectors_as_they_came(spark):
+    x = np.random.default_rng(1).standard_normal((5000, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    blocks = similar.plain_blocks(frame)
+    assert blocks.count() <= 8 and blocks.agg(F.sum(F.length("m"))).head()[0] == x.nbytes
+    pairs, a, _ = similar.block_pairs(frame, frame, 0.9, True)
+    assert a.count() <= 8
+
+
 def test_the_beginning_without_tags(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice(["<b>", "<", ">", " ", "\n", " ", "ab", "c"]) for _ in range(rnd.randrange(120))) for _ in range(400)] + [None, "", "a" * 30 + "<" + "b" * 50 + ">c", " " * 90 + "x"]
