@@ -182,14 +182,26 @@ def merge_growing(articles: DataFrame, accept: float = 0.92, ask: float = 0.8, j
     blocks = plain_blocks(queries)
     first = nearest(queries, others.select("id", "embedding"), least).join(others.select(F.col("id").alias("other"), F.col("story_id").alias("into")), "other")
     static = durable(first.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", "other")).alias("best")))
+    # equal vectors by the first of them
+    alike = singles.join(singles.groupBy("embedding").agg(F.min("story_id").alias("group")), "embedding").select("story_id", "id", "group")
+    alike = durable(alike)
     now = durable(singles.select("story_id").limit(0).withColumns({"into": F.lit(None).cast("long"), "other": F.lit(None).cast("long")}))
+    met, grown = now.select("story_id"), None
     while True:
-        heads = now.join(singles, "story_id").groupBy("embedding").agg(F.min_by(F.struct("story_id", "into", "id"), "story_id").alias("h"))
-        heads = durable(heads.select("embedding", "h.story_id", "h.into", F.col("h.id").alias("article")))
+        heads = now.join(alike, "story_id").groupBy("group").agg(F.min_by(F.struct("story_id", "into", "id"), "story_id").alias("h"))
+        heads = durable(heads.select("h.story_id", "h.into", F.col("h.id").alias("article")))
+        if met.join(now, "story_id", "left_anti").take(1):  # one that does not move after all may hide others
+            met, grown = now.limit(0).select("story_id"), None
+        # each one that has moved meets the queries once; where it goes may change from round to round
+        new = durable(heads.join(met, "story_id", "left_anti").join(singles.select("story_id", "embedding"), "story_id").select(F.col("story_id").alias("id"), "embedding"))
+        if new.take(1):
+            pairs = durable(nearest(queries, new, least, earlier=True, blocks=blocks))
+            grown = pairs if grown is None else grown.unionByName(pairs)
+            met = met.unionByName(new.select(F.col("id").alias("story_id")))
         best = static
-        if heads.take(1):
-            grown = nearest(queries, heads.select(F.col("story_id").alias("id"), "embedding"), least, earlier=True, blocks=blocks).join(heads.select(F.col("story_id").alias("other"), "into", "article"), "other")
-            best = best.unionByName(grown.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", F.col("article").alias("other"))).alias("best")))
+        if grown is not None:
+            led = grown.join(heads.withColumnRenamed("story_id", "other"), "other")
+            best = best.unionByName(led.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "into", F.col("article").alias("other"))).alias("best")))
         best = best.groupBy("id").agg(F.min("best").alias("best")).select(F.col("id").alias("story_id"), (-F.col("best.less")).alias("cosine"), "best.into", "best.other")
         step = best.filter(F.col("cosine") >= accept).select("story_id", "into", "other")
         if judge is not None:

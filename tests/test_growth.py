@@ -50,6 +50,22 @@ def test_blocks_are_few_and_hold_vectors_as_they_came(spark):
     assert a.count() <= 8
 
 
+def test_a_merged_article_meets_the_queries_once(spark, monkeypatch):
+    turn = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    rows = [(1, 1, turn(0)), (1, 2, turn(0))] + [(10 + k, 10 + k, turn(0.1 * (k + 1))) for k in range(4)]
+    met = []
+
+    def counted(queries, candidates, *args, **rest):
+        if rest.get("earlier"):
+            met.extend(r["id"] for r in candidates.select("id").collect())
+        return similar.nearest(queries, candidates, *args, **rest)
+
+    monkeypatch.setattr(stories, "nearest", counted)
+    got = stories.merge_growing(spark.createDataFrame(rows, "story_id long, id long, embedding array<float>"), 0.99)
+    assert sorted(map(tuple, got.collect())) == [(10 + k, 1) for k in range(4)]
+    assert sorted(met) == [10, 11, 12, 13]
+
+
 def test_the_beginning_without_tags(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice(["<b>", "<", ">", " ", "\n", " ", "ab", "c"]) for _ in range(rnd.randrange(120))) for _ in range(400)] + [None, "", "a" * 30 + "<" + "b" * 50 + ">c", " " * 90 + "x"]
