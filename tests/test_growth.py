@@ -66,6 +66,13 @@ def test_a_merged_article_meets_the_queries_once(spark, monkeypatch):
     assert sorted(met) == [10, 11, 12, 13]
 
 
+def test_tags_are_stripped_once(spark):
+    rows = spark.createDataFrame([("<p>x</p> captcha",), ("fine",), ("",), (None,)], "content string")
+    judged = rows.select(quality.bad_scrape(F.col("content")).alias("reason"))
+    assert plan(judged).count("<[^>]+>") == 1
+    assert [r["reason"] for r in judged.collect()] == ["strong: captcha", None, None, None]
+
+
 def test_the_beginning_without_tags(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice(["<b>", "<", ">", " ", "\n", " ", "ab", "c"]) for _ in range(rnd.randrange(120))) for _ in range(400)] + [None, "", "a" * 30 + "<" + "b" * 50 + ">c", " " * 90 + "x"]
