@@ -156,12 +156,19 @@ def story_details(stories: DataFrame, articles: DataFrame, outlets: DataFrame) -
 
 def topics_so_far(articles: DataFrame, labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, topic): an article gets the topics that its story had when it came: those of ``known`` (story_id, topic) and of
-    ``labels`` (id, topic) of the story's articles (story_id, id) up to its own. Earlier articles gain no later topics."""
-    since = articles.join(labels, "id").groupBy("story_id", "topic").agg(F.min("id").alias("_since"))
-    out = articles.join(since, "story_id").filter(F.col("_since") <= F.col("id")).select("id", "topic")
+    ``labels`` (id, topic) of the story's articles (story_id, id) up to its own. Earlier articles gain no later topics.
+
+    Labels that carry the story_id of their article spare a join. A story's topics, with when they came, are one list; an article takes its part of it
+    before anything is told apart, so articles and not their topics are shuffled.
+    """
+    tagged = labels if "story_id" in labels.columns else articles.join(labels, "id")
+    since = tagged.groupBy("story_id", "topic").agg(F.min("id").alias("_since"))
+    rows = articles.join(since.groupBy("story_id").agg(F.collect_list(F.struct("_since", "topic")).alias("_own")), "story_id", "left")
+    came = F.coalesce(F.filter("_own", lambda x: x["_since"] <= F.col("id"))["topic"], F.array())
     if known is not None:
-        out = out.unionByName(articles.join(known, "story_id").select("id", "topic"))
-    return out.distinct()
+        rows = rows.join(known.groupBy("story_id").agg(F.collect_set(F.struct("topic")).alias("_known")), "story_id", "left")
+        came = F.concat(came, F.coalesce(F.col("_known")["topic"], F.array()))
+    return rows.select("id", F.array_distinct(came).alias("topics")).repartition("id").select("id", F.explode("topics").alias("topic")).distinct()
 
 
 def counted(rows: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:

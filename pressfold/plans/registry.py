@@ -611,8 +611,8 @@ def story_details(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT x.id, y.topic::VARCHAR AS topic FROM a x JOIN a y ON x.story_id = y.story_id AND y.id <= x.id UNION SELECT id, o_orderpriority FROM a JOIN orders ON story_id = o_orderkey""")
 def topics_so_far(spark: SparkSession, d: str) -> DataFrame:
     """The topics that each article's story had when it came."""
-    a = _articles(spark, d).select("story_id", "id", (F.col("outlet_id") % 4).cast("string").alias("topic")).distinct()
-    return upkeep.topics_so_far(a.select("story_id", "id").distinct(), a.select("id", "topic"), _stories(spark, d))
+    a = _articles(spark, d).select("story_id", "id", (F.col("outlet_id") % 4).cast("string").alias("topic"))
+    return upkeep.topics_so_far(a.select("story_id", "id"), a, _stories(spark, d))
 
 
 @query("""SELECT event_id AS id, 0 AS pos, event_type AS title, CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR ELSE 'd' || user_id END AS content, 'http://x.org/' || user_id AS url, 'Outlet' AS source_name, ts AS published_at, props AS image_url FROM events""")

@@ -78,3 +78,13 @@ def test_the_beginning_without_tags(spark):
     texts = ["".join(rnd.choice(["<b>", "<", ">", " ", "\n", " ", "ab", "c"]) for _ in range(rnd.randrange(120))) for _ in range(400)] + [None, "", "a" * 30 + "<" + "b" * 50 + ">c", " " * 90 + "x"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert rows.filter(~without_tags_first(F.col("t"), 20).eqNullSafe(F.left(without_tags(F.col("t")), F.lit(20)))).count() == 0
+
+
+def test_topics_are_not_told_apart_before_they_are_spread(spark):
+    a = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 12)], "story_id long, id long")
+    labels = spark.createDataFrame([(1, 11, "x"), (1, 10, "y"), (2, 12, None)], "story_id long, id long, topic string")
+    known = spark.createDataFrame([(1, "x"), (1, "k"), (3, "z")], "story_id long, topic string")
+    want = [(10, "k"), (10, "x"), (10, "y"), (11, "k"), (11, "x"), (11, "y"), (12, None)]
+    for of in (labels, labels.drop("story_id")):
+        assert sorted(map(tuple, upkeep.topics_so_far(a, of, known).collect()), key=str) == want
+    assert "Union" not in plan(upkeep.topics_so_far(a, labels, known))
