@@ -88,3 +88,9 @@ def test_topics_are_not_told_apart_before_they_are_spread(spark):
     for of in (labels, labels.drop("story_id")):
         assert sorted(map(tuple, upkeep.topics_so_far(a, of, known).collect()), key=str) == want
     assert "Union" not in plan(upkeep.topics_so_far(a, labels, known))
+
+
+def test_pages_are_read_one_by_one():
+    pages = pa.array(["<p>a</p>", None, "", "<script>b</script><p onclick=x>c</p>"] * 50)
+    got = html._each(pages, lambda h: (p := html.Page(h)).sanitized(0, len(p.events)))
+    assert got.type == pa.string() and got.to_pylist() == ["<p>a</p>", None, "", "b<p>c</p>"] * 50
