@@ -3,14 +3,20 @@
 The ratio is 2 * M / (characters of both), M being the characters in matching blocks. Blocks keep their order in both texts, so M is at most
 the longest common subsequence, and that is at most the characters that both have of each kind. The second bound is a JVM expression over counts
 that each text carries; the first is taken in the Arrow function, word-parallel over the bits of a whole number and given up as
-soon as too little of the text is left. Only pairs that pass both are matched.
+soon as too little of the text is left.
+
+In texts of 200 characters and more the matcher begins blocks only at characters that are rare in the second text; so they bound the number of blocks.
+A block of n characters holds n - 7 strings of eight characters that both texts have. So M is at most the places of one text whose eight characters
+the other has as well, and seven for each block. That is counted in one pass, by a table of hashes. Only pairs that pass all bounds are matched.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +25,9 @@ from pyspark.sql import types as T
 #: Characters that are counted one by one; all others count together, which only loosens the bound. Each costs a pass over the text.
 COUNTED = " eaiontsrh"
 
+#: Characters of the strings that two texts are bounded by, and bits of a hash that tell them apart at most.
+GRAM, BITS = 8, 22
+
 
 def char_counts(text: Column) -> Column:
     """How often ``text`` has each of COUNTED, and all others."""
@@ -33,12 +42,10 @@ def may_exceed(a: Column, b: Column, least: float) -> Column:
     return (total(lambda i: F.least(a[i], b[i])) * 2 > size * least) | (size == 0)  # two empty texts are equal
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=8)
 def _places(text: str) -> dict[str, int]:
-    places: dict[str, int] = {}
-    for i, c in enumerate(text):
-        places[c] = places.get(c, 0) | 1 << i
-    return places
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {c: int.from_bytes(np.packbits(chars == ord(c), bitorder="little").tobytes(), "little") for c in set(text)}
 
 
 def has_common(a: str, b: str, needed: int) -> bool:
@@ -52,14 +59,66 @@ def has_common(a: str, b: str, needed: int) -> bool:
     return len(a) - free.bit_count() >= needed
 
 
+def grams(text: str) -> np.ndarray:
+    """A hash of ``BITS`` bits for each GRAM characters of ``text``, in order."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(chars) - GRAM + 1)
+    found = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        found = (found + chars[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+    return (found >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def gram_table(text: str) -> np.ndarray:
+    """Which hashes ``text`` has; about 16 places for each of its characters, ``1 << BITS`` at most."""
+    bits = min(BITS, (16 * len(text)).bit_length())
+    table = np.zeros(1 << bits, bool)
+    table[grams(text) >> (BITS - bits)] = True
+    return table
+
+
+def in_table(found: np.ndarray, table: np.ndarray) -> int:
+    """How many of the hashes ``found`` are in ``table``: as many as the text of the table has at least."""
+    return int(np.count_nonzero(table[found >> (BITS + 1 - len(table).bit_length())]))
+
+
+def rare_chars(text: str) -> dict[str, int] | None:
+    """The characters at which the matcher begins a block if ``text`` is the second one, with their number; null if it begins at any."""
+    if len(text) < 200:
+        return None
+    counts = Counter(text)
+    return {c: n for c, n in counts.items() if n <= len(text) // 100 + 1}
+
+
+def most_blocks(a: str, rare: dict[str, int]) -> int:
+    """At most so many blocks match ``a`` with a text of these rare characters; one that both texts begin with needs none of them."""
+    return 1 + sum(min(n, a.count(c)) for c, n in rare.items())
+
+
+_rare_chars, _gram_table = lru_cache(maxsize=32)(rare_chars), lru_cache(maxsize=32)(gram_table)
+
+
+def needed_above(size: int, least: float) -> int:
+    """How many characters must match in texts of ``size`` characters together for a ratio above ``least``."""
+    needed = max(0, int(least * size / 2) - 1)
+    while not 2.0 * needed / size > least:
+        needed += 1
+    return needed
+
+
 def ratio_above(a: str, b: str, least: float) -> float | None:
     """The ratio of ``a`` and ``b`` if it is above ``least``."""
     if a == b:
         return 1.0 if least < 1 else None
-    size = len(a) + len(b)
-    needed = max(0, int(least * size / 2) - 1)
-    while not 2.0 * needed / size > least:
-        needed += 1
+    needed = needed_above(len(a) + len(b), least)
+    rare = _rare_chars(b)
+    if rare is not None and in_table(grams(a), _gram_table(b)) + (GRAM - 1) * most_blocks(a, rare) < needed:
+        return None
+    return matched_above(a, b, needed, least)
+
+
+def matched_above(a: str, b: str, needed: int, least: float) -> float | None:
+    """The ratio of ``a`` and ``b`` if it is above ``least``, which needs ``needed`` characters in blocks."""
     if not has_common(a, b, needed):
         return None
     found = difflib.SequenceMatcher(None, a, b).ratio()

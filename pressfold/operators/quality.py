@@ -84,27 +84,29 @@ def suppress_domains(rows: DataFrame, bad: Column, order: list[Column]) -> DataF
     return rows.join(first, "domain", "left").withColumn("cleared", wrong | F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
 
 
-def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10, least: float = 0.85, chars: int = 2000, short: int = 100) -> DataFrame:
+def copy_pairs(rows: DataFrame, stored: DataFrame | None = None, last: int = 10, least: float = 0.85, chars: int | None = 2000, short: int = 100) -> DataFrame:
     """(id, other, ratio): rows (id, outlet, content) and those of the outlet's ``last`` highest other ids that they resemble.
 
-    With ``stored`` the rows are incoming ones and meet the stored rows. A row meets ``last`` + 1 newest rows at most, so a
-    large outlet costs no more a row than a small one. Lengths and counts of characters bound the ratio from above before a text
-    is sent to Python, and the longest common subsequence does before it is matched (see :mod:`pressfold.functions.similarity`).
+    The first ``chars`` characters of texts are compared, or with none given whole texts. With ``stored`` the rows are incoming ones and
+    meet the stored rows. A row meets ``last`` + 1 newest rows at most, so a large outlet costs no more a row than a small one. Lengths bound
+    the ratio from above before a text is sent to Python; strings that both texts have and the longest common subsequence
+    do before it is matched (see :mod:`pressfold.functions.similarity`).
     """
 
     def cut(df: DataFrame) -> DataFrame:
-        texts = df.filter("content <> ''").select("id", "outlet", without_tags_first(F.col("content"), chars).alias("text"))
-        return texts.withColumn("counts", char_counts(F.col("text")))
+        return df.withColumn("text", without_tags(F.col("content")) if chars is None else without_tags_first(F.col("content"), chars)).drop("content")
 
-    text, pool = cut(rows), cut(rows if stored is None else stored)
+    full = lambda df: df.filter("content <> ''").select("id", "outlet", "content")
+    latest = full(rows if stored is None else stored).withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id"))))
     # written, so that the join below may send it whole or split a large outlet
-    newest = durable(pool.withColumn("n", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("id")))).filter(F.col("n") <= last + 1))
-    pairs = text.filter(F.length("text") >= short).alias("x").join(newest.alias("y"), "outlet").filter("x.id <> y.id")
+    newest = durable(cut(latest.filter(F.col("n") <= last + 1)))
+    pairs = cut(full(rows)).alias("x").join(newest.alias("y"), "outlet").filter("x.id <> y.id")
     # the row itself takes one place among the newest, if it is one of them
     own = newest.select(F.col("id").alias("own_id"), F.col("n").alias("own_n"))
     pairs = pairs.join(own, F.col("x.id") == F.col("own_id"), "left").filter((F.col("y.n") <= last) | F.col("own_n").isNotNull())
     a, b = F.length("x.text"), F.length("y.text")
-    close = pairs.filter((b >= short) & (F.least(a, b) * 2 > (a + b) * least) & may_exceed(F.col("x.counts"), F.col("y.counts"), least))
+    # both lengths in each condition: one that names a row's text alone would have its tags stripped twice
+    close = pairs.filter((F.least(a, b) >= short) & (F.least(a, b) * 2 > (a + b) * least))
     return close.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), close_ratio(F.col("x.text"), F.col("y.text"), least).alias("ratio")).filter("ratio IS NOT NULL")
 
 

@@ -641,7 +641,7 @@ def summary_sections(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def document_near_copies(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents that resemble at least two of their outlet's latest, by the texts themselves."""
-    return quality.near_copies(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("text").alias("content")))
+    return quality.near_copies(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("text").alias("content")), chars=None)
 
 
 _SETTLED = """o AS (SELECT o_orderkey AS id, o_custkey % 97 AS outlet, (o_custkey % 97) || '-' || o_orderkey % 11 || '.org' AS domain, o_orderkey % 3 AS has, o_orderpriority AS kind, (o_custkey % 41 = 0)::INT AS bad, o_orderkey % 2 AS given FROM orders),

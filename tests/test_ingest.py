@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pressfold.functions.similarity import char_counts, has_common, may_exceed, ratio_above
+from pressfold.functions.similarity import GRAM, char_counts, gram_table, grams, has_common, in_table, may_exceed, most_blocks, rare_chars, ratio_above
 from pressfold.operators import ingest, quality, stories
 from pressfold.operators.rows import marked_before, numbered, placed
 from pressfold.sources import payloads
@@ -40,6 +40,24 @@ def test_ratio_above_equals_the_matcher(spark):
     assert has_common("abcde", "xaxcxe", 3) and not has_common("abcde", "xaxcxe", 4)
 
 
+def test_strings_of_both_texts_bound_the_matcher():
+    rnd = random.Random(7)
+    beginnings = unlike = 0
+    for k in range(400):
+        kinds = rnd.choice(["ab", "etaoin shrdlu", string.ascii_lowercase * 3 + " " * 20 + "XYZ,.é漢"])
+        a = "".join(rnd.choice(kinds) for _ in range(rnd.choice([199, 200, 260, 500])))
+        b = edited(rnd, a, rnd.randrange(1 + len(a) // 5)) if k % 3 else "".join(rnd.choice(kinds) for _ in a)
+        b = ("ab" * 30 if k % 2 else a[:70]) + b[(cut := rnd.randrange(60)) :] + b[:cut]
+        if (rare := rare_chars(b)) is not None:
+            blocks = [m for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks() if m.size]
+            assert len(blocks) <= (most := most_blocks(a, rare))
+            found = in_table(grams(a), gram_table(b))
+            assert sum(m.size for m in blocks) <= min(found, in_table(grams(b), gram_table(a))) + (GRAM - 1) * most
+            beginnings += len(blocks) == most
+            unlike += found + (GRAM - 1) * most < 0.85 * (len(a) + len(b)) / 2
+    assert beginnings and unlike
+
+
 @pytest.mark.parametrize("groups", [1, 7])
 def test_marks_and_numbers(spark, groups):
     rnd = random.Random(groups)

@@ -1,9 +1,11 @@
 import difflib
 import random
+import string
 
 from pyspark.sql import functions as F
 
 from pressfold.operators import quality, stories
+from pressfold.plans import registry
 from pressfold.sources import payloads
 
 
@@ -73,6 +75,21 @@ def test_near_copies_and_audit(spark):
     assert sorted(r["id"] for r in quality.near_copies(spark.createDataFrame(rows, "id long, outlet string, content string")).collect()) == [0, 1, 2]
 
 
+def test_near_copies_of_documents_are_judged_by_whole_texts(spark, tmp_path):
+    """Outlet a: the same beginning, then texts of their own; outlet b: beginnings of their own, then the same text; outlet c: whole near copies."""
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choice(string.ascii_lowercase * 12 + string.ascii_uppercase + string.digits) for _ in range(6)) for _ in range(n))
+    same, docs = {o: words(400) for o in "ac"} | {"b": words(2500)}, []
+    for i in range(9):
+        o = "abc"[i % 3]
+        text = {"a": lambda: f"{same['a']} {words(900)}", "b": lambda: f"{words(300)} {same['b']}", "c": lambda: f"{same['c']} {words(20)}"}[o]()
+        docs.append((i, text, "en", o, len(text)))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: n for i, t, _, o, _ in docs if (n := sum(difflib.SequenceMatcher(None, t, u).ratio() > 0.85 for j, u, _, p, _ in docs if p == o and j != i)) >= 2}
+    assert sorted(want) == [1, 2, 4, 5, 7, 8]
+    assert dict(registry.QUERIES["document_near_copies"](spark, str(tmp_path)).collect()) == want
+
+
 def scan(rows):
     """The ordered scan itself, over contents."""
     content = {i: c for i, *_, c in rows if c}
