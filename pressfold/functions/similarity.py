@@ -18,6 +18,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,7 @@ def may_exceed(a: Column, b: Column, least: float) -> Column:
 
 @lru_cache(maxsize=8)
 def _places(text: str) -> dict[str, int]:
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = _codes(text)
     return {c: int.from_bytes(np.packbits(chars == ord(c), bitorder="little").tobytes(), "little") for c in set(text)}
 
 
@@ -59,9 +60,13 @@ def has_common(a: str, b: str, needed: int) -> bool:
     return len(a) - free.bit_count() >= needed
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def grams(text: str) -> np.ndarray:
     """A hash of ``BITS`` bits for each GRAM characters of ``text``, in order."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = _codes(text).astype(np.uint64)
     n = max(0, len(chars) - GRAM + 1)
     found = np.zeros(n, np.uint64)
     for k in range(GRAM):
@@ -133,3 +138,47 @@ def close_ratio(a: Column, b: Column, least: float) -> Column:
         return pd.Series([None if s is None or t is None else ratio_above(s, t, least) for s, t in zip(x, y, strict=True)], dtype="float64")
 
     return ratios(a, b)
+
+
+def close_pairs(others: pa.Table, asking: pa.Table, least: float, needed: int) -> pa.Table:
+    """(key, other) of those texts (key, text) of ``asking`` and ``others`` whose ratio is above ``least``; keys tell texts apart.
+
+    A text of ``asking`` is done with as soon as it has ``needed`` others of higher keys. The bounds are taken from the cheapest on: lengths, counts of
+    characters by the lower bits of their codes, strings of both texts with the rare characters of the other one, then those of both.
+    """
+    keys, texts = asking.column("key").to_pylist(), asking.column("text").to_pylist()
+    counted = lambda codes: np.bincount(codes & 127, minlength=128).astype(np.int32)
+    size = np.array([len(t) for t in texts], np.int64)
+    counts = np.array([counted(_codes(t)) for t in texts], np.int32).reshape(len(texts), 128)
+    tables: dict[int, np.ndarray] = {}
+    wanted = np.full(len(texts), needed)
+    found: list[tuple] = []
+    for other, text in zip(others.column("key").to_pylist(), others.column("text").to_pylist(), strict=True):
+        both = size + len(text)
+        able = np.flatnonzero((wanted > 0) & (np.minimum(size, len(text)) * 2 > both * least))
+        if not len(able):
+            continue
+        codes = _codes(text)
+        able = able[np.minimum(counts[able], counted(codes)).sum(axis=1, dtype=np.int64) * 2 > both[able] * least]
+        if not len(able):
+            continue
+        each, mine, rare = np.bincount(codes), grams(text), None
+        seeds = int(each[each <= len(text) // 100 + 1].sum())
+        for k in able.tolist():
+            if keys[k] == other:
+                continue
+            least_chars = needed_above(int(both[k]), least)
+            if len(text) >= 200:
+                if k not in tables:
+                    tables[k] = gram_table(texts[k])
+                common = in_table(mine, tables[k])
+                if common + (GRAM - 1) * (1 + seeds) < least_chars:
+                    continue
+                rare = rare_chars(text) if rare is None else rare
+                if common + (GRAM - 1) * most_blocks(texts[k], rare) < least_chars:
+                    continue
+            if matched_above(texts[k], text, least_chars, least) is not None:
+                found.append((keys[k], other))
+                wanted[k] -= other > keys[k]
+    kind = asking.schema.field("key").type
+    return pa.table({"key": pa.array([x for x, _ in found], kind), "other": pa.array([y for _, y in found], kind)})

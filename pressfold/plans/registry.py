@@ -431,8 +431,8 @@ def judged_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def retroactive_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Documents an audit clears: bad scrapes and near-copies of their outlet, and what follows a cleared one of its domain (the source stands in)."""
-    return quality.audit(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("source").alias("domain"), F.col("text").alias("content")))
+    """Documents an audit clears: bad scrapes and near-copies of any others of their outlet, by whole texts, and what follows a cleared one of its domain (the source stands in)."""
+    return quality.audit_outlets(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), F.col("source").alias("domain"), F.col("text").alias("content")))
 
 
 @query(f"""WITH {_LATEST} SELECT a.outlet, a.id FROM l a JOIN l b ON a.outlet = b.outlet AND b.n <= 10 AND b.id > a.id AND b.wall WHERE a.wall GROUP BY 1, 2 HAVING count(*) >= 2""")

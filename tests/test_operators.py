@@ -2,6 +2,7 @@ import difflib
 import random
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressfold.operators import quality, stories
@@ -75,14 +76,18 @@ def test_near_copies_and_audit(spark):
     assert sorted(r["id"] for r in quality.near_copies(spark.createDataFrame(rows, "id long, outlet string, content string")).collect()) == [0, 1, 2]
 
 
+def some_words(rnd, n):
+    """Words of letters and, seldom, of the capitals and digits at which the matcher begins."""
+    return " ".join("".join(rnd.choices(string.ascii_lowercase * 12 + string.ascii_uppercase + string.digits, k=6)) for _ in range(n))
+
+
 def test_near_copies_of_documents_are_judged_by_whole_texts(spark, tmp_path):
     """Outlet a: the same beginning, then texts of their own; outlet b: beginnings of their own, then the same text; outlet c: whole near copies."""
     rnd = random.Random(8)
-    words = lambda n: " ".join("".join(rnd.choice(string.ascii_lowercase * 12 + string.ascii_uppercase + string.digits) for _ in range(6)) for _ in range(n))
-    same, docs = {o: words(400) for o in "ac"} | {"b": words(2500)}, []
+    same, docs = {o: some_words(rnd, 400) for o in "ac"} | {"b": some_words(rnd, 2500)}, []
     for i in range(9):
         o = "abc"[i % 3]
-        text = {"a": lambda: f"{same['a']} {words(900)}", "b": lambda: f"{words(300)} {same['b']}", "c": lambda: f"{same['c']} {words(20)}"}[o]()
+        text = {"a": lambda: f"{same['a']} {some_words(rnd, 900)}", "b": lambda: f"{some_words(rnd, 300)} {same['b']}", "c": lambda: f"{same['c']} {some_words(rnd, 20)}"}[o]()
         docs.append((i, text, "en", o, len(text)))
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: n for i, t, _, o, _ in docs if (n := sum(difflib.SequenceMatcher(None, t, u).ratio() > 0.85 for j, u, _, p, _ in docs if p == o and j != i)) >= 2}
@@ -121,6 +126,45 @@ def test_audit_is_the_scan(spark):
     assert {r["id"] for r in got} == want and len(want) > 20
 
 
+def scan_whole(rows):
+    """The ordered scan that looks back on all of an outlet."""
+    outlet_of, content = {i: o for i, o, *_ in rows}, {i: c for i, *_, c in rows if c}
+    alike, flagged, gone = {}, set(), set()
+    for i, outlet, domain, c in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0])):
+        if c and (domain in flagged or "captcha" in c or sum(len(c) >= 100 and len(d) >= 100 and difflib.SequenceMatcher(None, c, d).ratio() > 0.85 for j, d in content.items() if j != i and outlet_of[j] == outlet) >= 2):
+            gone.add(i)
+            del content[i]
+            flagged |= {domain} - {"", None}
+    return gone
+
+
+@pytest.mark.parametrize("first, chars", [(6, 3000), (64, 1 << 21)])
+def test_audit_of_whole_outlets_is_the_scan(spark, first, chars):
+    """Copies far from the newest ones, equal ones among them, and rows that a domain or an earlier verdict decides on."""
+    rnd = random.Random(11)
+    walls = [some_words(rnd, rnd.choice([16, 25, 60])) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        text = rnd.choice(walls) + rnd.choice(["", f" {i}", f" {i} {i}"]) if rnd.random() < 0.5 else " ".join(f"word{rnd.randrange(10**6)}" for _ in range(rnd.choice([12, 25, 33])))
+        text = rnd.choice([text] * 12 + ["", None, "short", text + " captcha"])
+        rows.append((i, rnd.choice(["a", "a", "b", "c", None]), rnd.choice(["", "", "", None, f"d{rnd.randrange(25)}"]), text))
+    want = scan_whole(rows)
+    got = quality.audit_outlets(spark.createDataFrame(rows, "id long, outlet string, domain string, content string").repartition(3), first=first, growth=3, chars=chars)
+    assert {r["id"] for r in got.collect()} == want
+    assert 20 < len(want) < 130 and len(want - scan([r for r in rows if r[1]])) > 10
+
+
+def test_retroactive_audit_meets_older_documents(spark, tmp_path):
+    """Three copies, the newest of them before the outlet's ten newest, which all differ; copies only beyond the beginnings in another outlet."""
+    rnd = random.Random(12)
+    wall, tail = some_words(rnd, 40), some_words(rnd, 2300)
+    docs = [(i, f"{wall} {i}" if i in (2, 3, 4) else some_words(rnd, 40), "en", "a", 1) for i in range(20)]
+    docs += [(20 + i, f"{some_words(rnd, 300)} {tail}" if i in (1, 2, 3) else some_words(rnd, 40), "en", "b", 1) for i in range(16)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["retroactive_audit"](spark, str(tmp_path)).collect()))
+    assert got == [("a", i) for i in range(2, 20)] + [("b", i) for i in range(21, 36)]
+
+
 def test_copies_of_incoming(spark):
     base = " ".join(f"word{i}" for i in range(60))
     schema = "id long, outlet string, content string"
